@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "ranking")
+MODULES = ("features", "ranking", "scalars", "joins")
 
 
 def load():

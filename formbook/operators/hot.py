@@ -57,13 +57,18 @@ def _signed(name: str, asc: bool) -> Column:
 
 
 def split_hot(df: DataFrame, by: Sequence[str], order: Order) -> DataFrame:
-    """Add ``_part`` and ``_hot``; ``order`` names one or two numeric columns.
+    """Add ``_part`` and ``_hot``; ``order`` names one or two sort columns.
+
+    The first must be numeric. A text column after it is left out of the cut:
+    rows that tie on the first stay together.
 
     The quantile table holds one row per hot key. Each hot key has more than
     ``hotGroupRows`` rows, so there are fewer than rows/limit of them (under
     100,000 for 10^12 rows), which bounds the broadcast.
     """
     splits = hot_group_splits(df.sparkSession)
+    kinds = dict(df.dtypes)
+    order = [(c, asc) for c, asc in order if kinds[c] != "string"]
     cuts = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     first = order[0]
     second = order[1] if len(order) > 1 else None
