@@ -328,7 +328,7 @@ def c28(spark, folder):
 
     points = table(spark, folder, "events", "user_id", "ts", "event_id", "value").select(
         "user_id",
-        F.unix_micros("ts").alias("at"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         "event_id",
         (F.col("value") % 90).alias("lat"),
         ((F.col("value") * 7) % 180).alias("lon"),
