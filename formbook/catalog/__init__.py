@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "ranking", "scalars", "joins", "sources", "quality")
+MODULES = ("features", "ranking", "scalars", "joins", "sources", "quality", "analytics")
 
 
 def load():

@@ -78,11 +78,7 @@ def a6(spark, folder):
 
 
 def result_payloads(facts):
-    """Contest events as nested result payloads, one row per event and entrant block.
-
-    Written as one payload per (event, entrant order block) so that no event is
-    collected whole.
-    """
+    """Contest rows as the nested entries of a result payload."""
     entry = F.struct(
         F.struct(
             F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("driverId"),
@@ -121,15 +117,15 @@ def result_payloads(facts):
         COALESCE(position_text, 'R') AS position_text, CASE WHEN finished = 1 THEN 1 ELSE 31 END AS status_id, CAST(points AS DOUBLE) AS points,
         CASE WHEN finished = 1 THEN finish_order END AS laps, CASE WHEN finished = 1 THEN q1 END AS time,
         CASE WHEN q2 IS NOT NULL THEN quali_position END AS fastest_lap_rank, q2 AS fastest_lap_time,
-        ROW_NUMBER() OVER (PARTITION BY season, round, entity_id % 1000 ORDER BY finish_order) AS position_order FROM contest""",
+        (finish_order - 1) % 1000 + 1 AS position_order FROM contest""",
         "contest",
     ),
 )
 def a6_nested(spark, folder):
     path = new_path(spark, "json")
     rows = result_payloads(contest.facts(spark, folder))
-    # One payload per (event, block of entities); blocks keep arrays short.
-    block = F.substring("entry.Driver.driverId", 2, 20).cast("long") % 1000
+    # One payload per event and block of 1000 places: no array holds a whole event.
+    block = F.floor((F.col("finish_order") - 1) / 1000)
     payloads = rows.groupBy("season", "round", block.alias("block")).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("finish_order", "entry"))), lambda x: x["entry"]
@@ -140,21 +136,22 @@ def a6_nested(spark, folder):
     return flat.drop("number", "milliseconds", "fastest_lap")
 
 
-@query("a7_geojson_points")
+@query(
+    "a7_geojson_points",
+    """SELECT 0 AS at, l_quantity AS lon, l_tax AS lat FROM lineitem UNION ALL
+    SELECT 1, CAST(l_partkey AS DOUBLE), l_discount FROM lineitem""",
+)
 def a7(spark, folder):
     path = new_path(spark, "geojson")
-    region = table(spark, folder, "region")
-    lon = F.col("r_regionkey").cast("double")
-    region.select(
+    ends = F.array(
+        F.array("l_quantity", "l_tax"),
+        F.array(F.col("l_partkey").cast("double"), F.col("l_discount")),
+    )
+    table(spark, folder, "lineitem", "l_quantity", "l_tax", "l_partkey", "l_discount").select(
         F.lit("Feature").alias("type"),
-        F.struct(
-            F.lit("LineString").alias("type"),
-            F.array(F.array(lon, lon + 1), F.array(lon + 2, lon + 3), F.array(lon, lon + 1)).alias(
-                "coordinates"
-            ),
-        ).alias("geometry"),
-    ).repartition(5, "geometry").write.mode("overwrite").json(path)
-    return files.line_points(spark, path).select("at", "lon", "lat")
+        F.struct(F.lit("LineString").alias("type"), ends.alias("coordinates")).alias("geometry"),
+    ).write.mode("overwrite").json(path)
+    return files.line_points(spark, path, one_per_file=False).select("at", "lon", "lat")
 
 
 @query(

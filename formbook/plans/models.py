@@ -18,3 +18,11 @@ def design_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     if missing:
         raise ModelSchemaError(f"missing feature columns {missing}")
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+
+
+def importance_by_class(importance: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """Summed importance per feature class; flags count with their base feature."""
+    base = F.regexp_replace("feature", "_missing$", "")
+    lookup = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
+    tagged = importance.withColumn("class", F.coalesce(lookup[base], F.lit("derived")))
+    return tagged.groupBy("class").agg(F.sum("importance").alias("importance"))

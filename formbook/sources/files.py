@@ -137,10 +137,13 @@ def flatten_standings(payloads: DataFrame) -> DataFrame:
     )
 
 
-def line_points(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, lon, lat): the ordered points of LineString features."""
+def line_points(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """(file, at, lon, lat): the ordered points of LineString features.
+
+    Either each file is one feature, or each line is (which Spark can split).
+    """
     schema = "geometry struct<type:string,coordinates:array<array<double>>>"
-    lines = spark.read.schema(schema).option("multiLine", True).json(path)
+    lines = spark.read.schema(schema).option("multiLine", one_per_file).json(path)
     return (
         lines.where("geometry.type = 'LineString'")
         .select(F.col("_metadata.file_name").alias("file"), F.posexplode("geometry.coordinates"))
