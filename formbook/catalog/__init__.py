@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "ranking", "scalars", "joins", "sources", "quality", "analytics")
+MODULES = (
+    "features", "ranking", "scalars", "joins", "sources", "quality", "analytics", "learning", "serving",
+)
 
 
 def load():

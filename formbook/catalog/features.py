@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formbook.catalog.registry import query, r6
+from formbook.catalog.registry import ORACLES, query, r6
 from formbook.catalog.sqltext import sql
 from formbook.functions import scalars as S
 from formbook.operators.frames import Prior, prior_frames

@@ -1,17 +1,81 @@
-"""Model fitting with MLlib: preprocessing, candidates, folds, calibration."""
+"""Model fitting with MLlib: preprocessing, candidates, folds, calibration.
+
+Fitted scalars (medians, means, weights) are the only values that reach the
+driver; fits and scores are distributed jobs, and folds share one checkpointed frame.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import math
+import random
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formbook.functions.scalars import clip_probability
+from formbook.operators.hot import rank_within, with_prefix
+from formbook.operators.setops import concat
+from formbook.plans import metrics as M
+from formbook.plans.scoring import pole_probability
+from formbook.plans.splits import label_folds
+from formbook.session import checkpointed
+
+# --- fixed values --------------------------------------------------------------
+SEED = 42
+SEARCH_RANGES = {
+    "logreg": {"C": ("log", 1e-3, 10.0)},
+    "random_forest": {
+        "numTrees": ("int", 200, 800),
+        "maxDepth": ("int", 4, 16),
+        "minInstancesPerNode": ("int", 1, 10),
+        "featureSubsetStrategy": ("share", 0.3, 1.0),
+    },
+    "boosted_trees": {
+        "maxIter": ("int", 150, 800),
+        "stepSize": ("log", 0.01, 0.2),
+        "maxDepth": ("int", 3, 8),
+        "minInstancesPerNode": ("int", 1, 8),
+        "subsamplingRate": ("uniform", 0.6, 1.0),
+        "featureSubsetStrategy": ("share", 0.6, 1.0),
+    },
+}
+DEFAULTS = {
+    "logreg": {"C": 1.0, "maxIter": 2000, "tol": 1e-4},
+    "random_forest": {"numTrees": 400, "minInstancesPerNode": 3, "maxDepth": 16},
+    "boosted_trees": {
+        "maxIter": 400, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 2,
+        "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9",
+    },
+}
+PERMUTATION_REPEATS = 5
+# Calibration inputs are pooled on this grid, the step at which outputs are
+# clipped: at most a million points reach the isotonic fit.
+CALIBRATION_DIGITS = 6
+# ------------------------------------------------------------------------------
+
 
 class ModelSchemaError(ValueError):
     """A frame lacks columns a model was trained on."""
 
 
+class TrainingError(ValueError):
+    """Training data no model can be fitted to."""
+
+
 def design_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Keys and the model columns in order, every column as double."""
     missing = [c for c in columns if c not in df.columns]
@@ -20,9 +84,570 @@ def design_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
 
 
+# Preprocessing -----------------------------------------------------------------
+
+
+def class_balance(df: DataFrame, target: str = "winner") -> DataFrame:
+    """Rows, positives, weight of a positive and the two balanced class weights."""
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.sum(target).cast("double").alias("pos"))
+    neg = F.col("n") - F.col("pos")
+    return counts.select(
+        "n",
+        F.col("pos").cast("long").alias("positives"),
+        F.try_divide(neg, "pos").alias("pos_weight"),
+        F.try_divide(F.col("n"), 2 * neg).alias("weight_0"),
+        F.try_divide(F.col("n"), 2 * F.col("pos")).alias("weight_1"),
+    )
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, median) over non-null values, exact at any number of distinct ones.
+
+    Values are counted per feature first; the running count over those finds
+    the one or two middle values, in parts when a feature has very many.
+    """
+    long_rows = df.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                    for c in columns
+                ]
+            )
+        )
+    ).where("value IS NOT NULL")
+    counts = long_rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
+    running = with_prefix(counts, ["feature"], [("value", True)], {"_upto": F.col("n")})
+    # One total per feature.
+    placed = running.join(F.broadcast(totals), "feature")
+    before = F.col("_upto") - F.col("n")
+    lower, upper = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+
+    def covers(rank: Column) -> Column:
+        return (before < rank) & (rank <= F.col("_upto"))
+
+    return placed.where(covers(lower) | covers(upper)).groupBy("feature").agg(
+        ((F.min("value") + F.max("value")) / 2).alias("median")
+    )
+
+
+@dataclass
+class Preprocess:
+    """Imputation and scaling learnt on training rows only."""
+
+    columns: list[str]
+    medians: dict[str, float]
+    flagged: list[str]
+    means: dict[str, float] = field(default_factory=dict)
+    stds: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.columns, *[f"{c}_missing" for c in self.flagged]]
+
+    def inputs(self) -> dict[str, Column]:
+        """Imputed columns and missing flags, before scaling."""
+        out = {
+            c: F.coalesce(F.col(c).cast("double"), F.lit(self.medians.get(c, 0.0)))
+            for c in self.columns
+        }
+        for c in self.flagged:
+            out[f"{c}_missing"] = F.col(c).isNull().cast("double")
+        return out
+
+    def expressions(self) -> dict[str, Column]:
+        if not self.means:
+            return self.inputs()
+        return {n: (v - self.means[n]) / self.stds[n] for n, v in self.inputs().items()}
+
+    def assemble(self, df: DataFrame, out: str = "_features") -> DataFrame:
+        missing = [c for c in self.columns if c not in df.columns]
+        if missing:
+            raise ModelSchemaError(f"missing feature columns {missing}")
+        made = df.select("*", *[v.alias(f"_x_{n}") for n, v in self.expressions().items()])
+        names = [f"_x_{n}" for n in self.names]
+        return VectorAssembler(inputCols=names, outputCol=out).transform(made).drop(*names)
+
+
+def fit_preprocess(train: DataFrame, columns: Sequence[str], scale: bool) -> Preprocess:
+    columns = list(columns)
+    medians = {r["feature"]: r["median"] for r in exact_medians(train, columns).collect()}
+    nulls = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    pre = Preprocess(columns, medians, [c for c in columns if nulls[c]])
+    if scale:
+        row = train.agg(*scaling_aggregates(pre.inputs())).first()
+        pre.means = {n: row[f"m_{n}"] for n in pre.names}
+        pre.stds = {n: row[f"s_{n}"] or 1.0 for n in pre.names}
+    return pre
+
+
+def scaling_aggregates(inputs: dict[str, Column]) -> list[Column]:
+    """Mean and population standard deviation per input."""
+    out = []
+    for name, value in inputs.items():
+        out += [F.avg(value).alias(f"m_{name}"), F.stddev_pop(value).alias(f"s_{name}")]
+    return out
+
+
+# Candidates --------------------------------------------------------------------
+
+
+@dataclass
+class Fitted:
+    """A fitted candidate: scores any frame that has its columns."""
+
+    name: str
+    columns: list[str]
+    pre: Preprocess | None = None
+    model: object | None = None
+    calibrator: object | None = None
+
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        """Add the raw win probability of every row."""
+        if self.model is None:
+            missing = [c for c in self.columns if c not in df.columns]
+            if missing:
+                raise ModelSchemaError(f"missing feature columns {missing}")
+            scored = df.withColumn(out, pole_probability("grid_adjusted"))
+        else:
+            made = self.model.transform(self.pre.assemble(df))
+            scored = made.withColumn(out, vector_to_array("_probability")[1]).drop(
+                "_features", "_raw", "_probability", "_prediction"
+            )
+        if self.calibrator is None:
+            return scored
+        grid = scored.withColumn("_p", F.round(out, CALIBRATION_DIGITS))
+        mapped = self.calibrator.transform(grid)
+        return mapped.withColumn(out, clip_probability("_calibrated")).drop("_p", "_calibrated")
+
+
+def _weighted(train: DataFrame, target: str, positives_only: bool) -> tuple[DataFrame, float]:
+    """Class-weighted rows and the sum of weights."""
+    balance = class_balance(train, target).first()
+    if not balance["positives"]:
+        raise TrainingError("no positive rows to learn from")
+    if positives_only:
+        low, high = 1.0, balance["pos_weight"]
+    else:
+        low, high = balance["weight_0"], balance["weight_1"]
+    pos = balance["positives"]
+    weight = F.when(F.col(target) == 1, F.lit(high)).otherwise(F.lit(low))
+    total = high * pos + low * (balance["n"] - pos)
+    return train.withColumns({"_w": weight, "_y": F.col(target).cast("double")}), total
+
+
+def _columns_of_model() -> dict:
+    return {
+        "featuresCol": "_features", "labelCol": "_y", "weightCol": "_w",
+        "probabilityCol": "_probability", "predictionCol": "_prediction", "rawPredictionCol": "_raw",
+    }
+
+
+def fit_pole(train: DataFrame, columns: Sequence[str], target: str, params: dict) -> Fitted:
+    return Fitted("pole_baseline", ["grid_adjusted"])
+
+
+def fit_logreg(train: DataFrame, columns: Sequence[str], target: str, params: dict) -> Fitted:
+    """L2 logistic regression on imputed, flagged and scaled columns.
+
+    The penalty is stated per weight unit, so C divides by the weight total.
+    """
+    p = {**DEFAULTS["logreg"], **params}
+    weighted, total = _weighted(train, target, positives_only=False)
+    pre = fit_preprocess(train, columns, scale=True)
+    learner = LogisticRegression(
+        **_columns_of_model(), maxIter=p["maxIter"], tol=p["tol"], standardization=False, elasticNetParam=0.0,
+        regParam=1.0 / (p["C"] * total),
+    )
+    return Fitted("logreg", list(columns), pre, learner.fit(pre.assemble(weighted)))
+
+
+def fit_random_forest(
+    train: DataFrame, columns: Sequence[str], target: str, params: dict
+) -> Fitted:
+    weighted, _ = _weighted(train, target, positives_only=False)
+    pre = fit_preprocess(train, columns, scale=False)
+    learner = RandomForestClassifier(
+        **_columns_of_model(), seed=SEED, **{**DEFAULTS["random_forest"], **params}
+    )
+    return Fitted("random_forest", list(columns), pre, learner.fit(pre.assemble(weighted)))
+
+
+def fit_boosted(train: DataFrame, columns: Sequence[str], target: str, params: dict) -> Fitted:
+    """Boosted trees; MLlib has no branch for missing values, so flags stand in."""
+    weighted, _ = _weighted(train, target, positives_only=True)
+    pre = fit_preprocess(train, columns, scale=False)
+    names = _columns_of_model()
+    probability, raw = names.pop("probabilityCol"), names.pop("rawPredictionCol")
+    learner = GBTClassifier(**names, seed=SEED, **{**DEFAULTS["boosted_trees"], **params})
+    learner.setProbabilityCol(probability).setRawPredictionCol(raw)
+    return Fitted("boosted_trees", list(columns), pre, learner.fit(pre.assemble(weighted)))
+
+
+Fit = Callable[[DataFrame, Sequence[str], str, dict], Fitted]
+
+CANDIDATES: dict[str, Fit] = {
+    "pole_baseline": fit_pole,
+    "logreg": fit_logreg,
+    "random_forest": fit_random_forest,
+    "boosted_trees": fit_boosted,
+}
+
+
+def fit(
+    name: str, train: DataFrame, columns: Sequence[str], target: str = "winner",
+    params: dict | None = None,
+) -> Fitted:
+    if name not in CANDIDATES:
+        raise KeyError(f"unknown model '{name}', known are {sorted(CANDIDATES)}")
+    return CANDIDATES[name](train, columns, target, params or {})
+
+
+# Folds, search, calibration ----------------------------------------------------
+
+
+def out_of_fold(
+    train: DataFrame,
+    name: str,
+    columns: Sequence[str],
+    folds: int,
+    target: str = "winner",
+    params: dict | None = None,
+    season: str = "season",
+) -> DataFrame:
+    """Rows of the held-out seasons with ``p`` from a model that never saw them."""
+    # Every fold fits on this frame several times: keep it in reliable storage.
+    labelled = checkpointed(label_folds(train, folds, season))
+    parts = []
+    for i in range(1, folds + 1):
+        fold = labelled.where(F.col("fold") == i)
+        model = fit(name, fold.where("role = 'train'"), columns, target, params)
+        parts.append(model.score(fold.where("role = 'val'")))
+    return concat(parts)
+
+
+def cross_validate(
+    train: DataFrame, name: str, columns: Sequence[str], folds: int, target: str = "winner",
+    order: str | None = "finish_order", params: dict | None = None,
+) -> DataFrame:
+    """Metrics per fold, evaluated in one pass over all held-out rows."""
+    scored = out_of_fold(train, name, columns, folds, target, params)
+    frame = M.as_scored(scored, "p", target, order, "event_id", "fold", "val_season")
+    return M.metrics(frame, ["fold", "val_season"])
+
+
+FOLD_METRICS = (
+    "top1_accuracy", "top3_recall", "winner_mrr", "avg_winner_probability", "median_winner_rank",
+    "log_loss", "brier_score", "ece", "spearman_corr",
+)
+
+
+def fold_summary(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(metric, mean, std) over folds; the deviation is the population one."""
+    names = [m for m in FOLD_METRICS if m in folds.columns]
+    rows = F.array(
+        *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names]
+    )
+    return folds.select(*keys, F.inline(rows)).groupBy(*keys, "metric").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
+    )
+
+
+def draw_configs(name: str, n: int, seed: int = SEED) -> list[dict]:
+    """``n`` seeded draws from the candidate's ranges."""
+    if name not in SEARCH_RANGES:
+        raise TrainingError(f"'{name}' has no ranges to search")
+    if n < 1:
+        raise TrainingError("a search needs at least one draw")
+    rng = random.Random(seed)
+    configs = []
+    for _ in range(n):
+        config = {}
+        for param, (kind, lo, hi) in SEARCH_RANGES[name].items():
+            if kind == "log":
+                config[param] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
+            elif kind == "int":
+                config[param] = rng.randrange(lo, hi)
+            elif kind == "share":
+                config[param] = f"{rng.uniform(lo, hi):.4f}"
+            else:
+                config[param] = rng.uniform(lo, hi)
+        configs.append(config)
+    return configs
+
+
+def search(
+    train: DataFrame, name: str, columns: Sequence[str], folds: int, n: int, target: str = "winner",
+    seed: int = SEED,
+) -> DataFrame:
+    """(config, params, mean top-1, mean log-loss, best): one row per draw.
+
+    Takes training rows only. Best is the highest mean top-1, then the lowest
+    mean log-loss, then the earliest draw.
+    """
+    rows = []
+    for i, params in enumerate(draw_configs(name, n, seed)):
+        cv = cross_validate(train, name, columns, folds, target, None, params)
+        rows.append(
+            cv.agg(F.avg("top1_accuracy").alias("top1"), F.avg("log_loss").alias("log_loss"))
+            .select(
+                F.lit(i).cast("long").alias("config"),
+                F.lit(json.dumps(params, sort_keys=True)).alias("params"),
+                "top1",
+                "log_loss",
+            )
+        )
+    return mark_best(concat(rows))
+
+
+def mark_best(results: DataFrame) -> DataFrame:
+    """Flag the winning configuration of a search table."""
+    key = F.struct("top1", -F.col("log_loss"), -F.col("config"))
+    best = results.agg(F.max_by("config", key).alias("_best")).withColumn("_one", F.lit(1))
+    return (
+        results.withColumn("_one", F.lit(1))
+        .join(F.broadcast(best), "_one")
+        .withColumn("best", F.col("config") == F.col("_best"))
+        .drop("_one", "_best")
+    )
+
+
+def fit_isotonic(scored: DataFrame, p: str = "p", y: str = "y") -> IsotonicRegressionModel:
+    """Monotone map from probability to observed frequency.
+
+    Rows are pooled on the probability grid first, so the fit sees weighted
+    means, a bounded number of them, instead of rows.
+    """
+    pooled = scored.groupBy(F.round(p, CALIBRATION_DIGITS).alias("_p")).agg(
+        F.avg(F.col(y).cast("double")).alias("_mean"), F.count(F.lit(1)).cast("double").alias("_w")
+    )
+    return IsotonicRegression(
+        featuresCol="_p", labelCol="_mean", weightCol="_w", predictionCol="_calibrated"
+    ).fit(pooled)
+
+
+def fit_calibrated(
+    train: DataFrame, name: str, columns: Sequence[str], folds: int, target: str = "winner",
+    fit_rows: DataFrame | None = None, params: dict | None = None,
+) -> Fitted:
+    """Calibrate on held-out seasons of ``train``; the base model is fitted on
+    ``fit_rows`` (``train`` by default), so a production fit may add seasons."""
+    held_out = out_of_fold(train, name, columns, folds, target, params)
+    model = fit(name, train if fit_rows is None else fit_rows, columns, target, params)
+    model.calibrator = fit_isotonic(held_out.select("p", F.col(target).alias("y")))
+    return model
+
+
+def fit_for_stage(
+    df: DataFrame, stage: str, name: str, columns: Sequence[str], target: str = "winner",
+    params: dict | None = None,
+) -> tuple[Fitted, DataFrame]:
+    """The model to serve and its validation metrics.
+
+    ``df`` has ``role``. Staging serves the model fitted on training rows;
+    production serves one fitted on training and validation rows, while its
+    metrics still come from the train-only fit.
+    """
+    train, val = df.where("role = 'train'"), df.where("role = 'val'")
+    judged = fit(name, train, columns, target, params)
+    scored = M.as_scored(judged.score(val), "p", target)
+    table = M.metrics(scored)
+    if stage == "staging":
+        return judged, table
+    if stage != "production":
+        raise TrainingError(f"unknown stage '{stage}'")
+    return fit(name, df.where("role IN ('train', 'val')"), columns, target, params), table
+
+
+def score_test_once(
+    df: DataFrame, name: str, columns: Sequence[str], target: str = "winner",
+    params: dict | None = None,
+) -> DataFrame:
+    """Metrics on test rows of a model fitted on training rows; searches never call it."""
+    model = fit(name, df.where("role = 'train'"), columns, target, params)
+    return M.metrics(M.as_scored(model.score(df.where("role = 'test'")), "p", target))
+
+
+# Importance --------------------------------------------------------------------
+
+
+def importance(spark: SparkSession, model: Fitted, classes: dict[str, str]) -> DataFrame:
+    """(feature, importance, is_missing_flag, class) of a fitted candidate."""
+    if model.model is None:
+        return spark.createDataFrame(
+            [], "feature string, importance double, is_missing_flag boolean, class string"
+        )
+    if hasattr(model.model, "coefficients"):
+        values = [abs(float(v)) for v in model.model.coefficients]
+    else:
+        values = [float(v) for v in model.model.featureImportances.toArray()]
+    rows = [
+        (n, v, n.endswith("_missing"), classes.get(n.removesuffix("_missing"), "derived"))
+        for n, v in zip(model.pre.names, values)
+    ]
+    return spark.createDataFrame(
+        rows, "feature string, importance double, is_missing_flag boolean, class string"
+    )
+
+
 def importance_by_class(importance: DataFrame, classes: dict[str, str]) -> DataFrame:
     """Summed importance per feature class; flags count with their base feature."""
     base = F.regexp_replace("feature", "_missing$", "")
     lookup = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
     tagged = importance.withColumn("class", F.coalesce(lookup[base], F.lit("derived")))
     return tagged.groupBy("class").agg(F.sum("importance").alias("importance"))
+
+
+def permutation_importance(
+    score: Callable[[DataFrame], DataFrame],
+    df: DataFrame,
+    columns: Sequence[str],
+    repeats: int = PERMUTATION_REPEATS,
+    seed: int = SEED,
+    target: str = "winner",
+    keys: Sequence[str] = ("event_id", "entity_id"),
+) -> DataFrame:
+    """Mean and deviation of the drop in per-event top-1 when a column is shuffled.
+
+    Rows get a place in one seeded random order (by key hash, so a lost task
+    repeats it). A variant takes each value from the row a random distance
+    further on in that order. All variants are scored in one pass.
+    """
+    placed = rank_within(
+        df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)), [],
+        [("_h", True), *[(k, True) for k in keys]], "_at",
+    ).drop("_h")
+    n = df.count()
+    rng = random.Random(seed)
+    variants = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.lit(r).cast("long").alias("repeat"),
+                F.lit(rng.randrange(1, max(n, 2))).cast("long").alias("_shift"),
+            )
+            for c in columns
+            for r in range(repeats)
+        ]
+    )
+    values = placed.select(
+        F.col("_at").alias("_from"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_value"))
+                    for c in columns
+                ]
+            )
+        ),
+    )
+    spread = placed.select("*", F.inline(variants)).withColumn(
+        "_from", (F.col("_at") - 1 + F.col("_shift")) % n + 1
+    )
+    shuffled = spread.join(values, ["_from", "feature"])
+    types = dict(df.dtypes)
+    shuffled = shuffled.withColumns(
+        {
+            c: F.when(F.col("feature") == c, F.col("_value").cast(types[c])).otherwise(F.col(c))
+            for c in columns
+        }
+    )
+    by = ["feature", "repeat"]
+    frame = M.as_scored(score(shuffled), "p", target, None, *by, "event_id")
+    hits = M.event_averages(M.per_event_metrics(frame, [*by, "event_id"]), by)
+    base = M.event_averages(M.per_event_metrics(M.as_scored(score(df), "p", target, None)))
+    joined = hits.withColumn("_one", F.lit(1)).join(
+        F.broadcast(base.select(F.col("top1_accuracy").alias("_base"), F.lit(1).alias("_one"))),
+        "_one",
+    )
+    drop = F.col("_base") - F.col("top1_accuracy")
+    return joined.groupBy("feature").agg(
+        F.avg(drop).alias("top1_drop_mean"), F.stddev_pop(drop).alias("top1_drop_std")
+    )
+
+
+def linear_contributions(
+    df: DataFrame, weights: dict[str, float], means: dict[str, float] | None = None
+) -> DataFrame:
+    """(feature, mean_abs) of weight * (value - mean); means come from ``df`` by default."""
+    if means is None:
+        row = df.agg(*[F.avg(c).alias(c) for c in weights]).first()
+        means = {c: row[c] for c in weights}
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                (F.lit(w) * (F.col(c).cast("double") - F.lit(means[c]))).alias("contribution"),
+            )
+            for c, w in weights.items()
+        ]
+    )
+    return (
+        df.select(F.inline(rows))
+        .groupBy("feature")
+        .agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+    )
+
+
+def case_studies(scored: DataFrame, season: int) -> DataFrame:
+    """(label, event, entity, p): the surest and least sure winners, and the
+    winner of the first event of ``season``."""
+    row = F.struct("event_id", "entity_id", "p")
+    high = F.struct("p", -F.col("event_id"))
+    low = F.struct("p", F.col("event_id"))
+    opening = F.col("season") == season
+    picked = scored.where("winner = 1").agg(
+        F.max_by(row, high).alias("winner_highest_confidence"),
+        F.min_by(row, low).alias("winner_lowest_confidence"),
+        F.min_by(row, F.when(opening, F.struct("round", "event_id"))).alias("season_opener"),
+    )
+    names = ["winner_highest_confidence", "winner_lowest_confidence", "season_opener"]
+    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("r")) for n in names])
+    return picked.select(F.inline(rows)).where("r IS NOT NULL").select("label", "r.*")
+
+
+# Storage -----------------------------------------------------------------------
+
+_LOADERS = {
+    "logreg": LogisticRegressionModel,
+    "random_forest": RandomForestClassificationModel,
+    "boosted_trees": GBTClassificationModel,
+}
+
+
+def save(spark: SparkSession, model: Fitted, path: str) -> None:
+    """The MLlib model, its calibrator and one JSON row with the rest."""
+    if model.model is not None:
+        model.model.write().overwrite().save(f"{path}/model")
+    if model.calibrator is not None:
+        model.calibrator.write().overwrite().save(f"{path}/calibrator")
+    pre = model.pre
+    meta = {
+        "name": model.name,
+        "columns": model.columns,
+        "medians": pre.medians if pre else {},
+        "flagged": pre.flagged if pre else [],
+        "means": pre.means if pre else {},
+        "stds": pre.stds if pre else {},
+        "calibrated": model.calibrator is not None,
+    }
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(
+        "overwrite"
+    ).text(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    if meta["name"] not in _LOADERS:
+        model = Fitted(meta["name"], meta["columns"])
+    else:
+        pre = Preprocess(
+            meta["columns"], meta["medians"], meta["flagged"], meta["means"], meta["stds"]
+        )
+        model = Fitted(
+            meta["name"], meta["columns"], pre, _LOADERS[meta["name"]].load(f"{path}/model")
+        )
+    if meta["calibrated"]:
+        model.calibrator = IsotonicRegressionModel.load(f"{path}/calibrator")
+    return model
