@@ -363,12 +363,7 @@ def feature_build(spark, folder):
 
 def features_of(spark, folder):
     """The full feature frame of the contest facts."""
-    facts = contest.facts(spark, folder)
-    weather = contest.conditions(facts).select(
-        "event_id",
-        "precip",
-        F.col("temp").alias("race_temp_c"),
-        F.col("quali_precip").alias("quali_precip_mm"),
-        S.flag_from_text("changed_text").alias("conditions_changed"),
+    standings, groups, conditions = contest.season_tables(spark, folder)
+    return P.build_features(
+        contest.facts(spark, folder), standings, groups, contest.weather_columns(conditions)
     )
-    return P.build_features(facts, contest.standings(facts), contest.group_standings(facts), weather)

@@ -14,7 +14,6 @@ from formbook.catalog.ranking import (
 from formbook.catalog.registry import query, r6
 from formbook.catalog.sources import result_payloads
 from formbook.catalog.sqltext import CONTEST, sql
-from formbook.functions import scalars as S
 from formbook.operators.joins import calendar_of, checked_join
 from formbook.plans import contest, features as P, gates as G, metrics as M, scoring, tracking as T
 from formbook.schemas import FEATURE_COLUMNS, feature_table
@@ -166,18 +165,15 @@ def j37(spark, folder):
     ).limit(1)
     past = checked_join(facts, events.select("event_id"), ["event_id"], "left_anti")
     coming = checked_join(facts, events.select("event_id"), ["event_id"], "left_semi")
-    weather = contest.conditions(facts).select(
-        "event_id",
-        "precip",
-        F.col("temp").alias("race_temp_c"),
-        F.col("quali_precip").alias("quali_precip_mm"),
-        S.flag_from_text("changed_text").alias("conditions_changed"),
-    )
+    standings, groups, conditions = contest.season_tables(spark, folder)
+    ended = past.select("event_id").distinct()
     inputs = ["event_id", "season", "round", "venue_id", "entity_id", "group_id", "winner",
               "finish_order", "finished", "points", "quali_position", "grid", "q1", "q2", "q3"]
     made = T.materialise(
-        events, coming, coming, past.select(*inputs), contest.standings(past),
-        contest.group_standings(past), weather,
+        events, coming, coming, past.select(*inputs),
+        checked_join(standings, ended, ["event_id"], "left_semi"),
+        checked_join(groups, ended, ["event_id"], "left_semi"),
+        contest.weather_columns(conditions),
     )
     return W.pick(
         made, *FEATURE_COLUMNS,
@@ -205,17 +201,9 @@ def j38(spark, folder):
 
 def materialised_frame(spark, folder):
     """Feature rows of every event as built before it took place."""
-    facts = contest.facts(spark, folder)
-    weather = contest.conditions(facts).select(
-        "event_id",
-        "precip",
-        F.col("temp").alias("race_temp_c"),
-        F.col("quali_precip").alias("quali_precip_mm"),
-        S.flag_from_text("changed_text").alias("conditions_changed"),
-    )
-    return P.build_features(
-        T.as_materialised(facts), contest.standings(facts), contest.group_standings(facts), weather
-    )
+    standings, groups, conditions = contest.season_tables(spark, folder)
+    made = T.as_materialised(contest.facts(spark, folder))
+    return P.build_features(made, standings, groups, contest.weather_columns(conditions))
 
 
 @query(

@@ -34,16 +34,20 @@ class Prior:
 
 
 def prior_frames(
-    df: DataFrame, by: Sequence[str], order: Order, frames: Sequence[Prior]
+    df: DataFrame,
+    by: Sequence[str],
+    order: Order,
+    frames: Sequence[Prior],
+    rows: int | None = None,
 ) -> DataFrame:
     """All ``frames`` of one key in one pass: one shuffle, one sort.
 
     Groups above the session limit are cut into parts along ``order``
     (``hot.split_hot``). Frames reach back over a part boundary through the
     last rows of the parts before it (bounded frames) or through their totals
-    (unbounded frames).
+    (unbounded frames). ``rows`` is a known bound on the rows of a group.
     """
-    parted = split_hot(df, by, order[:2]) if has_hot(df, by) else df
+    parted = split_hot(df, by, order[:2]) if has_hot(df, by, rows) else df
     return frames_over_parts(parted, by, order, frames).drop(HOT, PART)
 
 

@@ -48,7 +48,11 @@ def hot_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def has_hot(df: DataFrame, by: Sequence[str]) -> bool:
+def has_hot(df: DataFrame, by: Sequence[str], rows: int | None = None) -> bool:
+    """Is any group above the session limit? ``rows`` is a known bound on the
+    rows of a group; it saves the count when it is below the limit."""
+    if rows is not None and rows <= hot_group_rows(df.sparkSession):
+        return False
     return not hot_keys(df, by).isEmpty()
 
 
@@ -151,12 +155,21 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Order, out: str) -> Dat
     return with_prefix(df, by, order, {out: F.lit(1).cast("long")})
 
 
+def tie_rank(by: Sequence[str], value: str) -> Column:
+    """``average_rank`` as windows, for groups that fit one task."""
+    place = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+    return place + (ties - 1) / 2
+
+
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Rank of ``value`` within ``by``; equal values share their mean rank.
 
-    The rank depends on (key, value) alone, so it is computed on the grouped
-    distinct values and joined back.
+    In a split group the rank, which depends on (key, value) alone, is computed
+    on the grouped distinct values and joined back.
     """
+    if not has_hot(df, by):
+        return df.withColumn(out, tie_rank(by, value))
     distinct = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
     below = with_prefix(distinct, by, [(value, True)], {"_below": F.col("_ties")}, inclusive=False)
     ranked = below.select(*by, value, (F.col("_below") + (F.col("_ties") + 1) / 2).alias(out))

@@ -16,22 +16,32 @@ def fits_broadcast(side: DataFrame, keys: Sequence[str]) -> bool:
     return side.select(*keys).limit(limit + 1).count() <= limit
 
 
-def checked_join(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Broadcast ``side`` when it is counted small; otherwise a shuffled join.
+def checked_join(
+    df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left", rows: int | None = None
+) -> DataFrame:
+    """Broadcast ``side`` when it is small; otherwise a shuffled join.
 
-    The shuffled join leaves hot keys to the adaptive skew split.
+    Small is counted, unless the caller already knows that ``side`` has at most
+    ``rows`` rows. The shuffled join leaves hot keys to the adaptive skew split.
     """
     on = list(on)
-    return df.join(F.broadcast(side) if fits_broadcast(side, on) else side, on, how)
+    if rows is None:
+        small = fits_broadcast(side, on)
+    else:
+        small = rows <= broadcast_rows(df.sparkSession)
+    return df.join(F.broadcast(side) if small else side, on, how)
 
 
-def join_back(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
+def join_back(
+    df: DataFrame, by: Sequence[str], *aggs: Column, rows: int | None = None
+) -> DataFrame:
     """Aggregates per group put on every row of the group.
 
     Replaces a window over the whole group: partial aggregation runs before
-    the shuffle, so a group of any size never meets in one task.
+    the shuffle, so a group of any size never meets in one task. ``rows`` is a
+    known bound on the number of groups.
     """
-    return checked_join(df, df.groupBy(*by).agg(*aggs), by)
+    return checked_join(df, df.groupBy(*by).agg(*aggs), by, rows=rows)
 
 
 class JoinGuardError(ValueError):
@@ -91,16 +101,18 @@ def lagged_join(
     by: Sequence[str],
     columns: dict[str, str],
     event: str = "event_id",
+    rows: int | None = None,
 ) -> DataFrame:
     """Post-event rows of ``right`` read at the previous calendar event.
 
     ``df`` must carry ``prev_<event>``; ``columns`` maps source to output name.
+    ``rows`` is a known bound on the rows of ``right``.
     """
     prev = f"prev_{event}"
     side = right.select(
         F.col(event).alias(prev), *by, *[F.col(s).alias(t) for s, t in columns.items()]
     )
-    return checked_join(df, side, [prev, *by], "left")
+    return checked_join(df, side, [prev, *by], "left", rows)
 
 
 def next_event(calendar: DataFrame, facts: DataFrame, event: str = "event_id") -> DataFrame:

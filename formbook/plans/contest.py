@@ -158,6 +158,31 @@ def conditions(fact: DataFrame) -> DataFrame:
     )
 
 
+def season_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entity standings, group standings and conditions as stored tables.
+
+    These are inputs of their own in the domain, so they are staged as such.
+    """
+    made = {"standings": standings, "group_standings": group_standings, "conditions": conditions}
+    return tuple(
+        staged(spark, (name, folder), lambda build=build: build(facts(spark, folder)))
+        for name, build in made.items()
+    )
+
+
+def weather_columns(conditions: DataFrame) -> DataFrame:
+    """Stored conditions under the names the feature build reads."""
+    from formbook.functions.scalars import flag_from_text
+
+    return conditions.select(
+        "event_id",
+        "precip",
+        F.col("temp").alias("race_temp_c"),
+        F.col("quali_precip").alias("quali_precip_mm"),
+        flag_from_text("changed_text").alias("conditions_changed"),
+    )
+
+
 def entities(spark: SparkSession, folder: str) -> DataFrame:
     return table(
         spark, folder, "customer",

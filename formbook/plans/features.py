@@ -149,21 +149,24 @@ def venue_history(df: DataFrame, n: Names = CONTEST) -> DataFrame:
     return checked_join(own, side, [n.group, n.event])
 
 
-def leave_one_out(df: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
+def leave_one_out(
+    df: DataFrame, by: Sequence[str], columns: dict[str, str], rows: int | None = None
+) -> DataFrame:
     """Mean of the others in the group, per source column; NULL when there are none."""
     aggs = []
     for source in columns:
         aggs += [F.sum(source).alias(f"_t_{source}"), F.count(source).alias(f"_n_{source}")]
-    out = join_back(df, by, *aggs)
+    out = join_back(df, by, *aggs, rows=rows)
     for source, name in columns.items():
         rest = F.col(f"_t_{source}") - F.col(source)
         out = out.withColumn(name, F.try_divide(rest.cast("double"), F.col(f"_n_{source}") - 1))
     return out.drop(*[f"_{k}_{c}" for c in columns for k in "tn"])
 
 
-def peer_gaps(df: DataFrame, n: Names = CONTEST) -> DataFrame:
+def peer_gaps(df: DataFrame, n: Names = CONTEST, rows: int | None = None) -> DataFrame:
     """Same-event gaps to the rest of the group; ``_pace_gap`` is an outcome."""
-    out = leave_one_out(df, [n.event, n.group], {n.quali: "_quali_rest", n.order: "_pace_rest"})
+    rest = {n.quali: "_quali_rest", n.order: "_pace_rest"}
+    out = leave_one_out(df, [n.event, n.group], rest, rows)
     return out.select(
         *df.columns,
         (F.col("_quali_rest") - F.col(n.quali)).alias("qualifying_gap_to_teammate_current"),
@@ -185,13 +188,12 @@ def peer_form(df: DataFrame, n: Names = CONTEST, rows: int = FORM_ROWS) -> DataF
     return prior_frames(gaps, [n.entity], n.time(), peer_frames(rows)).drop("_pace_gap")
 
 
-def session_features(df: DataFrame, n: Names = CONTEST) -> DataFrame:
+def session_features(df: DataFrame, n: Names = CONTEST, rows: int | None = None) -> DataFrame:
     """Grid and session columns, from one aggregate per event."""
     times = {f"q{i}_sec": S.lap_seconds(c) for i, c in ((1, n.q1), (2, n.q2), (3, n.q3))}
     timed = df.withColumns(times).withColumn("_best", S.best_time("q3_sec", "q2_sec", "q1_sec"))
-    event = join_back(
-        timed, [n.event], F.min("_best").alias("_pole"), F.count(n.entity).alias("field_size")
-    )
+    field = F.count(n.entity).alias("field_size")
+    event = join_back(timed, [n.event], F.min("_best").alias("_pole"), field, rows=rows)
     adjusted = S.adjusted_grid(F.col(n.grid), F.col("field_size")).cast("double")
     quali = F.col(n.quali)
     out = event.withColumns(
@@ -210,9 +212,11 @@ def session_features(df: DataFrame, n: Names = CONTEST) -> DataFrame:
     return out.drop("_best", "_pole")
 
 
-def event_join(df: DataFrame, right: DataFrame, event: str = "event_id") -> DataFrame:
+def event_join(
+    df: DataFrame, right: DataFrame, event: str = "event_id", rows: int | None = None
+) -> DataFrame:
     """Columns of an event on each of its rows."""
-    return checked_join(df, right, [event])
+    return checked_join(df, right, [event], rows=rows)
 
 
 def condition_frames(value: str, n: Names, prefix: str) -> list[Prior]:
@@ -224,10 +228,12 @@ def condition_frames(value: str, n: Names, prefix: str) -> list[Prior]:
     ]
 
 
-def shrink(df: DataFrame, prefix: str, event: str, out: str, k: float = SHRINK_K) -> DataFrame:
+def shrink(
+    df: DataFrame, prefix: str, event: str, out: str, k: float = SHRINK_K, rows: int | None = None
+) -> DataFrame:
     """Pull the wet-minus-dry mean towards the event's mean of it."""
     raw = df.withColumn("_raw", F.col(f"_{prefix}_wet") - F.col(f"_{prefix}_dry"))
-    pooled = join_back(raw, [event], F.avg("_raw").alias("_pooled"))
+    pooled = join_back(raw, [event], F.avg("_raw").alias("_pooled"), rows=rows)
     n = F.col(f"_{prefix}_wet_n")
     weight = n / (n + k)
     blended = weight * F.coalesce("_raw", F.lit(0.0)) + (1 - weight) * F.col("_pooled")
@@ -253,14 +259,25 @@ def group_shrunk_delta(df: DataFrame, n: Names = CONTEST, k: float = SHRINK_K) -
 
 
 def standings_lag(
-    df: DataFrame, standings: DataFrame, group_standings: DataFrame, n: Names = CONTEST
+    df: DataFrame,
+    standings: DataFrame,
+    group_standings: DataFrame,
+    n: Names = CONTEST,
+    calendar: DataFrame | None = None,
+    events: int | None = None,
 ) -> DataFrame:
-    """Season standings as they stood after the previous calendar event."""
-    calendar = df.select(
+    """Season standings as they stood after the previous calendar event.
+
+    ``calendar`` (event, season, round) is derived from ``df`` when not given;
+    ``events`` is a known bound on its rows.
+    """
+    if calendar is None:
+        calendar = df.select(n.event, n.season, n.round).distinct()
+    calendar = calendar.select(
         F.col(n.event), F.col(n.season).alias("season"), F.col(n.round).alias("round")
-    ).distinct()
+    )
     prev = neighbours(calendar, n.event).select(n.event, f"prev_{n.event}")
-    out = checked_join(df, prev, [n.event])
+    out = checked_join(df, prev, [n.event], rows=events)
     own = {
         "position": "driver_standing_position_prev",
         "points": "driver_standing_points_prev",
@@ -291,32 +308,41 @@ def build_features(
     base = master.select(
         *keys, n.winner, n.order, n.finished, n.points, n.quali, n.grid, n.q1, n.q2, n.q3
     )
-    df = event_join(base, conditions, n.event)
-    df = peer_gaps(session_features(df, n), n)
+    # One count of events and (event, group) pairs bounds every side joined
+    # back below, and the rows of an entity or a group, which enter an event once.
+    size = base.groupBy(n.event, n.group).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_distinct(n.event).alias("events")
+    ).first()
+    events, pairs = size["events"], size["pairs"]
+
+    df = peer_gaps(session_features(base, n, events), n, pairs)
+    df = event_join(df, conditions, n.event)
 
     # One shuffle by entity serves form, peers, weather and venue history.
-    cut = split_hot(df, [n.entity], n.time()[:2]) if has_hot(df, [n.entity]) else df
+    cut = df
+    if has_hot(df, [n.entity], events):
+        cut = split_hot(df, [n.entity], n.time()[:2])
     along = [*entity_form_frames(n), *peer_frames(), *condition_frames(n.order, n, "e")]
     df = frames_over_parts(cut, [n.entity], n.time(), along)
     df = frames_over_parts(df, [n.entity, n.venue], n.time(), venue_frames(n))
     df = _no_wins_is_zero(df.drop(HOT, PART, "_pace_gap"), "driver_circuit_wins")
-    df = shrink(df, "e", n.event, "driver_wet_dry_delta")
+    df = shrink(df, "e", n.event, "driver_wet_dry_delta", rows=events)
 
     # The group blocks share one roll-up, far smaller than the facts.
-    wet = event_join(base, conditions.select(n.event, n.precip), n.event)
-    rolled = group_events(wet, n)
+    rolled = event_join(group_events(base, n), conditions.select(n.event, n.precip), n.event)
     frames = [*group_form_frames(), *condition_frames("finish", n, "g")]
-    rolled = prior_frames(rolled, [n.group], n.time(), frames)
+    rolled = prior_frames(rolled, [n.group], n.time(), frames, events)
     wins = [Prior("constructor_circuit_wins", F.col("win"), "sum")]
-    rolled = prior_frames(rolled, [n.group, n.venue], n.time(), wins)
+    rolled = prior_frames(rolled, [n.group, n.venue], n.time(), wins, events)
     rolled = _no_wins_is_zero(rolled, "constructor_circuit_wins")
-    rolled = shrink(rolled, "g", n.event, "constructor_wet_dry_delta")
+    rolled = shrink(rolled, "g", n.event, "constructor_wet_dry_delta", rows=events)
     side = rolled.select(
         n.group, n.event, *[f.out for f in group_form_frames()],
         "constructor_circuit_wins", "constructor_wet_dry_delta",
     )
-    df = checked_join(df, side, [n.group, n.event])
-    df = standings_lag(df, standings, group_standings, n)
+    df = checked_join(df, side, [n.group, n.event], rows=pairs)
+    calendar = base.select(n.event, n.season, n.round).distinct()
+    df = standings_lag(df, standings, group_standings, n, calendar, events)
     if n.precip != "race_precip_mm":
         df = df.withColumnRenamed(n.precip, "race_precip_mm")
     return df.select(*keys, *FEATURE_COLUMNS, n.winner)

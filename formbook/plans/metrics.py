@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formbook.operators.hot import average_rank
-from formbook.operators.joins import checked_join, join_back
+from formbook.operators.hot import average_rank, has_hot, tie_rank
+from formbook.operators.joins import join_back
 
 # --- fixed values --------------------------------------------------------------
 CALIBRATION_BINS = 10
@@ -56,34 +56,59 @@ def spearman(scored: DataFrame, by: Sequence[str]) -> DataFrame:
         *by, (-F.col("p")).alias("_np"), F.col("order").alias("_o")
     )
     ranked = average_rank(average_rank(pairs, by, "_np", "_a"), by, "_o", "_b")
-    return ranked.groupBy(*by).agg(
-        F.try_divide(
-            F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")
-        ).alias("spearman_corr")
-    )
+    return ranked.groupBy(*by).agg(_rank_correlation())
+
+
+def _rank_correlation() -> Column:
+    return F.try_divide(
+        F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")
+    ).alias("spearman_corr")
 
 
 def per_event_metrics(scored: DataFrame, by: Sequence[str] = ("event_id",)) -> DataFrame:
     """One row per event. Ties count against the winner: its rank is the number
-    of entrants with a probability at least as large as its own."""
+    of entrants with a probability at least as large as its own.
+
+    Events that fit a task take one shuffle for the ranks, the winner's
+    probability and the aggregate; larger ones go through split ranks and an
+    aggregate joined back.
+    """
     by = list(by)
-    marked = join_back(scored, by, F.max(F.when(F.col("y") == 1, F.col("p"))).alias("_pw"))
-    table = marked.groupBy(*by).agg(
+    ordered = "order" in scored.columns
+    winner_p = F.when(F.col("y") == 1, F.col("p"))
+    aggs = [
         F.count(F.lit(1)).alias("n_entrants"),
         F.max("_pw").alias("winner_prob"),
         F.count_if(F.col("p") >= F.col("_pw")).alias("winner_rank"),
         F.max("p").alias("max_prob"),
-    )
-    table = table.withColumns(
+    ]
+    if has_hot(scored, by):
+        marked = join_back(scored, by, F.max(winner_p).alias("_pw"))
+        table = marked.groupBy(*by).agg(*aggs)
+        if ordered:
+            table = table.join(spearman(scored, by), by, "left")
+    else:
+        marked = scored.withColumn("_pw", F.max(winner_p).over(Window.partitionBy(*by)))
+        if ordered:
+            # Rows without an order are ranked apart, then left out.
+            there = F.col("order").isNotNull()
+            marked = marked.withColumns({"_np": -F.col("p"), "_there": there})
+            known = [*by, "_there"]
+            marked = marked.withColumns(
+                {
+                    "_a": F.when(there, tie_rank(known, "_np")),
+                    "_b": F.when(there, tie_rank(known, "order")),
+                }
+            )
+            aggs.append(_rank_correlation())
+        table = marked.groupBy(*by).agg(*aggs)
+    return table.withColumns(
         {
             "top1_hit": F.col("winner_rank") == 1,
             "top3_hit": F.col("winner_rank") <= 3,
             "reciprocal_rank": 1.0 / F.col("winner_rank"),
         }
     )
-    if "order" in scored.columns:
-        table = table.join(spearman(scored, by), by, "left")
-    return table
 
 
 def winner_rank_counts(per_event: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -92,14 +117,45 @@ def winner_rank_counts(per_event: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
 def row_losses(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Log-loss and Brier score over rows."""
-    p = F.greatest(F.lit(LOG_EPS), F.least(F.lit(1 - LOG_EPS), F.col("p")))
     return scored.groupBy(*keys).agg(
-        F.avg(-F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p))).alias("log_loss"),
-        F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier_score"),
+        F.avg(_log_loss()).alias("log_loss"),
+        F.avg(_squared_error()).alias("brier_score"),
         F.count(F.lit(1)).alias("n_rows"),
     )
 
 
+def _log_loss() -> Column:
+    p = F.greatest(F.lit(LOG_EPS), F.least(F.lit(1 - LOG_EPS), F.col("p")))
+    return -F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p))
+
+
+def _squared_error() -> Column:
+    return F.pow(F.col("p") - F.col("y"), 2)
+
+
+def row_quality(
+    scored: DataFrame, n_bins: int = CALIBRATION_BINS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """``row_losses`` and ``ece`` in one pass: sums per bin, then over bins."""
+    bins = (
+        scored.withColumn("bin", probability_bin(F.col("p"), n_bins))
+        .groupBy(*keys, "bin")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.sum("p").alias("_p"),
+            F.sum("y").alias("_y"),
+            F.sum(_log_loss()).alias("_l"),
+            F.sum(_squared_error()).alias("_s"),
+        )
+    )
+    return bins.groupBy(*keys).agg(
+        F.try_divide(F.sum("_l"), F.sum("_n")).alias("log_loss"),
+        F.try_divide(F.sum("_s"), F.sum("_n")).alias("brier_score"),
+        F.sum("_n").alias("n_rows"),
+        F.try_divide(F.sum(F.abs(F.col("_y") - F.col("_p"))), F.sum("_n")).alias("ece"),
+    )
+
+
 def probability_bin(p: Column, n_bins: int) -> Column:
     """Right-closed equal bins over [0, 1]; 0 falls into the first."""
     width = 1.0 / n_bins
@@ -160,9 +216,7 @@ def metrics(
     tagged = scored if keys else scored.withColumn("_all", F.lit(1))
     by = keys or ["_all"]
     head = event_averages(per_event_metrics(tagged, [*by, event]), by)
-    out = head.join(row_losses(tagged, by), by).join(
-        ece(calibration_table(tagged, keys=by), by), by
-    )
+    out = head.join(row_quality(tagged, keys=by), by)
     out = out.withColumn("leakage_alarm", F.col("top1_accuracy") > TOP1_ALARM)
     return out if keys else out.drop("_all")
 
