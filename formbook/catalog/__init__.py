@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "features", "ranking", "scalars", "joins", "sources", "quality", "analytics", "learning", "serving",
+    "racing",
 )
 
 

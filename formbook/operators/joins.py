@@ -49,13 +49,17 @@ class JoinGuardError(ValueError):
 
 
 def guarded_join(left: DataFrame, right: DataFrame, on: Sequence[str], name: str) -> DataFrame:
-    """N:1 left join that refuses a right side with repeated keys."""
+    """N:1 left join that refuses a right side with repeated keys.
+
+    One job over the keys of ``right`` both checks them and measures the side.
+    """
     on = list(on)
-    repeated = right.groupBy(*on).count().where("count > 1").limit(5)
-    sample = [tuple(r)[:-1] for r in repeated.collect()]
-    if sample:
+    keys = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    size = keys.agg(F.count(F.lit(1)).alias("keys"), F.max("_n").alias("most")).first()
+    if size["keys"] and size["most"] > 1:
+        sample = [tuple(r)[:-1] for r in keys.where("_n > 1").orderBy(*on).limit(5).collect()]
         raise JoinGuardError(f"'{name}' repeats key {on}: {sample}")
-    return checked_join(left, right, on, "left")
+    return checked_join(left, right, on, "left", size["keys"])
 
 
 def calendar_of(facts: DataFrame, event: str = "event_id", *more: str) -> DataFrame:
