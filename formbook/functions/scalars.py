@@ -138,7 +138,9 @@ def condition_changed(before, during) -> Column:
 
 
 def clip_probability(p) -> Column:
-    return F.greatest(F.lit(PROBABILITY_EPS), F.least(F.lit(1 - PROBABILITY_EPS), _c(p)))
+    # least and greatest skip NULL, so an unknown probability is kept apart.
+    clipped = F.greatest(F.lit(PROBABILITY_EPS), F.least(F.lit(1 - PROBABILITY_EPS), _c(p)))
+    return F.when(_c(p).isNotNull(), clipped)
 
 
 def tier_label(p) -> Column:
@@ -189,7 +191,9 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     half_lat = (p2 - p1) / 2
     half_lon = F.radians(_c(lon2) - _c(lon1)) / 2
     chord = F.pow(F.sin(half_lat), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(half_lon), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
+    metres = 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
+    # least skips NULL: without an end point there is no leg.
+    return F.when(chord.isNotNull(), metres)
 
 
 def any_of(reasons: dict[str, Column]) -> Column:

@@ -126,7 +126,8 @@ def row_losses(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def _log_loss() -> Column:
     p = F.greatest(F.lit(LOG_EPS), F.least(F.lit(1 - LOG_EPS), F.col("p")))
-    return -F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p))
+    loss = -F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p))
+    return F.when(F.col("p").isNotNull(), loss)
 
 
 def _squared_error() -> Column:
