@@ -319,8 +319,8 @@ def c27(spark, folder):
     sql(
         """WITH pts AS (SELECT user_id, ts, event_id, (value % 90) AS lat, ((value * 7) % 180) AS lon FROM events),
         legs AS (SELECT user_id, lat AS a, lon AS b, LEAD(lat) OVER w AS c, LEAD(lon) OVER w AS d FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT user_id, round(SUM(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(c - a) / 2), 2)
-          + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2))))) / 1000, 3) AS km FROM legs WHERE c IS NOT NULL GROUP BY user_id"""
+        SELECT user_id, round(SUM(CASE WHEN c IS NOT NULL THEN 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(c - a) / 2), 2)
+          + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2)))) END) / 1000, 3) AS km FROM legs GROUP BY user_id"""
     ),
 )
 def c28(spark, folder):
