@@ -100,22 +100,31 @@ def class_balance(df: DataFrame, target: str = "winner") -> DataFrame:
     )
 
 
+def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value): one narrow aggregate then serves any number of columns."""
+    cells = [
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
+    ]
+    return df.select(F.inline(F.array(*cells)))
+
+
+def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, n, there, mean, var): rows, non-null values and their moments."""
+    return _long_values(df, columns).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("value").alias("there"),
+        F.avg("value").alias("mean"),
+        F.var_pop("value").alias("var"),
+    )
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, median) over non-null values, exact at any number of distinct ones.
 
     Values are counted per feature first; the running count over those finds
     the one or two middle values, in parts when a feature has very many.
     """
-    long_rows = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        )
-    ).where("value IS NOT NULL")
+    long_rows = _long_values(df, columns).where("value IS NOT NULL")
     counts = long_rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
     running = with_prefix(counts, ["feature"], [("value", True)], {"_upto": F.col("n")})
@@ -171,25 +180,33 @@ class Preprocess:
 
 
 def fit_preprocess(train: DataFrame, columns: Sequence[str], scale: bool) -> Preprocess:
+    """Medians, flags and (for scaling) mean and population deviation per input.
+
+    The moments of an imputed column follow from those of its values and the
+    number of gaps the median fills, so no second pass reads the imputed rows.
+    """
     columns = list(columns)
     medians = {r["feature"]: r["median"] for r in exact_medians(train, columns).collect()}
-    nulls = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    pre = Preprocess(columns, medians, [c for c in columns if nulls[c]])
-    if scale:
-        row = train.agg(*scaling_aggregates(pre.inputs())).first()
-        pre.means = {n: row[f"m_{n}"] for n in pre.names}
-        pre.stds = {n: row[f"s_{n}"] or 1.0 for n in pre.names}
+    moments = {r["feature"]: r for r in column_moments(train, columns).collect()}
+    flagged = [c for c in columns if moments[c]["there"] < moments[c]["n"]]
+    pre = Preprocess(columns, medians, flagged)
+    if not scale:
+        return pre
+    for c in columns:
+        n, there = moments[c]["n"], moments[c]["there"]
+        gaps, fill = n - there, medians.get(c, 0.0)
+        mean = ((moments[c]["mean"] or 0.0) * there + fill * gaps) / n
+        spread = gaps * (fill - mean) ** 2
+        if there:
+            spread += there * (moments[c]["var"] + (moments[c]["mean"] - mean) ** 2)
+        pre.means[c], pre.stds[c] = mean, math.sqrt(spread / n) or 1.0
+        if c in flagged:
+            share = gaps / n
+            pre.means[f"{c}_missing"] = share
+            pre.stds[f"{c}_missing"] = math.sqrt(share * (1 - share)) or 1.0
     return pre
 
 
-def scaling_aggregates(inputs: dict[str, Column]) -> list[Column]:
-    """Mean and population standard deviation per input."""
-    out = []
-    for name, value in inputs.items():
-        out += [F.avg(value).alias(f"m_{name}"), F.stddev_pop(value).alias(f"s_{name}")]
-    return out
-
-
 # Candidates --------------------------------------------------------------------
 
 

@@ -1,6 +1,8 @@
 """Run registered queries against their SQL in DuckDB and compare all rows.
 
-``python tests/oracle.py [-s SF] [name ...]`` runs the named ones (or all).
+``python tests/oracle.py [-s SF] [--tiny] [name ...]`` runs the named ones (or
+all); ``--tiny`` sets limits so low that groups are split and nothing is
+broadcast, which must not change a row.
 """
 
 from __future__ import annotations
@@ -77,9 +79,17 @@ def main(argv):
     sf = "0.01"
     if argv and argv[0] == "-s":
         sf, argv = argv[1], argv[2:]
+    tiny = {}
+    if argv and argv[0] == "--tiny":
+        argv = argv[1:]
+        tiny = {
+            "spark.formbook.hotGroupRows": 5,
+            "spark.formbook.hotGroupSplits": 3,
+            "spark.formbook.broadcastRows": 2,
+        }
     folder = f"/root/testdata/sf{sf}"
     spark = build_session(
-        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.driver.memory": "8g"}
+        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.driver.memory": "8g", **tiny}
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles = load()
