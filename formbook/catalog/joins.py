@@ -109,10 +109,7 @@ def d5(spark, folder):
 
 def history(facts):
     """Facts before the last season: the part already raced."""
-    last = facts.agg(F.max("season").alias("_last"))
-    return facts.withColumn("_one", F.lit(1)).join(
-        F.broadcast(last.withColumn("_one", F.lit(1))), "_one"
-    ).where(F.col("season") < F.col("_last")).drop("_one", "_last")
+    return facts.where(F.col("season") < facts.agg(F.max("season")).scalar())
 
 
 HISTORY_CTE = "history AS (SELECT * FROM contest WHERE season < (SELECT MAX(season) FROM contest))"

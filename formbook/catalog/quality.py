@@ -306,9 +306,8 @@ def b17(spark, folder):
     side = table(spark, folder, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name")
     after = J.guarded_join(facts, side, ["entity_id"], "customer")
     count = F.count(F.lit(1))
-    before = facts.agg(count.alias("rows_before")).withColumn("_one", F.lit(1))
-    rest = after.agg(count.alias("rows_after")).withColumn("_one", F.lit(1))
-    return before.join(rest, "_one").drop("_one")
+    before = facts.agg(count).scalar()
+    return after.agg(before.alias("rows_before"), count.alias("rows_after"))
 
 
 @query(

@@ -332,14 +332,13 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
     The largest value belongs to the last bin; empty bins are left out.
     """
-    edges = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    spread = F.try_divide((F.col(value) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))
+    lo, hi = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
+    spread = F.try_divide((F.col(value) - lo) * bins, hi - lo)
     index = F.least(F.lit(bins - 1), F.coalesce(F.floor(spread), F.lit(0))).cast("long")
     return (
         df.where(F.col(value).isNotNull())
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one")
-        .groupBy(index.alias("bin"))
+        .withColumn("bin", index)
+        .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

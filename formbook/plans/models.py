@@ -1,7 +1,7 @@
 """Model fitting with MLlib: preprocessing, candidates, folds, calibration.
 
 Fitted scalars (medians, means, weights) are the only values that reach the
-driver; fits and scores are distributed jobs, and folds share one checkpointed frame.
+driver; fits and scores are distributed jobs over stored rows.
 """
 
 from __future__ import annotations
@@ -31,8 +31,7 @@ from formbook.operators.hot import rank_within, with_prefix
 from formbook.operators.setops import concat
 from formbook.plans import metrics as M
 from formbook.plans.scoring import pole_probability
-from formbook.plans.splits import label_folds
-from formbook.session import checkpointed
+from formbook.plans.splits import fold_seasons
 
 # --- fixed values --------------------------------------------------------------
 SEED = 42
@@ -333,14 +332,18 @@ def out_of_fold(
     params: dict | None = None,
     season: str = "season",
 ) -> DataFrame:
-    """Rows of the held-out seasons with ``p`` from a model that never saw them."""
-    # Every fold fits on this frame several times: keep it in reliable storage.
-    labelled = checkpointed(label_folds(train, folds, season))
+    """Rows of the held-out seasons with ``p`` from a model that never saw them.
+
+    Each fit reads ``train`` several times: pass a stored table, best one
+    partitioned by season, so that a fold reads its own seasons only.
+    """
     parts = []
-    for i in range(1, folds + 1):
-        fold = labelled.where(F.col("fold") == i)
-        model = fit(name, fold.where("role = 'train'"), columns, target, params)
-        parts.append(model.score(fold.where("role = 'val'")))
+    for fold, year in enumerate(fold_seasons(train, folds, season), start=1):
+        model = fit(name, train.where(F.col(season) < year), columns, target, params)
+        held_out = train.where(F.col(season) == year).withColumns(
+            {"fold": F.lit(fold).cast("long"), "val_season": F.lit(year).cast("long")}
+        )
+        parts.append(model.score(held_out))
     return concat(parts)
 
 
@@ -421,13 +424,8 @@ def search(
 def mark_best(results: DataFrame) -> DataFrame:
     """Flag the winning configuration of a search table."""
     key = F.struct("top1", -F.col("log_loss"), -F.col("config"))
-    best = results.agg(F.max_by("config", key).alias("_best")).withColumn("_one", F.lit(1))
-    return (
-        results.withColumn("_one", F.lit(1))
-        .join(F.broadcast(best), "_one")
-        .withColumn("best", F.col("config") == F.col("_best"))
-        .drop("_one", "_best")
-    )
+    best = results.agg(F.max_by("config", key)).scalar()
+    return results.withColumn("best", F.col("config") == best)
 
 
 def fit_isotonic(scored: DataFrame, p: str = "p", y: str = "y") -> IsotonicRegressionModel:
@@ -574,13 +572,9 @@ def permutation_importance(
     frame = M.as_scored(score(shuffled), "p", target, None, *by, "event_id")
     hits = M.event_averages(M.per_event_metrics(frame, [*by, "event_id"]), by)
     base = M.event_averages(M.per_event_metrics(M.as_scored(score(df), "p", target, None)))
-    joined = hits.withColumn("_one", F.lit(1)).join(
-        F.broadcast(base.select(F.col("top1_accuracy").alias("_base"), F.lit(1).alias("_one"))),
-        "_one",
-    )
-    drop = F.col("_base") - F.col("top1_accuracy")
-    return joined.groupBy("feature").agg(
-        F.avg(drop).alias("top1_drop_mean"), F.stddev_pop(drop).alias("top1_drop_std")
+    drop = base.select("top1_accuracy").scalar() - F.col("top1_accuracy")
+    return hits.withColumn("_drop", drop).groupBy("feature").agg(
+        F.avg("_drop").alias("top1_drop_mean"), F.stddev_pop("_drop").alias("top1_drop_std")
     )
 
 

@@ -70,13 +70,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/formbook/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through reliable storage."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/formbook/checkpoints")
-    return df.checkpoint(eager=True)
-
-
 _STAGED: dict[tuple, str] = {}
 
 
