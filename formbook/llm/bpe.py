@@ -33,6 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from formbook.llm.arrow import text_slices
+
 # Characters handed to the tokenizer at once.
 PIECE_CHARS = 1 << 16
 BATCH_CHARS = 1 << 19
@@ -200,18 +202,6 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
 
 
-def _slices(batches, column: str, chars: int = BATCH_CHARS):
-    """Parts of the batches that hold about ``chars`` characters, or one longer row."""
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        at, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text or "")
-            if size >= chars or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), [t or "" for t in texts[at : i + 1]]
-                at, size = i + 1, 0
-
-
 def _encode_columns(codec: Codec, texts: list[str]) -> list[pa.Array]:
     ids = codec.encode(texts)
     spans = [codec.spans(t, x) for t, x in zip(texts, ids)]
@@ -238,7 +228,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
 
     def run(batches):
         codec = _codec(shared)
-        for part, texts in _slices(batches, text):
+        for part, texts in text_slices(batches, text, BATCH_CHARS):
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in keep), *_encode_columns(codec, texts)], [*keep, *ENCODED]
             )
@@ -269,7 +259,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
 
     def run(batches):
         codec = _codec(shared)
-        for part, texts in _slices(batches, text):
+        for part, texts in text_slices(batches, text, BATCH_CHARS):
             columns = _encode_columns(codec, texts)
             values = columns[0].values.to_numpy(), columns[0].offsets.to_numpy()
             decoded = [codec.decode(values[0][a:b]) for a, b in zip(values[1], values[1][1:])]

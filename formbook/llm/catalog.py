@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.llm import bpe, chat, mixing
+from formbook.llm import bpe, chat, mixing, quality
 from formbook.sources.tables import table
 
 QUERIES = {}
@@ -122,3 +122,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op3_text_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    weights = quality.train(docs, table(spark, folder, "labels", "doc_id", "quality"))
+    scored = quality.score(docs.withColumn("held_out", quality.is_held_out()), weights)
+    return scored.select("doc_id", "held_out", "score", "predicted")
