@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.llm import bpe, chat, mixing, quality
+from formbook.llm import bpe, chat, mixing, pii, quality
 from formbook.sources.tables import table
 
 QUERIES = {}
@@ -130,3 +130,26 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     weights = quality.train(docs, table(spark, folder, "labels", "doc_id", "quality"))
     scored = quality.score(docs.withColumn("held_out", quality.is_held_out()), weights)
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs), keep=["doc_id"], redact=False)
+
+    def said(spans):
+        one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
+        return F.array_join(one, ",")
+
+    # A base span has score 1 exactly; a tree never reaches it.
+    base = F.filter("pii", lambda s: s["score"] == 1.0)
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, pii.BASE_KINDS),
+        F.sha2(said(base), 256).alias("base_sha256"),
+        said(F.col("pii")).alias("spans"),
+    )
