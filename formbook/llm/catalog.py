@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.llm import bpe, chat, mixing, pii, quality
+from formbook.llm import bpe, chat, mixing, ngram_join, pii, quality
 from formbook.sources.tables import table
 
 QUERIES = {}
@@ -153,3 +153,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(said(base), 256).alias("base_sha256"),
         said(F.col("pii")).alias("spans"),
     )
+
+
+@query("op4_ngram_join")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    joined = ngram_join.join(table(spark, folder, "documents", "doc_id", "text"))
+    return joined.select(
+        "doc_id", "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )

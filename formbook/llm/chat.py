@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formbook.session import new_path
+from formbook.llm.graph import stored
 
 # The control strings of the template.
 START = "<|im_start|>"
@@ -37,18 +37,12 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) of ``tree, node, parent``: every leaf with the messages
     on its way to the root, ``up`` steps away. ``tree`` and ``node`` aren't null."""
     nodes = messages.select("tree", "node", "parent").dropDuplicates(["tree", "node"])
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    nodes = _stored(
+    nodes = stored(
         nodes.join(known, ["tree", "parent"], "left").select(
             "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up_node")
         ),
@@ -68,9 +62,9 @@ def paths(messages: DataFrame) -> DataFrame:
         step = way.join(jump, ["tree", "node"]).select(
             "tree", "leaf", F.col("up_node").alias("node"), (F.col("up") + (1 << k)).alias("up")
         )
-        way = _stored(way.unionByName(step), "chat-ways")
+        way = stored(way.unionByName(step), "chat-ways")
         further = jump.select("tree", F.col("node").alias("up_node"), F.col("up_node").alias("_further"))
-        jump = _stored(
+        jump = stored(
             jump.join(further, ["tree", "up_node"]).select("tree", "node", F.col("_further").alias("up_node")),
             "chat-jumps",
         )
@@ -82,7 +76,7 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``paths`` of the best ``branches`` leaves of each tree, with ``branch`` from 1."""
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
     once = messages.groupBy("tree", "node").agg(F.max(score).alias("_score"))
-    way = _stored(paths(messages), "chat-paths")
+    way = stored(paths(messages), "chat-paths")
     ranked = (
         way.join(once, ["tree", "node"])
         .groupBy("tree", "leaf")
