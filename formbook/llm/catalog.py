@@ -161,3 +161,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(
         "doc_id", "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
