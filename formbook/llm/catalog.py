@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.llm import bpe, chat, mixing, ngram_join, pii, quality
+from formbook.llm import bpe, chat, ego_join, mixing, ngram_join, pii, quality, topk
 from formbook.sources.tables import table
 
 QUERIES = {}
@@ -168,3 +168,26 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op9_grid_order_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return ego_join.join(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+OP10 = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(q.v, p.v) AS BIGINT) AS score
+  FROM whole q JOIN whole p ON q.vec_id <> p.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op10_norm_bucket_topk", OP10)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
