@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.llm import bpe, chat, ego_join, mixing, ngram_join, pii, quality, topk
+from formbook.llm import bpe, chat, chunk_dedup, ego_join, license_scan, mixing, ngram_join, pii, quality, topk
 from formbook.sources.tables import table
 
 QUERIES = {}
@@ -191,3 +191,25 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 @query("op10_norm_bucket_topk", OP10)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "source", "lang")
+    # Documents have no paths: source and language stand for their directories.
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    return license_scan.scan(docs.select("doc_id", "text", path.alias("path")))
+
+
+@query("op6_chunk_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = chunk_dedup.without_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string")))
+    return found.select(
+        "doc_id",
+        F.size("spans").cast("long").alias("n_repeats"),
+        gone.alias("repeated_chars"),
+        F.array_join(spans, ",").alias("repeats"),
+        F.col("kept_text").alias("text"),
+    )
