@@ -86,7 +86,7 @@ def _placed(unique: DataFrame, directions: np.ndarray, eps: float) -> DataFrame:
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in unique.schema.fields)
     out = unique.mapInArrow(run, f"{kinds}, at array<double>")
-    return out.withColumns({f"cell{k}": F.floor(F.col("at")[k] / eps) for k in range(len(directions[0]))})
+    return out.withColumns({f"cell{k}": F.floor(F.col("at")[k] / eps) for k in range(directions.shape[1])})
 
 
 def _blocks(placed: DataFrame, dims: int) -> DataFrame:

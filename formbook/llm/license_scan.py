@@ -4,8 +4,8 @@ A text's segments are its lines, its paragraphs and the whole of it, as far as t
 hold an anchor word (every template has one). Segment and template are sparse TF-IDF
 vectors over words; document frequencies of the template words are counted over all
 documents, any other word counts as seen once. The best template from ``THRESHOLD``
-on is the segment's license. A document whose whole text matches is a licence file
-and speaks for its directory and all below; one with a matching line or paragraph
+on is the segment's license. A document whose whole text matches
+(from ``FILE_THRESHOLD`` on) is a licence file and speaks for its directory and all below; one with a matching line or paragraph
 has a header of its own; any other inherits from the nearest directory above it.
 
 Directories are resolved once each, by joining all their ancestors with those that
@@ -30,6 +30,8 @@ from formbook.llm.arrow import append_columns, text_slices
 from formbook.llm.graph import stored
 
 THRESHOLD = 0.6
+# Cosine from which a whole text is a licence file, not a text with a header.
+FILE_THRESHOLD = 0.85
 
 # Header texts of public licenses by SPDX name.
 TEMPLATES = (
@@ -105,7 +107,7 @@ class Matcher:
         if not _ANCHOR.search(text):
             return None, 0.0, False
         whole = self.best(text)
-        if whole[1] >= THRESHOLD:
+        if whole[1] >= FILE_THRESHOLD:
             return *whole, True
         segments = dict.fromkeys(s for s in [*text.split("\n"), *re.split(r"\n\s*\n", text)] if _ANCHOR.search(s))
         found = max(map(self.best, segments), key=lambda x: x[1], default=(None, 0.0))
