@@ -249,12 +249,14 @@ def c17(spark, folder):
     "c18_era_lookup",
     sql(
         """SELECT event_id, entity_id, CASE WHEN season BETWEEN 1995 AND 1996 THEN 'first' WHEN season BETWEEN 1997 AND 1998 THEN 'second'
-        WHEN season BETWEEN 1999 AND 2000 THEN 'third' WHEN season >= 2001 THEN 'open' END AS era FROM contest""",
+        WHEN season BETWEEN 1999 AND 2000 THEN 'third' END AS era FROM contest""",
         "contest",
     ),
 )
 def c18(spark, folder):
-    return within_windows(contest.facts(spark, folder), "season", ERAS, ["era"]).select(*KEYS, "era")
+    # Without the open era, so that the last seasons have none.
+    closed = [era for era in ERAS if era[-1] is not None]
+    return within_windows(contest.facts(spark, folder), "season", closed, ["era"], outer=True).select(*KEYS, "era")
 
 
 @query(

@@ -12,7 +12,7 @@ from formbook.catalog.ranking import (
     METRIC_NAMES, METRIC_SELECT, metrics_sql, pole_of, scored_frame, scored_of,
 )
 from formbook.catalog.registry import query, r6
-from formbook.catalog.sources import result_payloads
+from formbook.catalog.sources import result_pages
 from formbook.catalog.sqltext import CONTEST, sql
 from formbook.operators.joins import calendar_of, checked_join
 from formbook.plans import contest, features as P, gates as G, metrics as M, scoring, tracking as T
@@ -234,27 +234,23 @@ def j39(spark, folder):
     "k1_incremental_ingest",
     sql(
         """SELECT season, round, 'e' || entity_id AS entity_ref, 'g' || group_id AS group_ref, grid, CASE WHEN finished = 1 THEN finish_order END AS position,
-        CAST(points AS DOUBLE) AS points FROM contest""",
+        CAST(points AS DOUBLE) AS points,
+        DENSE_RANK() OVER (ORDER BY seen) AS entity_key, DENSE_RANK() OVER (ORDER BY group_seen) AS group_key
+        FROM (SELECT *, MIN(season * 100000000 + round * 1000000 + finish_order) OVER (PARTITION BY entity_id) AS seen,
+        MIN(season * 100000000 + round * 1000000 + finish_order) OVER (PARTITION BY group_id) AS group_seen FROM contest)""",
         "contest",
     ),
 )
 def k1(spark, folder):
     source, results = new_path(spark, "arrivals"), new_path(spark, "results")
     dims = new_path(spark, "dims")
-    rows = result_payloads(contest.facts(spark, folder))
-    payloads = rows.groupBy(
-        "season", "round", F.floor((F.col("finish_order") - 1) / 1000).alias("block")
-    ).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("finish_order", "entry"))), lambda x: x["entry"]
-        ).alias("Results")
-    )
-    payloads.drop("block").write.mode("overwrite").json(source)
+    result_pages(contest.facts(spark, folder)).write.mode("overwrite").json(source)
     ingest.ingest_results(spark, source, results, dims, new_path(spark, "offsets"))
     # A second run that lost its offsets re-reads every file and adds nothing.
     out = ingest.ingest_results(spark, source, results, dims, new_path(spark, "offsets"))
     return out.select(
-        "season", "round", "entity_ref", "group_ref", "grid", "position", "points"
+        "season", "round", "entity_ref", "group_ref", "grid", "position", "points",
+        F.col("entity_id").alias("entity_key"), F.col("group_id").alias("group_key"),
     )
 
 
@@ -280,10 +276,10 @@ def k2(spark, folder):
     facts = contest.facts(spark, folder)
     source, report = new_path(spark, "finished"), new_path(spark, "report")
     facts.select("event_id", "entity_id").write.mode("overwrite").parquet(source)
-    schema = "event_id long, entity_id long"
-    for _ in range(2):
-        # The second pass replays all arrivals against the same report.
-        out = ingest.track_events(
-            spark, source, schema, facts, report, new_path(spark, "offsets"), _score
-        )
+    schema, offsets = "event_id long, entity_id long", new_path(spark, "offsets")
+    # At first the winners of every other month are not known; the second pass has
+    # them but no arrivals, and the third replays all arrivals.
+    unknown = facts.withColumn("winner", F.when(F.col("round") % 2 == 1, F.col("winner")))
+    for seen, at in ((unknown, offsets), (facts, offsets), (facts, new_path(spark, "offsets"))):
+        out = ingest.track_events(spark, source, schema, seen, report, at, _score)
     return out.select("event_id", *[r6(m) for m in METRIC_NAMES], "n_events", "n_rows")

@@ -110,6 +110,19 @@ def result_payloads(facts):
     return facts.select("season", "round", "event_id", "finish_order", entry.alias("entry"))
 
 
+PAGE = 1000
+
+
+def result_pages(facts):
+    """Payloads of an event in pages, so that no array holds a whole event."""
+    page = F.floor((F.col("finish_order") - 1) / PAGE)
+    entries = F.sort_array(F.collect_list(F.struct("finish_order", "entry")))
+    paged = result_payloads(facts).groupBy("season", "round", page.alias("page")).agg(
+        F.transform(entries, lambda x: x["entry"]).alias("Results")
+    )
+    return paged.select("season", "round", (F.col("page") * PAGE).alias("offset"), "Results")
+
+
 @query(
     "a6_nested_results",
     sql(
@@ -117,21 +130,13 @@ def result_payloads(facts):
         COALESCE(position_text, 'R') AS position_text, CASE WHEN finished = 1 THEN 1 ELSE 31 END AS status_id, CAST(points AS DOUBLE) AS points,
         CASE WHEN finished = 1 THEN finish_order END AS laps, CASE WHEN finished = 1 THEN q1 END AS time,
         CASE WHEN q2 IS NOT NULL THEN quali_position END AS fastest_lap_rank, q2 AS fastest_lap_time,
-        (finish_order - 1) % 1000 + 1 AS position_order FROM contest""",
+        finish_order AS position_order FROM contest""",
         "contest",
     ),
 )
 def a6_nested(spark, folder):
     path = new_path(spark, "json")
-    rows = result_payloads(contest.facts(spark, folder))
-    # One payload per event and block of 1000 places: no array holds a whole event.
-    block = F.floor((F.col("finish_order") - 1) / 1000)
-    payloads = rows.groupBy("season", "round", block.alias("block")).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("finish_order", "entry"))), lambda x: x["entry"]
-        ).alias("Results")
-    )
-    payloads.drop("block").write.mode("overwrite").json(path)
+    result_pages(contest.facts(spark, folder)).write.mode("overwrite").json(path)
     flat = files.flatten_results(spark.read.schema(files.RESULT_PAYLOAD).json(path))
     return flat.drop("number", "milliseconds", "fastest_lap")
 

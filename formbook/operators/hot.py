@@ -10,7 +10,8 @@ quantiles, and what crosses a part boundary is added from a table with one row
 per (group, part).
 
 Cutting at quantiles is exact whatever the quantiles are: they only decide the
-balance. Rows equal to a cut value form a part of their own, divided again by
+balance. Parts still too large are cut again, so their number follows the size of
+the group. Rows equal to a cut value form a part of their own, divided again by
 the second sort column, so a single value shared by all rows is split as well.
 """
 
@@ -56,40 +57,65 @@ def has_hot(df: DataFrame, by: Sequence[str], rows: int | None = None) -> bool:
     return not hot_keys(df, by).isEmpty()
 
 
-def _signed(name: str, asc: bool) -> Column:
-    return F.col(name) if asc else -F.col(name)
+def _number(df: DataFrame, name: str, asc: bool) -> Column:
+    """A number along the sort order of a column; of text, its first six bytes."""
+    value = F.col(name)
+    if dict(df.dtypes)[name] == "string":
+        head = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0")
+        value = F.conv(head, 16, 10).cast("long")
+    return value if asc else -value
 
 
 def split_hot(df: DataFrame, by: Sequence[str], order: Order) -> DataFrame:
     """Add ``_part`` and ``_hot``; ``order`` names one or two sort columns.
 
-    The first must be numeric. A text column after it is left out of the cut:
-    rows that tie on the first stay together.
+    Each round cuts every group or part above the session limit into a few; parts
+    that are still more than twice the limit are cut again, so the number of parts
+    follows the size of the group. It ends when all are small, or when rows equal
+    in the sort columns leave nothing to cut.
+    """
+    limit, splits = hot_group_rows(df.sparkSession), hot_group_splits(df.sparkSession)
+    out = _cut(df.withColumn(PART, F.lit(0).cast("long")), [*by, PART], order, limit, splits)
+    out = out.withColumn(HOT, F.col(_CUT_HERE)).drop(_CUT_HERE)
+    seen = None
+    while True:
+        sizes = out.where(HOT).groupBy(*by, PART).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * limit)
+        left = sizes.agg(F.count(F.lit(1)), F.max("_n"), F.sum("_n")).first()
+        if not left[0] or left == seen:
+            return out
+        seen = left
+        out = _cut(out, [*by, PART], order, 2 * limit, splits).drop(_CUT_HERE)
+
+
+_CUT_HERE = "_cut_here"
+
+
+def _cut(df: DataFrame, key: Sequence[str], order: Order, limit: int, splits: int) -> DataFrame:
+    """Cut the groups of ``key`` (its last column is the part) with more rows than
+    ``limit``; parts are renumbered along the order, ``_cut_here`` marks rows of cut ones.
 
-    The quantile table holds one row per hot key. Each hot key has more than
-    ``hotGroupRows`` rows, so there are fewer than rows/limit of them (under
-    100,000 for 10^12 rows), which bounds the broadcast.
+    The quantile table holds one row per group to cut. Each has more than ``limit``
+    rows, so there are fewer than rows/limit of them (under 100,000 for 10^12 rows),
+    which bounds the broadcast.
     """
-    splits = hot_group_splits(df.sparkSession)
-    kinds = dict(df.dtypes)
-    order = [(c, asc) for c, asc in order if kinds[c] != "string"]
     cuts = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     first = order[0]
     second = order[1] if len(order) > 1 else None
-    aggs = [F.array_distinct(F.percentile_approx(_signed(*first), cuts)).alias("_cut1")]
+    aggs = [F.array_distinct(F.percentile_approx(_number(df, *first), cuts)).alias("_cut1")]
     if second:
-        aggs.append(F.array_distinct(F.percentile_approx(_signed(*second), cuts)).alias("_cut2"))
-    hot = F.broadcast(hot_keys(df, by))
-    edges = df.join(hot, list(by), "left_semi").groupBy(*by).agg(*aggs)
-    out = df.join(F.broadcast(edges), list(by), "left")
-    value = _signed(*first)
+        aggs.append(F.array_distinct(F.percentile_approx(_number(df, *second), cuts)).alias("_cut2"))
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(sizes.where(F.col("_n") > limit).select(*key))
+    edges = df.join(hot, list(key), "left_semi").groupBy(*key).agg(*aggs)
+    out = df.join(F.broadcast(edges), list(key), "left")
+    value = _number(df, *first)
     tie = F.coalesce(F.array_contains("_cut1", value), F.lit(False))
     below = F.when(value.isNull(), F.size("_cut1")).otherwise(
         F.size(F.filter("_cut1", lambda e: e < value))
     )
     inner = F.lit(0)
     if second:
-        value2 = _signed(*second)
+        value2 = _number(df, *second)
         inner = F.when(value2.isNull(), F.size("_cut2")).otherwise(
             F.size(F.filter("_cut2", lambda e: e < value2))
         )
@@ -97,10 +123,12 @@ def split_hot(df: DataFrame, by: Sequence[str], order: Order) -> DataFrame:
         # so they too are divided by the second column.
         tie = tie | value.isNull()
     part = 1 + (2 * below + tie.cast("int")) * (splits + 1) + F.when(tie, inner).otherwise(0)
-    hot_row = F.col("_cut1").isNotNull()
+    here = F.coalesce(F.col("_cut1").isNotNull(), F.lit(False))
+    # More than the largest number a cut can give.
+    step = 2 * (splits + 1) ** 2 + 2
     return (
-        out.withColumn(HOT, hot_row)
-        .withColumn(PART, F.when(hot_row, part).otherwise(F.lit(0)).cast("long"))
+        out.withColumn(_CUT_HERE, here)
+        .withColumn(PART, F.col(PART) * step + F.when(here, part).otherwise(0).cast("long"))
         .drop("_cut1", "_cut2")
     )
 

@@ -178,13 +178,13 @@ def roster_as_of(
 
 
 def within_windows(
-    df: DataFrame, value: str, windows: Sequence[tuple], names: Sequence[str]
+    df: DataFrame, value: str, windows: Sequence[tuple], names: Sequence[str], outer: bool = False
 ) -> DataFrame:
     """Range join to a short literal table of ``(name..., lo, hi)`` windows.
 
     The windows are constants, so each row expands to the ones holding its
     value with no join at all. ``hi`` None is open. Rows in several windows
-    repeat; rows in none drop out.
+    repeat; rows in none drop out, or stay with NULLs if ``outer``.
     """
     table = F.array(
         *[
@@ -200,7 +200,7 @@ def within_windows(
         table,
         lambda w: (F.col(value) >= w["lo"]) & (w["hi"].isNull() | (F.col(value) <= w["hi"])),
     )
-    return df.select("*", F.inline(held))
+    return df.select("*", F.inline_outer(held) if outer else F.inline(held))
 
 
 def interval_totals(

@@ -77,8 +77,15 @@ def failed_casts(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def cast_strict(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Cast by map; ANSI casts raise on the first value that does not fit."""
-    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
+    """Cast by map; the first value that does not fit raises, with its column."""
+
+    def cast(c: str, t: str) -> Column:
+        value = F.col(c).try_cast(t)
+        said = F.concat(F.lit(f"column {c}: not a {t}: "), F.col(c).cast("string"))
+        broken = F.col(c).isNotNull() & value.isNull()
+        return F.when(broken, F.raise_error(said).cast(t)).otherwise(value)
+
+    return df.withColumns({c: cast(c, t) for c, t in types.items() if c in df.columns})
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,7 +121,9 @@ def orphans(facts: DataFrame, dimension: DataFrame, key: str, name: str) -> Data
 def events_without_one_winner(
     df: DataFrame, event: str = "event_id", winner: str = "winner"
 ) -> DataFrame:
-    return df.groupBy(event).agg(F.sum(winner).alias("winners")).where("winners <> 1")
+    """Events with none or several winners; unknown winners count as none."""
+    winners = F.coalesce(F.sum(winner), F.lit(0)).alias("winners")
+    return df.groupBy(event).agg(winners).where("winners <> 1")
 
 
 def null_rates(df: DataFrame, columns: Sequence[str], limit: float = 0.6) -> DataFrame:

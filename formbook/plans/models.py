@@ -54,16 +54,16 @@ SEARCH_RANGES = {
 }
 DEFAULTS = {
     "logreg": {"C": 1.0, "maxIter": 2000, "tol": 1e-4},
-    "random_forest": {"numTrees": 400, "minInstancesPerNode": 3, "maxDepth": 16},
+    "random_forest": {"numTrees": 400, "minInstancesPerNode": 3, "maxDepth": 30},
     "boosted_trees": {
         "maxIter": 400, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 2,
         "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9",
     },
 }
 PERMUTATION_REPEATS = 5
-# Calibration inputs are pooled on this grid, the step at which outputs are
-# clipped: at most a million points reach the isotonic fit.
-CALIBRATION_DIGITS = 6
+# Distinct scores that the isotonic fit sees at most; with more, neighbours are merged
+# by weight for the fit. Scoring never rounds.
+CALIBRATION_POINTS = 1_000_000
 # ------------------------------------------------------------------------------
 
 
@@ -233,8 +233,7 @@ class Fitted:
             )
         if self.calibrator is None:
             return scored
-        grid = scored.withColumn("_p", F.round(out, CALIBRATION_DIGITS))
-        mapped = self.calibrator.transform(grid)
+        mapped = self.calibrator.transform(scored.withColumn("_p", F.col(out)))
         return mapped.withColumn(out, clip_probability("_calibrated")).drop("_p", "_calibrated")
 
 
@@ -431,12 +430,19 @@ def mark_best(results: DataFrame) -> DataFrame:
 def fit_isotonic(scored: DataFrame, p: str = "p", y: str = "y") -> IsotonicRegressionModel:
     """Monotone map from probability to observed frequency.
 
-    Rows are pooled on the probability grid first, so the fit sees weighted
-    means, a bounded number of them, instead of rows.
+    Rows are pooled on equal probabilities first, so the fit sees weighted means.
+    Where there are more than ``CALIBRATION_POINTS`` of them, runs of neighbours with
+    equal shares of the weight become their weighted mean.
     """
-    pooled = scored.groupBy(F.round(p, CALIBRATION_DIGITS).alias("_p")).agg(
+    pooled = scored.groupBy(F.col(p).alias("_p")).agg(
         F.avg(F.col(y).cast("double")).alias("_mean"), F.count(F.lit(1)).cast("double").alias("_w")
     )
+    size = pooled.agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w")).first()
+    if size["n"] > CALIBRATION_POINTS:
+        running = with_prefix(pooled, [], [("_p", True)], {"_to": F.col("_w")})
+        run = F.ceil(F.col("_to") * CALIBRATION_POINTS / size["w"])
+        mean = lambda c: (F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c)
+        pooled = running.groupBy(run.alias("_run")).agg(mean("_p"), mean("_mean"), F.sum("_w").alias("_w"))
     return IsotonicRegression(
         featuresCol="_p", labelCol="_mean", weightCol="_w", predictionCol="_calibrated"
     ).fit(pooled)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A group above this many rows is split across tasks (operators/hot.py).
 HOT_GROUP_ROWS = 10_000_000
-# Pieces a split group is cut into.
+# Pieces a group or part is cut into at a time; what stays too large is cut again.
 HOT_GROUP_SPLITS = 64
 # A join side is broadcast only when it is counted to hold at most this many rows.
 BROADCAST_ROWS = 200_000

@@ -65,7 +65,7 @@ def scan_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 _WHO = "struct<driverId:string,givenName:string,familyName:string>"
 _TEAM = "struct<constructorId:string,name:string>"
 RESULT_PAYLOAD = (
-    "season long, round long, Results array<struct<"
+    "season long, round long, offset long, Results array<struct<"
     f"Driver:{_WHO},Constructor:{_TEAM},number:string,grid:string,positionText:string,"
     "points:string,laps:string,Time:struct<time:string,millis:string>,"
     "FastestLap:struct<lap:string,rank:string,Time:struct<time:string>>>>"
@@ -84,14 +84,20 @@ STANDINGS_PAYLOAD = (
 
 
 def flatten_results(payloads: DataFrame) -> DataFrame:
-    """One row per result; the place in the array is the finishing order."""
+    """One row per result; the place in the array is the finishing order.
+
+    A payload that is one of several pages of an event says in ``offset`` how many
+    results stand on the pages before it.
+    """
     from formbook.functions.scalars import finish_normalised
 
-    rows = payloads.select("season", "round", F.posexplode("Results").alias("_at", "r"))
+    rows = payloads.select(
+        "season", "round", F.coalesce("offset", F.lit(0)).alias("_start"), F.posexplode("Results").alias("_at", "r")
+    )
     return rows.select(
         "season",
         "round",
-        (F.col("_at") + 1).cast("long").alias("position_order"),
+        (F.col("_start") + F.col("_at") + 1).cast("long").alias("position_order"),
         F.col("r.Driver.driverId").alias("entity_ref"),
         F.col("r.Constructor.constructorId").alias("group_ref"),
         F.col("r.number").try_cast("long").alias("number"),

@@ -20,9 +20,9 @@ def spark():
 
 @pytest.fixture
 def cut_small(spark):
-    """Treat groups above three rows as hot, in four pieces."""
+    """Treat groups above three rows as hot, in sixteen pieces."""
     spark.conf.set("spark.formbook.hotGroupRows", "3")
-    spark.conf.set("spark.formbook.hotGroupSplits", "4")
+    spark.conf.set("spark.formbook.hotGroupSplits", "16")
     yield
     spark.conf.unset("spark.formbook.hotGroupRows")
     spark.conf.unset("spark.formbook.hotGroupSplits")

@@ -293,3 +293,30 @@ def test_roster_comes_from_the_latest_completed_event(spark):
     named = spark.createDataFrame([(4, 99, 1)], "event_id long, entity_id long, group_id long")
     only = roster_as_of(calendar.where("event_id = 4"), calendar, facts, named).collect()
     assert [tuple(r) for r in only] == [(4, 99, 1)]
+
+
+def test_unknown_winners_leave_an_event_open(spark):
+    from formbook.operators.quality import events_without_one_winner
+
+    rows = [(1, 1), (1, 0), (2, None), (2, None), (3, 1), (3, 1), (4, 0), (5, None), (5, 1)]
+    got = events_without_one_winner(spark.createDataFrame(rows, "event_id long, winner int"))
+    assert {(r["event_id"], r["winners"]) for r in got.collect()} == {(2, 0), (3, 2), (4, 0)}
+
+
+def test_season_outside_all_windows_keeps_its_row(spark):
+    from formbook.operators.joins import within_windows
+
+    df = spark.createDataFrame([(1999,), (2005,), (None,)], "season int")
+    got = within_windows(df, "season", [("a", 1998, 2000)], ["era"], outer=True)
+    assert {(r["season"], r["era"]) for r in got.collect()} == {(1999, "a"), (2005, None), (None, None)}
+
+
+def test_strict_cast_names_the_column(spark):
+    import pytest
+
+    from formbook.operators.quality import cast_strict
+
+    df = spark.createDataFrame([("1", "x"), (None, "2")], "a string, b string")
+    assert [r["a"] for r in cast_strict(df, {"a": "long"}).collect()] == [1, None]
+    with pytest.raises(Exception, match="column b: not a long: x"):
+        cast_strict(df, {"a": "long", "b": "long"}).collect()

@@ -36,7 +36,7 @@ def test_hot_group_is_divided_even_when_all_values_tie(spark, cut_small):
     df = _rows(spark).withColumn("w", F.lit(1))
     parts = split_hot(df, ["k"], [("w", True), ("i", True)]).where("k = 0")
     sizes = [r["count"] for r in parts.groupBy(PART).count().collect()]
-    assert len(sizes) == 4 and max(sizes) <= 60
+    assert max(sizes) <= 6
     got = rank_within(df, ["k"], [("w", True), ("i", True)], "r")
     order = Window.partitionBy("k").orderBy("i")
     _same(got, df.withColumn("r", F.row_number().over(order)), "k", "i", "r")
@@ -99,3 +99,25 @@ def test_first_row_has_no_frame(spark):
     rows = spark.createDataFrame([(1, i, 1.0) for i in range(1, 5)], "k int, i int, win double")
     got = prior_frames(rows, ["k"], [("i", True)], [Prior("w3", F.col("win"), "sum", 3)])
     assert [r["w3"] for r in got.orderBy("i").collect()] == [None, 1.0, 2.0, 3.0]
+
+
+def test_parts_follow_the_size_of_the_group(spark, cut_small):
+    df = spark.range(30_000).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.xxhash64("id").alias("v"))
+    try:
+        spark.conf.set("spark.formbook.hotGroupSplits", "64")
+        for limit in (3_000, 10):
+            spark.conf.set("spark.formbook.hotGroupRows", str(limit))
+            parts = split_hot(df, ["k"], [("v", True), ("i", True)]).groupBy(PART)
+            sizes = parts.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+            rows = sorted(tuple(r) for r in sizes.collect())
+            assert max(r[1] for r in rows) <= 2 * limit and sum(r[1] for r in rows) == 30_000
+            assert all(x[3] <= y[2] for x, y in zip(rows, rows[1:]))
+    finally:
+        spark.conf.set("spark.formbook.hotGroupRows", "3")
+
+
+def test_order_of_text_only_is_cut_too(spark, cut_small):
+    df = spark.range(200).select(F.lit(1).alias("k"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
+    got = rank_within(df, ["k"], [("t", False)], "r")
+    names = sorted((f"t{i}" for i in range(200)), reverse=True)
+    assert {r["t"]: r["r"] for r in got.collect()} == {n: i + 1 for i, n in enumerate(names)}

@@ -233,3 +233,29 @@ def test_streamed_ingest_mints_each_key_once(spark, tmp_path):
     ids = {(r["entity_ref"], r["entity_id"]) for r in third.collect()}
     assert len(ids) == 3 and {i for _, i in ids} == {1, 2, 3}
     assert third.where("group_id IS NULL").count() == 0
+
+
+def test_calibration_tells_close_scores_apart(spark):
+    from pyspark.sql import functions as F
+
+    from formbook.plans.models import fit_isotonic
+
+    # Scores within a millionth of each other, as shares of large fields are.
+    df = spark.range(2000).select(
+        (1e-7 + F.col("id") * 1e-10).alias("p"), (F.col("id") % 2000 >= 1000).cast("double").alias("y")
+    )
+    mapped = fit_isotonic(df).transform(df.withColumnRenamed("p", "_p"))
+    got = {r["_calibrated"] for r in mapped.where("y = 0").collect()}, {r["_calibrated"] for r in mapped.where("y = 1").collect()}
+    assert got == ({0.0}, {1.0})
+
+
+def test_calibration_merges_neighbours_only_in_the_fit(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from formbook.plans import models
+
+    df = spark.range(4000).select((F.col("id") / 4000).alias("p"), (F.col("id") % 4000 >= 2000).cast("double").alias("y"))
+    monkeypatch.setattr(models, "CALIBRATION_POINTS", 100)
+    mapped = models.fit_isotonic(df).transform(df.withColumnRenamed("p", "_p"))
+    wrong = mapped.where("abs(_calibrated - y) > 0.5").count()
+    assert wrong <= 40 and mapped.select("_calibrated").distinct().count() > 2
