@@ -416,3 +416,14 @@ def h4(spark, folder):
     train = events.where("season <= 1998").select("event_id")
     test = events.where("season > 1998").select("event_id")
     return train.intersect(test).agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query("h6_fold_concat", sql("SELECT season AS fold, event_id, entity_id, winner FROM contest WHERE season BETWEEN 1997 AND 1999", "contest"))
+def h6(spark, folder):
+    from formbook.operators.setops import concat
+
+    facts = contest.facts(spark, folder)
+    folds = [
+        facts.where(F.col("season") == s).select(F.lit(s).cast("long").alias("fold"), *KEYS, "winner") for s in (1997, 1998, 1999)
+    ]
+    return concat(folds)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from formbook.catalog.features import KEYS, features_of
@@ -144,33 +146,67 @@ def learning_frame(spark, folder):
 COLUMNS = active_features()
 
 
-@query("j5_logistic_regression")
+def with_checks(scored, *columns):
+    """What SQL can check of a fit's scores: their rows, that all are probabilities,
+    and that they tell rows apart."""
+    spread = scored.agg(F.count_distinct("p") > 1).scalar()
+    inside = F.coalesce(F.col("p").between(0, 1), F.lit(False))
+    return scored.select(*columns, inside.alias("p_in_unit"), spread.alias("p_varies"))
+
+
+def scores_sql(columns: str, where: str) -> str:
+    return sql(f"SELECT {columns}, TRUE AS p_in_unit, TRUE AS p_varies FROM contest WHERE {where}", "contest")
+
+
+def in_unit(*names: str):
+    """Are all of these metrics known and between 0 and 1?"""
+    parts = [F.coalesce(F.col(n).between(0, 1), F.lit(False)) for n in names]
+    return reduce(lambda a, b: a & b, parts).alias("metrics_in_unit")
+
+
+UNIT_METRICS = ("top1_accuracy", "top3_recall", "winner_mrr", "brier_score", "ece")
+LATE = scores_sql("event_id, entity_id", "season > 1999")
+
+
+@query("j5_logistic_regression", LATE)
 def j5(spark, folder):
     df = learning_frame(spark, folder)
     model = L.fit("logreg", df.where("season <= 1999"), COLUMNS)
-    return model.score(df.where("season > 1999")).select(*KEYS, "p")
+    return with_checks(model.score(df.where("season > 1999")), *KEYS)
 
 
-@query("j6_random_forest")
+@query("j6_random_forest", LATE)
 def j6(spark, folder):
     df = learning_frame(spark, folder)
     params = {"numTrees": 20, "maxDepth": 8}
     model = L.fit("random_forest", df.where("season <= 1999"), COLUMNS, params=params)
-    return model.score(df.where("season > 1999")).select(*KEYS, "p")
+    return with_checks(model.score(df.where("season > 1999")), *KEYS)
 
 
-@query("j7_boosted_trees")
+@query("j7_boosted_trees", LATE)
 def j7(spark, folder):
     df = learning_frame(spark, folder)
     params = {"maxIter": 10, "maxDepth": 4}
     model = L.fit("boosted_trees", df.where("season <= 1999"), COLUMNS, params=params)
-    return model.score(df.where("season > 1999")).select(*KEYS, "p")
+    return with_checks(model.score(df.where("season > 1999")), *KEYS)
+
+
+# Every fold that five seasons allow.
+FOLDS = 4
 
 
-@query("j8_cross_validation")
+@query(
+    "j8_cross_validation",
+    sql(
+        """SELECT CAST(DENSE_RANK() OVER (ORDER BY season) AS INTEGER) AS fold, season AS val_season, COUNT(DISTINCT event_id) AS n_events,
+        COUNT(*) AS n_rows, TRUE AS metrics_in_unit FROM contest WHERE season BETWEEN 1996 AND 1999 GROUP BY season""",
+        "contest",
+    ),
+)
 def j8(spark, folder):
     train = learning_frame(spark, folder).where("season <= 1999")
-    return L.cross_validate(train, "logreg", COLUMNS, 2)
+    out = L.cross_validate(train, "logreg", COLUMNS, FOLDS)
+    return out.select("fold", "val_season", "n_events", "n_rows", in_unit(*UNIT_METRICS))
 
 
 @query(
@@ -190,32 +226,46 @@ def j9(spark, folder):
     return L.fold_summary(folds).select("metric", r6("mean"), r6("std"))
 
 
-@query("j10_random_search")
+@query(
+    "j10_random_search",
+    "SELECT * FROM (VALUES (0, TRUE, CAST(1 AS BIGINT)), (1, TRUE, CAST(1 AS BIGINT))) AS t(config, metrics_in_unit, best_configs)",
+)
 def j10(spark, folder):
     train = learning_frame(spark, folder).where("season <= 1998")
-    return L.search(train, "logreg", COLUMNS, 1, 2)
+    out = L.search(train, "logreg", COLUMNS, 1, 2)
+    best = out.agg(F.count_if("best")).scalar()
+    return out.select(F.col("config").cast("int").alias("config"), in_unit("top1"), best.alias("best_configs"))
 
 
-@query("j12_out_of_fold")
+@query("j12_out_of_fold", scores_sql("event_id, entity_id, season, winner", "season BETWEEN 1996 AND 1999"))
 def j12(spark, folder):
     train = learning_frame(spark, folder).where("season <= 1999")
-    return L.out_of_fold(train, "logreg", COLUMNS, 2).select(*KEYS, "season", "p", "winner")
+    return with_checks(L.out_of_fold(train, "logreg", COLUMNS, FOLDS), *KEYS, "season", "winner")
 
 
-@query("j13_isotonic_calibration")
+@query("j13_isotonic_calibration", LATE)
 def j13(spark, folder):
     df = learning_frame(spark, folder)
     model = L.fit_calibrated(df.where("season <= 1999"), "logreg", COLUMNS, 2)
-    return model.score(df.where("season > 1999")).select(*KEYS, "p")
+    return with_checks(model.score(df.where("season > 1999")), *KEYS)
 
 
-@query("j25_native_importance")
+@query(
+    "j25_native_importance",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{FEATURE_CLASSES[c]}', TRUE)" for c in COLUMNS) + ") AS t(feature, class, has_importance)",
+)
 def j25(spark, folder):
     df = learning_frame(spark, folder).where("season <= 1999")
-    return L.importance(spark, L.fit("logreg", df, COLUMNS), FEATURE_CLASSES)
+    out = L.importance(spark, L.fit("logreg", df, COLUMNS), FEATURE_CLASSES)
+    # Which missing flags there are depends on the fit's rows; features are known.
+    known = F.coalesce(F.col("importance") >= 0, F.lit(False)).alias("has_importance")
+    return out.where(~F.col("is_missing_flag")).select("feature", "class", known)
 
 
-@query("j26_permutation_importance")
+@query(
+    "j26_permutation_importance",
+    "SELECT * FROM (VALUES ('grid_adjusted', TRUE, TRUE), ('driver_points_last_5', FALSE, TRUE)) AS t(feature, matters, drop_in_unit)",
+)
 def j26(spark, folder):
     from formbook.plans.scoring import pole_probability
 
@@ -224,7 +274,10 @@ def j26(spark, folder):
     def score(frame):
         return frame.withColumn("p", pole_probability("grid_adjusted"))
 
-    return L.permutation_importance(score, df, ["grid_adjusted", "driver_points_last_5"])
+    out = L.permutation_importance(score, df, ["grid_adjusted", "driver_points_last_5"])
+    # The rule looks at the grid alone.
+    drop = F.abs("top1_drop_mean")
+    return out.select("feature", (drop > 0).alias("matters"), (drop <= 1).alias("drop_in_unit"))
 
 
 WEIGHTS = {"grid": -1.5, "quali_position": -0.5, "points": 0.25, "finished": 2.0}
@@ -260,11 +313,17 @@ def j28(spark, folder):
     return out.select("label", "event_id", "entity_id", r6("p"))
 
 
-@query("j29_stage_fit")
+@query(
+    "j29_stage_fit",
+    sql(
+        "SELECT COUNT(DISTINCT event_id) AS n_events, COUNT(*) AS n_rows, TRUE AS metrics_in_unit FROM contest WHERE season = 1999",
+        "contest",
+    ),
+)
 def j29(spark, folder):
     df = I.checked_split(learning_frame(spark, folder), SPLITS[0])
     _, table = L.fit_for_stage(df, "production", "logreg", COLUMNS)
-    return table
+    return table.select("n_events", "n_rows", in_unit(*UNIT_METRICS))
 
 
 @query(

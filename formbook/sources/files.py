@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,16 +215,19 @@ def publish(spark: SparkSession, source: str, target: str, names: Sequence[str])
 def fingerprint(df: DataFrame) -> DataFrame:
     """(rows, fingerprint): a content hash that row order does not change.
 
-    Row hashes are combined by xor and by sum, so repeated rows do not cancel.
+    A row is its values as text (numbers with fractions to six places, null as a
+    mark of its own); the leading digits of its MD5 are summed, so that repeated rows
+    do not cancel and other engines can compute the same.
     """
-    row = F.xxhash64(*df.columns)
-    parts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(row).alias("x"),
-        F.sum(row.cast("decimal(20,0)")).alias("s"),
-    )
-    text = F.concat_ws(":", F.col("rows"), F.coalesce("x", F.lit(0)), F.coalesce("s", F.lit(0)))
-    digest = F.substring(F.sha2(text, 256), 1, 12)
+
+    def text(name: str, kind: str) -> Column:
+        value = F.col(name).cast("decimal(38,6)") if kind in ("double", "float") or "decimal" in kind else F.col(name)
+        return F.coalesce(value.cast("string"), F.lit("\\N"))
+
+    digits = F.substring(F.md5(F.concat_ws("|", *[text(c, k) for c, k in df.dtypes])), 1, 12)
+    number = F.conv(digits, 16, 10).cast("decimal(38,0)")
+    parts = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(number), F.lit(0)).alias("s"))
+    digest = F.substring(F.sha2(F.concat_ws(":", F.col("rows"), F.col("s").cast("string")), 256), 1, 12)
     return parts.select(
         "rows", F.concat(F.col("rows").cast("string"), F.lit("rows-"), digest).alias("fingerprint")
     )
