@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 # Characters of text that one step of a function holds at once.
@@ -15,12 +16,14 @@ def text_slices(batches, column: str, chars: int = SLICE_CHARS) -> Iterator[tupl
     """Parts of the batches with their texts (null: empty): about ``chars`` characters
     each, or one longer row."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
+        sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
         at, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text or "")
-            if size >= chars or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), [t or "" for t in texts[at : i + 1]]
+        for i, more in enumerate(sizes):
+            size += more
+            if size >= chars or i + 1 == len(sizes):
+                # Only this part's texts become Python strings.
+                part = batch.slice(at, i + 1 - at)
+                yield part, [t or "" for t in part.column(column).to_pylist()]
                 at, size = i + 1, 0
 
 

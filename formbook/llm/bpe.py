@@ -39,7 +39,9 @@ from formbook.llm.arrow import text_slices
 PIECE_CHARS = 1 << 16
 BATCH_CHARS = 1 << 19
 # Distinct matches a worker remembers.
-KNOWN_MATCHES = 400_000
+KNOWN_MATCHES = 200_000
+# Matches given to the library in one call; its results are large.
+LEARN_AT_ONCE = 2_000
 
 
 def byte_characters() -> list[str]:
@@ -129,6 +131,8 @@ class Codec:
             self.bytes[i] = bytes(back[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
+        # One object per id for all entries of ``known``.
+        self.ids = list(range(len(self.bytes)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [[self.matches(piece) for piece in split_safely(text)] for text in texts]
@@ -138,14 +142,16 @@ class Codec:
     def look_up(self, words) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
 
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
+    def learn(self, found: set[str]) -> None:
+        new = found.difference(self.known)
         if len(self.known) + len(new) > KNOWN_MATCHES:
             self.known.clear()
-            new = words
+            new = found
         new = list(new)
-        for word, one in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = tuple(one.ids)
+        for at in range(0, len(new), LEARN_AT_ONCE):
+            words = new[at : at + LEARN_AT_ONCE]
+            for word, one in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+                self.known[word] = tuple(map(self.ids.__getitem__, one.ids))
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code-point start and end of each token."""

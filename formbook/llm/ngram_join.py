@@ -43,7 +43,7 @@ HASHES, STEP = 128, 32
 TOLERANCE = 1e-6
 # Classes per block of a bucket.
 BLOCK = 512
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 

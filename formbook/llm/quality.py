@@ -36,7 +36,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.3, 1.0
 # Distances at which a word that comes back is an n-gram of its own.
 REPEAT_LAGS = (1, 2, 3, 4)
 # Word hashes that a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 
 _WORDS = re.compile(r"\w+|[^\w\s]+")
 
