@@ -22,7 +22,8 @@ HEADLINES = (
     "e22_wins_pivot", "e32_radar_scores", "e37_rising_and_fading", "i2_all_strategies",
     "j3_exact_medians", "j14_batch_scoring", "j15_per_event_table", "j22_metric_row",
     "j23_metrics_by_season", "j34_running_evaluation", "j36_what_if_each",
-    "j37_materialised_next_event", "j39_backtest",
+    "j37_materialised_next_event", "j39_backtest", "j3_imputed_and_flagged", "j5_logistic_regression",
+    "j26_permutation_importance", "k1_incremental_ingest", "master_build",
 )
 
 

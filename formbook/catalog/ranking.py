@@ -15,24 +15,26 @@ from formbook.operators.hot import average_rank
 from formbook.operators.joins import checked_join, join_back
 from formbook.plans import contest, metrics as M, scoring
 from formbook.plans.features import CONTEST
+from formbook.session import staged
 from formbook.sources.tables import table
 
 
 def scored_of(spark, folder):
-    """Contest rows scored by 1 / qualifying position."""
-    facts = contest.facts(spark, folder)
-    out = scoring.with_share(
-        facts.withColumn("p_raw", 1.0 / F.col("quali_position")), "p_raw", "p"
-    )
-    return scoring.ranked_by_share(out, "p")
+    """Contest rows scored by 1 / qualifying position, staged once."""
+    return _scored(spark, folder, "scored", 1.0 / F.col("quali_position"))
 
 
 def pole_of(spark, folder):
-    """Contest rows scored by the pole rule."""
-    facts = contest.facts(spark, folder)
-    raw = scoring.pole_probability(F.col("grid"))
-    out = scoring.with_share(facts.withColumn("p_raw", raw), "p_raw", "p")
-    return scoring.ranked_by_share(out, "p")
+    """Contest rows scored by the pole rule, staged once."""
+    return _scored(spark, folder, "pole-scored", scoring.pole_probability(F.col("grid")))
+
+
+def _scored(spark, folder, name, raw):
+    def build():
+        facts = contest.facts(spark, folder).withColumn("p_raw", raw)
+        return scoring.ranked_by_share(scoring.with_share(facts, "p_raw", "p"), "p")
+
+    return staged(spark, (name, folder), build, ("season",)).withColumn("season", F.col("season").cast("long"))
 
 
 def scored_frame(df, *keys):

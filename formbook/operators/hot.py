@@ -139,17 +139,19 @@ def with_prefix(
     order: Order,
     sums: dict[str, Column],
     inclusive: bool = True,
+    rows: int | None = None,
 ) -> DataFrame:
     """Running sums along ``order`` within ``by``, for groups of any size.
 
-    ``order`` must be total within a group for a defined result.
+    ``order`` must be total within a group for a defined result. ``rows`` is a known
+    bound on the rows of a group.
     """
     key = list(by) or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(1))
     for name, expr in sums.items():
         base = base.withColumn(f"_s_{name}", expr)
     end = 0 if inclusive else -1
-    if not has_hot(base, key):
+    if not has_hot(base, key, rows):
         rows = Window.partitionBy(*key).orderBy(*sort_columns(order))
         rows = rows.rowsBetween(Window.unboundedPreceding, end)
         return base.select(
@@ -175,12 +177,15 @@ def with_prefix(
     return out.select(*[c for c in df.columns if c not in sums], *sums)
 
 
-def rank_within(df: DataFrame, by: Sequence[str], order: Order, out: str) -> DataFrame:
-    """``row_number()`` along ``order`` within ``by``, for groups of any size."""
-    if by and not has_hot(df, by):
+def rank_within(
+    df: DataFrame, by: Sequence[str], order: Order, out: str, rows: int | None = None
+) -> DataFrame:
+    """``row_number()`` along ``order`` within ``by``, for groups of any size. ``rows``
+    is a known bound on the rows of a group."""
+    if by and not has_hot(df, by, rows):
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*sort_columns(order)))
         return df.withColumn(out, place.cast("long"))
-    return with_prefix(df, by, order, {out: F.lit(1).cast("long")})
+    return with_prefix(df, by, order, {out: F.lit(1).cast("long")}, rows=rows)
 
 
 def tie_rank(by: Sequence[str], value: str) -> Column:

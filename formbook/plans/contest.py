@@ -39,13 +39,12 @@ def _build_facts(spark: SparkSession, folder: str) -> DataFrame:
     members = table(spark, folder, "customer", "c_custkey", "c_nationkey").select(
         F.col("c_custkey").alias("entity_id"), F.col("c_nationkey").cast("long").alias("group_id")
     )
-    entered = monthly.join(members, "entity_id")
-    ranked = rank_within(
-        entered, ["season", "round"], [("score", False), ("entity_id", True)], "finish_order"
-    )
-    ranked = rank_within(
-        ranked, ["season", "round"], [("first_order", True), ("entity_id", True)], "quali_position"
-    )
+    # Written once: both ranks and the count of event sizes read it.
+    entered = staged(spark, ("entered", folder), lambda: monthly.join(members, "entity_id"))
+    month = ["season", "round"]
+    most = entered.groupBy(*month).count().agg(F.max("count")).first()[0] or 0
+    ranked = rank_within(entered, month, [("score", False), ("entity_id", True)], "finish_order", most)
+    ranked = rank_within(ranked, month, [("first_order", True), ("entity_id", True)], "quali_position", most)
     e, q, s, r = F.col("entity_id"), F.col("quali_position"), F.col("season"), F.col("round")
     points = F.lit(0)
     for place, score in reversed(POINTS.items()):

@@ -73,14 +73,30 @@ def new_path(spark: SparkSession, name: str) -> str:
 _STAGED: dict[tuple, str] = {}
 
 
+def folder_stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder and in its tables: new files
+    change it. Read through Hadoop, so any store will do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def listed(at) -> list:
+        found = [(f.getPath(), f.getLen(), f.getModificationTime(), f.isDirectory()) for f in fs.listStatus(at)]
+        return sorted((p.getName(), size, time, tuple(listed(p)) if is_dir else ()) for p, size, time, is_dir in found)
+
+    return tuple(listed(path)) if fs.exists(path) else ()
+
+
 def staged(spark: SparkSession, key: tuple, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``build()`` once per session under ``key`` and read it back.
 
+    ``key`` is a name and the folder the table derives from; when files there change,
+    the table is built anew.
+
     Stages that many queries share (the contest facts) are tables, not
     re-derived plans: readers get column pruning, partition pruning and row
     counts, and a lost executor costs a re-read, not a re-derivation.
     """
-    full = (spark.sparkContext.applicationId, *key)
+    full = (spark.sparkContext.applicationId, *key, folder_stamp(spark, key[1]))
     if full not in _STAGED:
         path = new_path(spark, key[0])
         df = build()
