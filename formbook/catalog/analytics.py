@@ -12,6 +12,7 @@ from formbook.catalog.sqltext import sql
 from formbook.functions import scalars as S
 from formbook.plans import analytics as A
 from formbook.plans import contest
+from formbook.plans.models import exact_medians
 from formbook.sources.tables import table
 
 WON = "(position = 1 AND finished = 1)"
@@ -396,8 +397,10 @@ def e24(spark, folder):
 )
 def e24_summary(spark, folder):
     careers = A.career_leaders(contest.facts(spark, folder), 10)
-    pct = 100 * F.col("win_rate")
-    return careers.agg(r6(F.median(pct), "median_pct"), r6(F.avg(pct), "mean_pct"))
+    pct = careers.select((100 * F.col("win_rate")).alias("pct"))
+    # One row: the median of a column of any size.
+    median = exact_medians(pct, ["pct"]).select("median").scalar()
+    return pct.agg(F.avg("pct").alias("mean")).select(r6(median, "median_pct"), r6("mean", "mean_pct"))
 
 
 def _histogram_sql(source, value, bins):

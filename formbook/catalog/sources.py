@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from formbook.catalog.features import KEYS
 from formbook.catalog.registry import query, r6
 from formbook.catalog.sqltext import sql
+from formbook.operators.setops import concat
 from formbook.plans import contest
 from formbook.session import new_path
 from formbook.sources import files
@@ -55,7 +56,6 @@ def a2(spark, folder):
         df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         for name, df in files.load_folder(spark, base).items()
     ]
-    from formbook.operators.setops import concat
 
     return concat(counts)
 
@@ -141,6 +141,68 @@ def a6_nested(spark, folder):
     return flat.drop("number", "milliseconds", "fastest_lap")
 
 
+@query(
+    "a6_nested_qualifying",
+    sql(
+        """SELECT season, round, 'e' || entity_id AS entity_ref, 'g' || group_id AS group_ref, entity_id AS number, quali_position AS position,
+        q1, q2, q3 FROM contest""",
+        "contest",
+    ),
+)
+def a6_qualifying(spark, folder):
+    path = new_path(spark, "json")
+    entry = F.struct(
+        *_references(),
+        F.col("entity_id").cast("string").alias("number"),
+        F.col("quali_position").cast("string").alias("position"),
+        F.col("q1").alias("Q1"),
+        F.col("q2").alias("Q2"),
+        F.col("q3").alias("Q3"),
+    )
+    _paged(contest.facts(spark, folder), entry, "quali_position", "QualifyingResults").write.mode("overwrite").json(path)
+    return files.flatten_qualifying(spark.read.schema(files.QUALIFYING_PAYLOAD).json(path))
+
+
+@query(
+    "a6_nested_standings",
+    sql(
+        """SELECT s.season, s.round, 'e' || s.entity_id AS entity_ref, CAST(s.points AS DOUBLE) AS points, s.position, 'P' || s.position AS position_text,
+        CAST(s.wins AS BIGINT) AS wins FROM standings s""",
+        "standings",
+    ),
+)
+def a6_standings(spark, folder):
+    path = new_path(spark, "json")
+    entry = F.struct(
+        _references()[0],
+        F.col("points").cast("string").alias("points"),
+        F.col("position").cast("string").alias("position"),
+        F.concat(F.lit("P"), F.col("position").cast("string")).alias("positionText"),
+        F.col("wins").cast("string").alias("wins"),
+    )
+    rows = contest.standings(contest.facts(spark, folder))
+    _paged(rows, entry, "position", "Standings").write.mode("overwrite").json(path)
+    # Entries of persons name no group.
+    return files.flatten_standings(spark.read.schema(files.STANDINGS_PAYLOAD).json(path)).drop("group_ref")
+
+
+def _references():
+    """The Driver and Constructor of a payload entry."""
+    who = F.struct(
+        F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("driverId"),
+        F.lit("Given").alias("givenName"),
+        F.lit("Family").alias("familyName"),
+    )
+    team = F.struct(F.concat(F.lit("g"), F.col("group_id").cast("string")).alias("constructorId"), F.lit("Group").alias("name"))
+    return [who.alias("Driver"), team.alias("Constructor")]
+
+
+def _paged(rows, entry, place, name):
+    """Entries of an event as payloads of at most ``PAGE`` of them."""
+    page = F.floor((F.col(place) - 1) / PAGE)
+    return rows.groupBy("season", "round", page.alias("page")).agg(F.collect_list(entry).alias(name)).drop("page")
+
+
 @query(
     "a7_geojson_points",
     """SELECT 0 AS at, l_quantity AS lon, l_tax AS lat FROM lineitem UNION ALL
@@ -203,11 +265,21 @@ def a10(spark, folder):
     )
 
 
-@query("a11_snapshot", "SELECT * FROM nation")
+SNAPSHOT = (
+    "region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
+
+@query("a11_snapshot", " UNION ALL ".join(f"SELECT '{t}' AS name, COUNT(*) AS rows FROM {t}" for t in SNAPSHOT))
 def a11(spark, folder):
     target = new_path(spark, "snapshot")
-    files.publish(spark, folder, target, ["nation", "region"])
-    return spark.read.parquet(f"{target}/nation.parquet")
+    files.publish(spark, folder, target, SNAPSHOT)
+    counts = [
+        spark.read.parquet(f"{target}/{t}.parquet").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("name"), "rows")
+        for t in SNAPSHOT
+    ]
+    return concat(counts)
 
 
 LINE_TEXT = ", ".join(
@@ -222,10 +294,13 @@ LINE_TEXT = ", ".join(
 @query(
     "a12_fingerprint",
     f"""WITH r AS (SELECT CAST('0x' || substr(md5(concat_ws('|', {LINE_TEXT})), 1, 12) AS BIGINT) AS v FROM lineitem)
-    SELECT COUNT(*) AS rows, COUNT(*) || 'rows-' || substr(sha256(COUNT(*) || ':' || CAST(SUM(v) AS VARCHAR)), 1, 12) AS fingerprint FROM r""",
+    SELECT COUNT(*) AS rows, COUNT(*) || 'rows-' || substr(sha256(COUNT(*) || ':' || CAST(SUM(v) AS VARCHAR)), 1, 12) AS fingerprint,
+    substr(sha256('l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, '
+    || 'l_tax double, l_returnflag string, l_linestatus string, l_shipdate ' || (SELECT CASE typeof(l_shipdate) WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'timestamp' END FROM lineitem LIMIT 1)), 1, 12) AS schema_hash FROM r""",
 )
 def a12(spark, folder):
-    return files.fingerprint(table(spark, folder, "lineitem"))
+    lines = table(spark, folder, "lineitem")
+    return files.fingerprint(lines).withColumn("schema_hash", F.lit(files.schema_hash(lines)))
 
 
 @query("a13_freshness", "SELECT * FROM (VALUES ('orders', TRUE), ('customer', TRUE)) AS t(name, is_stamped)")

@@ -237,7 +237,7 @@ def schema_hash(df: DataFrame) -> str:
     """Hash of column names, order and types."""
     import hashlib
 
-    return hashlib.sha256(df.schema.json().encode()).hexdigest()[:12]
+    return hashlib.sha256(", ".join(f"{c} {t}" for c, t in df.dtypes).encode()).hexdigest()[:12]
 
 
 def freshness(df: DataFrame) -> DataFrame:
