@@ -26,6 +26,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -164,9 +165,10 @@ class Codec:
         return (lead[starts] - 1).astype(np.int32), lead[ends - 1].astype(np.int32)
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
-        if len(ids) and (min(ids) < 0 or max(ids) >= len(self.bytes)):
+        at = np.asarray(ids, np.int64)
+        if len(at) and (at.min() < 0 or at.max() >= len(self.bytes)):
             raise ValueError("an id outside the vocabulary")
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return b"".join(map(self.bytes.__getitem__, at.tolist()))
 
 
 _CUT = re.compile(r"(?<=[^\W_])[ \n]")
@@ -192,13 +194,20 @@ def split_safely(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 _CODEC: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(shared) -> Codec:
-    """The worker's codec: built once, used by all its tasks."""
+@contextmanager
+def _codec(shared):
+    """The worker's codec: built once, used by all its tasks. What a task has learnt
+    goes with it, so that idle workers are small."""
     if shared.value not in _CODEC:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _CODEC.clear()
         _CODEC[shared.value] = Codec(*shared.value)
-    return _CODEC[shared.value]
+    codec = _CODEC[shared.value]
+    try:
+        yield codec
+    finally:
+        codec.known.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -233,11 +242,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
     shared, keep = _shared(df, path, pattern), list(keep)
 
     def run(batches):
-        codec = _codec(shared)
-        for part, texts in text_slices(batches, text, BATCH_CHARS):
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), *_encode_columns(codec, texts)], [*keep, *ENCODED]
-            )
+        with _codec(shared) as codec:
+            for part, texts in text_slices(batches, text, BATCH_CHARS):
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), *_encode_columns(codec, texts)], [*keep, *ENCODED]
+                )
 
     return _with(df.select(*dict.fromkeys([*keep, text])), ENCODED, run, keep)
 
@@ -248,13 +257,13 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple
     shared, keep = _shared(df, path, pattern), list(keep)
 
     def run(batches):
-        codec = _codec(shared)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                value = part.column(ids).to_pylist()[0]
-                out = pa.array([codec.decode(value or [])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), out], [*keep, "decoded"])
+        with _codec(shared) as codec:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    part = batch.slice(row, 1)
+                    value = part.column(ids).to_pylist()[0]
+                    out = pa.array([codec.decode(value or [])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), out], [*keep, "decoded"])
 
     return _with(df.select(*dict.fromkeys([*keep, ids])), {"decoded": "binary"}, run, keep)
 
@@ -264,14 +273,14 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
     shared, keep = _shared(df, path, pattern), list(keep)
 
     def run(batches):
-        codec = _codec(shared)
-        for part, texts in text_slices(batches, text, BATCH_CHARS):
-            columns = _encode_columns(codec, texts)
-            values = columns[0].values.to_numpy(), columns[0].offsets.to_numpy()
-            decoded = [codec.decode(values[0][a:b]) for a, b in zip(values[1], values[1][1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), *columns, pa.array(decoded, pa.binary())],
-                [*keep, *ENCODED, "decoded"],
-            )
+        with _codec(shared) as codec:
+            for part, texts in text_slices(batches, text, BATCH_CHARS):
+                columns = _encode_columns(codec, texts)
+                values = columns[0].values.to_numpy(), columns[0].offsets.to_numpy()
+                decoded = [codec.decode(values[0][a:b]) for a, b in zip(values[1], values[1][1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), *columns, pa.array(decoded, pa.binary())],
+                    [*keep, *ENCODED, "decoded"],
+                )
 
     return _with(df.select(*dict.fromkeys([*keep, text])), {**ENCODED, "decoded": "binary"}, run, keep)
