@@ -151,11 +151,13 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", keep: tuple[st
     parts = F.split("_dir", "/")
     above = F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     dirs = own.where("_dir IS NOT NULL").select("_dir").distinct()
-    near = (
+    # Written, so that the join below can divide a directory with very many documents.
+    near = stored(
         dirs.select("_dir", F.posexplode(above).alias("_up", "_above"))
         .join(files, "_above")
         .groupBy("_dir")
-        .agg(F.min_by("license", "_up").alias("_inherited"))
+        .agg(F.min_by("license", "_up").alias("_inherited")),
+        "license-near",
     )
     how = (
         F.when(F.col("_file"), "file").when(F.col("_own").isNotNull(), "header").when(F.col("_inherited").isNotNull(), "inherited")
