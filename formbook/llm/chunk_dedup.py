@@ -81,8 +81,10 @@ def chunks(text: str) -> tuple[list[bytes], list[int]]:
     return digests, lead[[0, *ends]].tolist()
 
 
-def _short(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as two longs each; the first is the code that is counted."""
+    both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def _counted(docs: DataFrame, text: str) -> DataFrame:
@@ -90,15 +92,15 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         for _, texts in text_slices(batches, text):
-            codes = b"".join(d[:8] for t in texts for d in chunks(t)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(codes, ">i8").astype(np.int64))], ["code"])
+            codes, _ = _halves([d for t in texts for d in chunks(t)[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(codes)], ["code"])
 
     found = docs.select(text).mapInArrow(run, "code long")
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("code")
 
 
 def _places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, seq, start, stop, code, digest) of every chunk."""
+    """(doc_id, seq, start, stop, code, rest) of every chunk."""
 
     def run(batches):
         for part, texts in text_slices(batches, text):
@@ -117,25 +119,27 @@ def _places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     pa.array(seq, pa.int32()),
                     pa.array(start, pa.int32()),
                     pa.array(stop, pa.int32()),
-                    pa.array([_short(d) for d in digests], pa.int64()),
-                    pa.array(digests, pa.binary()),
+                    *map(pa.array, _halves(digests)),
                 ],
-                ["doc_id", "seq", "start", "stop", "code", "digest"],
+                ["doc_id", "seq", "start", "stop", "code", "rest"],
             )
 
     kind = dict(docs.dtypes)[doc_id]
-    schema = f"doc_id {kind}, seq int, start int, stop int, code long, digest binary"
+    schema = f"doc_id {kind}, seq int, start int, stop int, code long, rest long"
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans) of documents with repeated passages; ``spans`` in code points."""
-    seen = _places(docs, doc_id, text).join(_counted(docs, text), "code", "left_semi").drop("code")
+    # Written, so that the join can divide a code that very many chunks have.
+    codes = stored(_counted(docs, text), "chunk-codes")
+    seen = _places(docs, doc_id, text).join(codes, "code", "left_semi")
     # A row that is there twice has the same id and places.
-    seen = stored(seen.dropDuplicates(["doc_id", "seq", "digest"]), "chunk-places")
+    seen = stored(seen.dropDuplicates(["doc_id", "seq", "code", "rest"]), "chunk-places")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("seq").alias("s"))
-    first = seen.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    again = seen.join(first, "digest").where(order != F.col("first"))
+    first = seen.groupBy("code", "rest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = stored(first, "chunk-first")
+    again = seen.join(first, ["code", "rest"]).where(order != F.col("first"))
     own = Window.partitionBy("doc_id").orderBy("seq")
     runs = again.withColumn("_run", F.col("seq") - F.row_number().over(own))
     runs = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
