@@ -39,8 +39,8 @@ from formbook.llm.arrow import text_slices
 # Characters handed to the tokenizer at once.
 PIECE_CHARS = 1 << 16
 BATCH_CHARS = 1 << 19
-# Distinct matches a worker remembers.
-KNOWN_MATCHES = 200_000
+# Distinct matches in each of a worker's two tables.
+KNOWN_MATCHES = 120_000
 # Matches given to the library in one call; its results are large.
 LEARN_AT_ONCE = 2_000
 
@@ -115,8 +115,8 @@ def tokenizer_json(path: str) -> str:
 class Codec:
     """One worker's tokenizer, its table from ids to bytes and the matches seen so far.
 
-    Words repeat, so each distinct match goes through the library once; the table of
-    known matches starts anew when it is full.
+    Words repeat, so a match goes through the library once and is then looked up, as
+    long as it comes up again before two tables of matches have filled.
     """
 
     def __init__(self, definition: str, pattern: str):
@@ -132,6 +132,7 @@ class Codec:
             self.bytes[i] = bytes(back[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         # One object per id for all entries of ``known``.
         self.ids = list(range(len(self.bytes)))
 
@@ -144,16 +145,25 @@ class Codec:
         return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
 
     def learn(self, found: set[str]) -> None:
-        new = found.difference(self.known)
-        if len(self.known) + len(new) > KNOWN_MATCHES:
-            self.known.clear()
-            new = found
-        new = list(new)
+        """Put all of ``found`` into ``known``. A full table becomes the older one, from
+        which words that come up again move over; the rest of it goes at the next change."""
+        if len(self.known) + len(found) > KNOWN_MATCHES:
+            self.known, self.older = {}, self.known
+        new = []
+        for word in found.difference(self.known):
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.known[word] = ids
         for at in range(0, len(new), LEARN_AT_ONCE):
             words = new[at : at + LEARN_AT_ONCE]
             for word, one in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
                 self.known[word] = tuple(map(self.ids.__getitem__, one.ids))
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code-point start and end of each token."""
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -206,7 +216,7 @@ def _codec(shared):
     try:
         yield codec
     finally:
-        codec.known.clear()
+        codec.forget()
         pa.default_memory_pool().release_unused()
 
 

@@ -250,3 +250,14 @@ def test_digests_of_the_encoding_query(spark, plain):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_matches_survive_full_tables(plain, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_MATCHES", 40)
+    monkeypatch.setattr(bpe, "LEARN_AT_ONCE", 7)
+    rng = random.Random(9)
+    codec = bpe.Codec(bpe.tokenizer_json(PATH), PATTERN)
+    for _ in range(60):
+        text = prose(rng, rng.randint(0, 60)) + " the the words"
+        assert codec.encode([text, "the"])[0].tolist() == plain.encode_ordinary(text)
+        assert len(codec.known) <= 200
