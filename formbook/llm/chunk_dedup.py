@@ -1,10 +1,12 @@
 """Substring dedup by content-defined chunks.
 
-A rolling gear hash over the last 32 bytes decides where a text is cut: behind a
-blank whose hash has two zero bits, at least ``LEAST`` bytes after the last cut (and
-after ``MOST`` bytes at the latest). What stands more than a chunk away has no say,
-so an insertion only moves the cuts around it, and a passage that two texts share is
-cut alike but for its first and last chunk.
+A rolling gear hash over the last 32 bytes decides where a text is cut: behind the
+character whose hash is smaller than that of any other within ``NEAR`` bytes. Blanks
+come before all other places, so words stay whole where there are blanks; text
+without any is cut by the hash alone. What stands more than ``NEAR`` + 32 bytes away
+has no say, nor has any other cut, so an insertion only moves the cuts around it.
+Only where ``MOST`` bytes have no such place, as in a short pattern said over and
+over, a cut depends on the last one.
 
 Chunks are told apart by digest. A first pass counts 64-bit digests (pre-aggregated)
 and keeps those seen twice; a second one finds the places of these by full digest.
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from formbook.llm.arrow import text_slices
 from formbook.llm.graph import stored
 
-LEAST, MOST = 24, 256
+# A cut has the smallest hash of so many bytes on either side; bytes of a chunk at most.
+NEAR, MOST = 24, 256
 RUN_CHARS = 100
 SEED = 0x9E3779B97F4A7C15
 
@@ -40,6 +43,7 @@ def gear_table(seed: int = SEED) -> np.ndarray:
 
 _GEAR = gear_table()
 _BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
+_NEVER = np.uint32((1 << 32) - 1)
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -55,16 +59,25 @@ def gear_hash(raw: np.ndarray) -> np.ndarray:
 def cuts(raw: np.ndarray) -> list[int]:
     """Ends of the chunks of a text's bytes."""
     n = len(raw)
-    places = (np.flatnonzero(_BLANK[raw] & (gear_hash(raw) >> np.uint32(30) == 0)) + 1).tolist()
+    if not n:
+        return []
+    # Blanks rank before other places; inside a character is no place.
+    rank = np.where(_BLANK[raw], 0, 1 << 31).astype(np.uint32) | (gear_hash(raw) >> np.uint32(1))
+    rank[:-1][raw[1:] & 0xC0 == 0x80] = _NEVER
+    edge = np.full(NEAR, _NEVER)
+    low = np.concatenate([edge, rank, edge])
+    for k in (1, 2, 4, 8, NEAR - 16):
+        low = np.minimum(low[:-k], low[k:])
+    # Now the smallest of NEAR places from each on.
+    places = (np.flatnonzero((rank < low[:n]) & (rank <= low[NEAR + 1 :])) + 1).tolist()
     out, last = [], 0
     for place in [*places, n]:
         while place - last > MOST:
-            # Forced: not inside a character.
-            last += MOST
-            while last < n and raw[last] & 0xC0 == 0x80:
-                last -= 1
+            # Nothing stands out, as in a short pattern said over and over: the first
+            # of its smallest places keeps step with the pattern.
+            last += MOST - 64 + int(rank[last + MOST - 65 : last + MOST - 1].argmin())
             out.append(last)
-        if place - last >= LEAST or (place == n and place > last):
+        if place > last:
             out.append(place)
             last = place
     return out

@@ -209,6 +209,20 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert chunk_dedup.chunks("") == ([], [0])
 
 
+def test_chunks_of_texts_without_blanks_resist_shifts():
+    rng = random.Random(61)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for text in ("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(4000)), "".join(rng.choices(letters, k=20_000)), "abé" * 4000):
+        digests, borders = chunk_dedup.chunks(text)
+        assert borders[0] == 0 and borders[-1] == len(text) and borders == sorted(set(borders))
+        for front in ("x", "中", text[5:900]):
+            moved, _ = chunk_dedup.chunks(front + text)
+            assert sum(d not in set(moved) for d in digests) <= 3
+    passage = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(1000))
+    one, two = (chunk_dedup.chunks("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(500)) + passage)[0] for _ in "ab")
+    assert len(set(one) & set(two)) > 50
+
+
 def test_rolling_hash_equals_the_recurrence():
     import numpy as np
 
