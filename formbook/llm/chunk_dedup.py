@@ -10,12 +10,14 @@ over, a cut depends on the last one.
 
 Chunks are told apart by digest. A first pass counts 64-bit digests (pre-aggregated)
 and keeps those seen twice; a second one finds the places of these by full digest.
-All places but the first (by document id, then position) are repeats; ``RUN_CHARS``
-characters of repeats in a row are a repeated passage and go, so a shared short line
-stays where it is.
+All places but the first (by document id, then position) are repeats. They are anchors:
+where they and their first places stand in a row, the characters left and right of the
+row are compared with those beside its first place, and it grows as far as these are
+equal (a word that only ends or begins alike stays). ``RUN_CHARS`` characters of such
+rows are a repeated passage and go, so a shared short line stays where it is.
 
-Null text counts as empty; it has no chunks. Rows with the same id are one document:
-repeats are looked for between ids and within a text. Null ids come last in order.
+Null text counts as empty; it has no chunks. Rows with the same id and text are one
+document: repeats are looked for between documents and within a text. Null ids come last in order.
 An empty table gives none. Columns that clash with results are replaced.
 """
 
@@ -33,6 +35,11 @@ from formbook.llm.graph import stored
 # A cut has the smallest hash of so many bytes on either side; bytes of a chunk at most.
 NEAR, MOST = 24, 256
 RUN_CHARS = 100
+# Characters on either side of a run of chunks that are compared one by one: more than
+# a chunk and what decides its cuts. Characters up to which a begun word is given back.
+REACH, WORD = MOST + 2 * (NEAR + 32), 32
+SPANS = "array<struct<start:int,stop:int>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -112,12 +119,11 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("code")
 
 
-def _places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, seq, start, stop, code, rest) of every chunk."""
+def _places(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, seq, start, stop, code, rest) of every chunk."""
 
     def run(batches):
-        for part, texts in text_slices(batches, text):
-            ids = part.column(doc_id)
+        for part, texts in text_slices(batches, "text"):
             owner, seq, start, stop, digests = [], [], [], [], []
             for i, t in enumerate(texts):
                 own, borders = chunks(t)
@@ -126,46 +132,159 @@ def _places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 start += borders[:-1]
                 stop += borders[1:]
                 digests += own
+            owner = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(owner, pa.int64())),
+                    part.column("doc_id").take(owner),
+                    part.column("key").take(owner),
                     pa.array(seq, pa.int32()),
                     pa.array(start, pa.int32()),
                     pa.array(stop, pa.int32()),
                     *map(pa.array, _halves(digests)),
                 ],
-                ["doc_id", "seq", "start", "stop", "code", "rest"],
+                ["doc_id", "key", "seq", "start", "stop", "code", "rest"],
             )
 
-    kind = dict(docs.dtypes)[doc_id]
-    schema = f"doc_id {kind}, seq int, start int, stop int, code long, rest long"
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInArrow(run, f"doc_id {kind}, key long, seq int, start int, stop int, code long, rest long")
 
 
-def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans) of documents with repeated passages; ``spans`` in code points."""
+def _runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, start, stop, f_id, f_key, f_start, f_stop): repeats in a row whose
+    first places are in a row too."""
     # Written, so that the join can divide a code that very many chunks have.
-    codes = stored(_counted(docs, text), "chunk-codes")
-    seen = _places(docs, doc_id, text).join(codes, "code", "left_semi")
-    # A row that is there twice has the same id and places.
-    seen = stored(seen.dropDuplicates(["doc_id", "seq", "code", "rest"]), "chunk-places")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("seq").alias("s"))
-    first = seen.groupBy("code", "rest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = stored(first, "chunk-first")
-    again = seen.join(first, ["code", "rest"]).where(order != F.col("first"))
-    own = Window.partitionBy("doc_id").orderBy("seq")
-    runs = again.withColumn("_run", F.col("seq") - F.row_number().over(own))
-    runs = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    runs = runs.where(F.col("stop") - F.col("start") >= run_chars)
-    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    codes = stored(_counted(docs, "text"), "chunk-codes")
+    seen = _places(docs).join(codes, "code", "left_semi")
+    # A row that is there twice has the same id, text and places.
+    seen = stored(seen.dropDuplicates(["doc_id", "key", "seq"]), "chunk-places")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("seq").alias("s"))
+    first = seen.groupBy("code", "rest").agg(
+        F.min(F.struct(place.alias("at"), "start", "stop")).alias("first"), F.count(F.lit(1)).alias("_n")
+    )
+    first = stored(first.where("_n > 1"), "chunk-first")
+    again = seen.join(first, ["code", "rest"]).where(place != F.col("first.at"))
+    again = again.select(
+        "doc_id", "key", "seq", "start", "stop",
+        F.col("first.at.d").alias("f_id"), F.col("first.at.k").alias("f_key"),
+        F.col("first.start").alias("f_start"), F.col("first.stop").alias("f_stop"),
+        (F.col("start") - F.col("first.start")).alias("_off"),
+    )
+    side = ["doc_id", "key", "f_id", "f_key", "_off"]
+    again = again.withColumn("_run", F.col("seq") - F.row_number().over(Window.partitionBy(*side).orderBy("seq")))
+    ends = [f(c).alias(c) for f, c in ((F.min, "start"), (F.max, "stop"), (F.min, "f_start"), (F.max, "f_stop"))]
+    return stored(again.groupBy(*side, "_run").agg(*ends).drop("_off", "_run"), "chunk-runs")
+
+
+def _beside(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(f_id, f_key, at, left, right): what stands beside the ends of the first places."""
+    ends = runs.select("f_id", "f_key", F.explode(F.array("f_start", "f_stop")).alias("at")).distinct()
+    asked = ends.groupBy("f_id", "f_key").agg(F.collect_list("at").alias("ats"))
+    found = docs.join(asked, docs["doc_id"].eqNullSafe(F.col("f_id")) & (docs["key"] == F.col("f_key")))
+
+    def run(batches):
+        for part, texts in text_slices(batches, "text"):
+            for i, (t, ats) in enumerate(zip(texts, part.column("ats").to_pylist())):
+                for k in range(0, len(ats), 1000):
+                    some = ats[k : k + 1000]
+                    owner = pa.array([i] * len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("f_id").take(owner),
+                            part.column("f_key").take(owner),
+                            pa.array(some, pa.int32()),
+                            pa.array([t[max(0, at - REACH) : at] for at in some]),
+                            pa.array([t[at : at + REACH] for at in some]),
+                        ],
+                        ["f_id", "f_key", "at", "left", "right"],
+                    )
+
+    kind = dict(docs.dtypes)["doc_id"]
+    beside = found.select("text", "f_id", "f_key", "ats").mapInArrow(
+        run, f"f_id {kind}, f_key long, at int, left string, right string"
+    )
+    return stored(beside.dropDuplicates(["f_id", "f_key", "at"]), "chunk-beside")
+
+
+def _common(one: str, two: str) -> int:
+    """Characters that both begin with."""
+    low, high = 0, min(len(one), len(two))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if one[low:middle] == two[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _in_word(text: str, at: int) -> bool:
+    """Whether a place is inside a word of a script that sets blanks."""
+    return 0 < at < len(text) and all(c.isalnum() and c < "\u0e00" for c in text[at - 1 : at + 1])
+
+
+def extended(text: str, runs: list[tuple[int, int, str, str]], run_chars: int) -> list[tuple[int, int]]:
+    """Repeated passages from runs (start, stop, what stands left and right of the
+    first place): each as far as both texts are equal, but for a begun word, then
+    joined where they meet."""
+    grown = []
+    for start, stop, left, right in runs:
+        far = start - _common(text[max(0, start - REACH) : start][::-1], left[::-1])
+        begin = next((k for k in range(far, min(start, far + WORD) + 1) if not _in_word(text, k)), far)
+        far = stop + _common(text[stop : stop + REACH], right)
+        end = next((k for k in range(far, max(stop, far - WORD) - 1, -1) if not _in_word(text, k)), far)
+        grown.append((begin, end))
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(grown):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return [x for x in out if x[1] - x[0] >= run_chars]
+
+
+def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, spans) of documents with repeated passages; ``spans`` in code
+    points, ``key`` a hash of the text."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    runs = _runs(docs)
+    beside = _beside(docs, runs)
+
+    def joined(df, at, side):
+        mine = beside.select(*(F.col(c).alias(f"_{c}") for c in ("f_id", "f_key", "at")), side)
+        on = F.col("f_id").eqNullSafe(F.col("_f_id")) & (F.col("f_key") == F.col("_f_key")) & (F.col(at) == F.col("_at"))
+        return df.join(mine, on).drop("_f_id", "_f_key", "_at")
+
+    known = joined(joined(runs, "f_start", "left"), "f_stop", "right")
+    own = known.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.collect_list(F.struct("start", "stop", "left", "right")).alias("runs")
+    )
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+
+    def run(batches):
+        for part, texts in text_slices(batches, "text"):
+            spans = []
+            for i, t in enumerate(texts):
+                mine = [tuple(r.values()) for r in part.column("runs")[i].as_py()]
+                spans.append([{"start": a, "stop": b} for a, b in extended(t, mine, run_chars)])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("key"), pa.array(spans, _SPAN_TYPE)], ["doc_id", "key", "spans"]
+            )
+
+    kind = dict(docs.dtypes)["doc_id"]
+    found = docs.join(own, on).select("doc_id", "key", "text", "runs")
+    found = found.mapInArrow(run, f"doc_id {kind}, key long, spans {SPANS}").where(F.size("spans") > 0)
+    return found.dropDuplicates(["doc_id", "key"])
 
 
 def without_repeats(docs: DataFrame, run_chars: int = RUN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``spans`` (repeated passages, empty if none) and ``kept_text``."""
-    found = stored(repeats(docs, run_chars, doc_id, text), "chunk-repeats").withColumnRenamed("doc_id", "_id")
+    found = stored(repeats(docs, run_chars, doc_id, text), "chunk-repeats")
+    found = found.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     base = docs.drop("spans", "kept_text")
-    joined = base.join(found, F.col(doc_id).eqNullSafe(F.col("_id")), "left").drop("_id")
-    none = F.array().cast("array<struct<start:int,stop:int>>")
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
+    joined = base.join(found, same, "left").drop("_id", "_key")
+    none = F.array().cast(SPANS)
     joined = joined.withColumn("spans", F.coalesce("spans", none))
     # What stands between the end of one span and the start of the next.
     ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["stop"]))

@@ -223,6 +223,35 @@ def test_chunks_of_texts_without_blanks_resist_shifts():
     assert len(set(one) & set(two)) > 50
 
 
+def test_short_passages_go_from_end_to_end(spark):
+    rng = random.Random(9)
+    cjk = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    passages = [prose(rng, 51) for _ in range(300)]
+    rows, want = [], {}
+    for i, passage in enumerate(passages):
+        front = prose(rng, 40) + " "
+        rows += [(2 * i, f"{prose(rng, 30)} {passage} {prose(rng, 40)}"), (2 * i + 1, f"{front}{passage} {prose(rng, 30)}")]
+        want[2 * i + 1] = (len(front), len(front) + len(passage))
+    inner = cjk(150)
+    rows += [(1000, cjk(300) + inner + cjk(90)), (1001, cjk(77) + inner + cjk(300))]
+    want[1001] = (77, 227)
+    # Rows of one id with different texts are documents of their own.
+    rows += [(1002, passages[0] + " " + prose(rng, 60)), (1002, prose(rng, 60))]
+    got = chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {(r["doc_id"], r["text"]): [(s["start"], s["stop"]) for s in r["spans"]] for r in got}
+    missed = 0
+    for (i, text), spans in texts.items():
+        if i in want:
+            start, stop = want[i]
+            missed += not any(a <= start and stop <= b for a, b in spans)
+            # Blanks around it and words that happen to agree may go too.
+            assert sum(b - a for a, b in spans) <= stop - start + 20
+        elif i != 1002:
+            assert not spans
+    assert missed <= 3
+    assert sorted(bool(spans) for (i, _), spans in texts.items() if i == 1002) == [False, True]
+
+
 def test_rolling_hash_equals_the_recurrence():
     import numpy as np
 
