@@ -5,7 +5,7 @@ High-recall generators propose overlapping spans in every whole text: runs aroun
 gets format features (lengths, character classes, checksums) and context features
 (neighbouring characters, what stands before). Boosted trees, fitted on a stated
 number of documents, score them, and per kind the lowest threshold that holds the
-wanted precision on documents kept out of the fit selects what is added.
+wanted precision on all documents kept out of the fit selects what is added.
 
 The trees learn from rules that know their kind (a checksum, a key in front of a
 quoted string). The same rules' base kinds are always reported, whatever a tree
@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.arrow import append_columns
+from formbook.llm.arrow import append_columns, text_slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -207,76 +207,83 @@ def _flat(model) -> Trees:
 
 
 def _examples(docs: DataFrame, text: str) -> DataFrame:
-    """(fold, kind, features, label) of the candidates of ``docs``; a fifth of the
-    documents (fold 0) is kept out of the fit."""
+    """(features, label) of the candidates of ``docs``."""
 
     def run(batches):
-        for batch in batches:
-            out = {"fold": [], "features": [], "label": []}
-            for words, fold in zip(batch.column(text).to_pylist(), batch.column("_fold").to_pylist()):
-                words = words or ""
+        for _, texts in text_slices(batches, text):
+            out = {"features": [], "label": []}
+            for words in texts:
                 base = set(base_spans(words))
                 for found in candidates(words):
-                    out["fold"].append(fold)
                     out["features"].append(features(words, *found))
                     out["label"].append(float(is_certain(words, *found, base)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["fold"], pa.int32()), pa.array(out["features"], pa.list_(pa.float64())), pa.array(out["label"], pa.float64())],
-                list(out),
+                [pa.array(out["features"], pa.list_(pa.float64())), pa.array(out["label"], pa.float64())], list(out)
             )
 
-    return docs.mapInArrow(run, "fold int, features array<double>, label double")
+    return docs.select(text).mapInArrow(run, "features array<double>, label double")
 
 
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_docs: int = FIT_DOCS, seed: int = 11) -> Trees | None:
-    """Trees and thresholds from about ``fit_docs`` documents chosen by a hash."""
+    """Trees from four fifths of about ``fit_docs`` documents chosen by a hash, and
+    thresholds from all other documents."""
     rows = docs.count()
     place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1_000_000))
-    sample = docs.where(place < min(1.0, fit_docs / max(1, rows)) * 1_000_000)
-    sample = sample.select(text, F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), F.lit(5)).cast("int").alias("_fold"))
-    known = _examples(sample, text).withColumn("vector", array_to_vector("features")).cache()
+    fold = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), F.lit(5))
+    fitted = (place < min(1.0, fit_docs / max(1, rows)) * 1_000_000) & (fold != 0)
+    known = _examples(docs.where(fitted), text).withColumn("vector", array_to_vector("features")).cache()
     try:
-        seen = {r["label"] for r in known.where("fold <> 0").groupBy("label").count().collect()}
+        seen = {r["label"] for r in known.groupBy("label").count().collect()}
         if len(seen) < 2:
             return None
         trainer = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=64, seed=seed)
-        trees = _flat(trainer.fit(known.where("fold <> 0")))
-        trees.thresholds = _thresholds(known.where("fold = 0"), trees)
+        trees = _flat(trainer.fit(known))
     finally:
         known.unpersist()
+    trees.thresholds = lowest_cuts(_counts(docs.where(~fitted), text, trees))
     return trees
 
 
-def _thresholds(rows: DataFrame, trees: Trees) -> dict[str, float]:
-    """Per kind, the lowest hundredth from which scores hold the wanted precision."""
-    shared = rows.sparkSession.sparkContext.broadcast(trees)
+def _counts(docs: DataFrame, text: str, trees: Trees) -> list[tuple[int, int, int, int]]:
+    """(kind, hundredth of the score, candidates, right ones) over all of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        for batch in batches:
-            x = np.array(batch.column("features").to_pylist(), float).reshape(-1, N_FEATURES)
-            scores = np.floor(shared.value.score(x) * 100).astype(np.int64)
-            kinds = x[:, 0].astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds), pa.array(scores), batch.column("label")], ["kind", "score", "label"]
-            )
-
+        # Kind and hundredth as one number, for candidates and for right ones.
+        seen = np.zeros((2, len(KINDS) * 101), np.int64)
+        for _, texts in text_slices(batches, text):
+            rows, right = [], []
+            for words in texts:
+                found = candidates(words)
+                base = set(base_spans(words)) if found else set()
+                rows += [features(words, *c) for c in found]
+                right += [is_certain(words, *c, base) for c in found]
+            if rows:
+                x = np.array(rows, float)
+                at = x[:, 0].astype(np.int64) * 101 + np.floor(shared.value.score(x) * 100).astype(np.int64)
+                seen[0] += np.bincount(at, minlength=seen.shape[1])
+                seen[1] += np.bincount(at[np.array(right)], minlength=seen.shape[1])
+        at = np.flatnonzero(seen[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at // 101), pa.array(at % 101), pa.array(seen[0][at]), pa.array(seen[1][at])], ["kind", "score", "n", "right"]
+        )
+
+    counts = docs.select(text).mapInArrow(run, "kind long, score long, n long, right long")
     # At most one row per kind and hundredth.
-    counts = (
-        rows.select("features", "label")
-        .mapInArrow(run, "kind long, score long, label double")
-        .groupBy("kind", "score")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right"))
-        .collect()
-    )
+    counts = counts.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("right").alias("right")).collect()
+    return [(r["kind"], r["score"], r["n"], r["right"]) for r in counts]
+
+
+def lowest_cuts(counts: list[tuple[int, int, int, int]]) -> dict[str, float]:
+    """Per kind, the lowest hundredth (a half at least) from which all scores together
+    hold the wanted precision, whatever a few at the top do."""
     out = {}
     for k, kind in enumerate(KINDS):
-        n = right = 0.0
-        for r in sorted((r for r in counts if r["kind"] == k), key=lambda r: -r["score"]):
-            n, right = n + r["n"], right + r["right"]
-            if right < PRECISION * n:
-                break
-            if r["score"] >= 50:
-                out[kind] = r["score"] / 100
+        n = right = 0
+        for _, score, more, good in sorted((c for c in counts if c[0] == k), reverse=True):
+            n, right = n + more, right + good
+            if score >= 50 and right >= PRECISION * n:
+                out[kind] = score / 100
     return out
 
 

@@ -174,6 +174,27 @@ def test_pii_adds_spans_and_keeps_the_base(spark, clashing, none):
     assert pii.detect(none, pii.fit(none)).count() == 0
 
 
+def test_thresholds_come_from_all_documents(spark):
+    # The first candidate from the top is wrong; all together hold the precision.
+    assert pii.lowest_cuts([(4, 99, 1, 0), (4, 95, 200, 200), (4, 60, 5, 0), (4, 40, 900, 900), (0, 70, 9, 1)]) == {"secret": 0.95}
+    assert pii.lowest_cuts([]) == {}
+    rng = random.Random(41)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    said = lambda i: [f'token = "{hexes()}"', f"see {hexes()} there", "nothing 1234567"][i % 3]
+    docs = spark.createDataFrame([(i, f"some words {said(i)} and more") for i in range(3000)], "doc_id long, text string")
+    trees = pii.fit(docs, fit_docs=300)
+    counts = pii._counts(docs, "text", trees)
+    assert sum(c[2] for c in counts if c[0] == 4) == 2000 and sum(c[3] for c in counts if c[0] == 4) == 1000
+    seen = []
+    counted, pii._counts = pii._counts, lambda d, *a: seen.append(d.count()) or counted(d, *a)
+    try:
+        trees = pii.fit(docs, fit_docs=300)
+    finally:
+        pii._counts = counted
+    # Four fifths of about 300 fit the trees; all others decide.
+    assert 2650 < seen[0] < 2850 and "secret" in trees.thresholds
+
+
 def test_overlapping_spans_are_redacted_together():
     assert pii.redacted("ab1234cd", [("a", 2, 5, 1.0), ("b", 3, 6, 1.0)]) == "ab<a>cd"
 
