@@ -5,7 +5,8 @@ hold an anchor word (every template has one). Segment and template are sparse TF
 vectors over words; document frequencies of the template words are counted over all
 documents, any other word counts as seen once. The best template from ``THRESHOLD``
 on is the segment's license. A document whose whole text matches
-(from ``FILE_THRESHOLD`` on) is a licence file and speaks for its directory and all below; one with a matching line or paragraph
+a header or a whole licence (``WHOLE``; from ``FILE_THRESHOLD`` on) is a licence file and
+speaks for its directory and all below; one with a matching line or paragraph
 has a header of its own; any other inherits from the nearest directory above it.
 
 Directories are resolved once each, by joining all their ancestors with those that
@@ -19,6 +20,7 @@ then the smaller name. Rows with the same id are scanned each. Empty tables give
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 
@@ -55,6 +57,21 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain, unlicense."),
 )
 
+# Whole licences, for whole documents only.
+WHOLE = (
+    "MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "CC0-1.0",
+)
+
+
+def _whole_texts() -> tuple[tuple[str, str], ...]:
+    texts = {name: pkgutil.get_data("formbook.llm", f"licences/{name}.txt").decode() for name in WHOLE}
+    # The Affero license is the general one under another name but for a section.
+    affero = re.sub(r"(?i)(?<!Affero )General\s+Public\s+License", "Affero General Public License", texts["GPL-3.0"])
+    return (*texts.items(), ("AGPL-3.0", affero))
+
+
+WHOLE_TEXTS = _whole_texts()
+
 _WORDS = re.compile(r"[^\W_]+")
 _ANCHOR = re.compile(r"(?i)licen[cs]e|permission|redistribution|public domain")
 
@@ -63,7 +80,7 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-VOCABULARY = frozenset(w for _, t in TEMPLATES for w in words(t))
+VOCABULARY = frozenset(w for _, t in (*TEMPLATES, *WHOLE_TEXTS) for w in words(t))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
@@ -90,15 +107,18 @@ class Matcher:
         self.rare = math.log(1 + n_docs / 1) or 1.0
         self.idf = {w: math.log(1 + n_docs / max(1, frequencies.get(w, 1))) or 1.0 for w in VOCABULARY}
         self.templates = [(name, self.vector(words(t))) for name, t in TEMPLATES]
+        self.wholes = [*self.templates, *((name, self.vector(words(t))) for name, t in WHOLE_TEXTS)]
 
     def vector(self, found: list[str]) -> dict[str, float]:
         weights = {w: n * self.idf.get(w, self.rare) for w, n in Counter(found).items()}
         norm = math.sqrt(sum(v * v for v in weights.values())) or 1.0
         return {w: v / norm for w, v in weights.items()}
 
-    def best(self, segment: str) -> tuple[str | None, float]:
+    def best(self, segment: str, whole: bool = False) -> tuple[str | None, float]:
         mine = self.vector(words(segment))
-        scores = [(sum(v * mine.get(w, 0.0) for w, v in t.items()), name) for name, t in self.templates]
+        scores = [
+            (sum(v * mine.get(w, 0.0) for w, v in t.items()), name) for name, t in (self.wholes if whole else self.templates)
+        ]
         score, name = max(scores, key=lambda x: x[0])
         return name, score
 
@@ -106,7 +126,7 @@ class Matcher:
         """(license, cosine, is a licence file) of a whole text."""
         if not _ANCHOR.search(text):
             return None, 0.0, False
-        whole = self.best(text)
+        whole = self.best(text, whole=True)
         if whole[1] >= FILE_THRESHOLD:
             return *whole, True
         segments = dict.fromkeys(s for s in [*text.split("\n"), *re.split(r"\n\s*\n", text)] if _ANCHOR.search(s))

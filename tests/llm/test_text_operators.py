@@ -216,6 +216,19 @@ def test_licenses_and_inheritance(spark, odd, none):
     assert license_scan.scan(odd.withColumn("path", F.col("source"))).count() == len(ODD_DOCS)
 
 
+def test_whole_licence_files_are_found_and_inherited(spark):
+    texts = dict(license_scan.WHOLE_TEXTS)
+    held = lambda name: texts[name].replace("Copyright (c)", "Copyright (c) 2019-2021 Jane Roe and Acme Widgets")
+    names = ["MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "AGPL-3.0", "ISC"]
+    rows = [(i, f"{name}/LICENSE", held(name)) for i, name in enumerate(names)]
+    rows += [(100 + i, f"{name}/src/deep/code", "some words") for i, name in enumerate(names)]
+    rows += [(1000 + i, f"other/{i}", f"the words of {i} and a file") for i in range(3000)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).where("doc_id < 1000").collect()
+    found = {r["doc_id"]: (r["license"], r["how"]) for r in got}
+    for i, name in enumerate(names):
+        assert found[i] == (name, "file") and found[100 + i] == (name, "inherited")
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
