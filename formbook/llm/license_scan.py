@@ -34,6 +34,9 @@ from formbook.llm.graph import stored
 THRESHOLD = 0.6
 # Cosine from which a whole text is a licence file, not a text with a header.
 FILE_THRESHOLD = 0.85
+# A word that fewer than one in so many documents have (a name, mostly) weighs as if so
+# many had it, so a score does not fall as the table grows.
+RARE = 100
 
 # Header texts of public licenses by SPDX name.
 TEMPLATES = (
@@ -80,32 +83,56 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def _own_words() -> list[frozenset[str] | None]:
+    """Per template the words that no header of another license has (none: None)."""
+    out: list[frozenset[str] | None] = []
+    for name, t in TEMPLATES:
+        out.append(frozenset(words(t)).difference(*(words(x) for other, x in TEMPLATES if other != name)) or None)
+    return out + [None] * len(WHOLE_TEXTS)
+
+
+# Of these a segment must have one: other words alone name no license.
+OWN_WORDS = _own_words()
 VOCABULARY = frozenset(w for _, t in (*TEMPLATES, *WHOLE_TEXTS) for w in words(t))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those with each template word."""
+    """Number of documents, and of those with each template word and each other word
+    that at least one in ``RARE`` documents has; exact, over all documents."""
+
+    def batch(seen):
+        counts = [*seen.items()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([w for w, _ in counts], pa.string()), pa.array([n for _, n in counts], pa.int64())], ["word", "n"]
+        )
 
     def run(batches):
-        seen, n = Counter(), 0
+        seen = Counter()
         for _, texts in text_slices(batches, text):
-            n += len(texts)
+            seen[""] += len(texts)
             for t in texts:
-                seen.update(VOCABULARY.intersection(words(t)))
-        yield pa.RecordBatch.from_arrays([pa.array([*seen, ""]), pa.array([*seen.values(), n], pa.int64())], ["word", "n"])
+                seen.update(set(words(t)))
+            if len(seen) > 200_000:
+                yield batch(seen)
+                seen.clear()
+        yield batch(seen)
 
-    # As many rows as the templates have words.
-    rows = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    return found.pop("", 0), found
+    counts = stored(docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "license-words")
+    n_docs = sum(r["n"] for r in counts.where("word = ''").collect())
+    # As many rows as the templates have words, and at most RARE for each of the
+    # different words that a document has on average.
+    kept = counts.where((F.col("n") * RARE >= n_docs) | F.col("word").isin(sorted(VOCABULARY))).where("word <> ''")
+    return n_docs, {r["word"]: r["n"] for r in kept.collect()}
 
 
 class Matcher:
     """The best template of a text's segments."""
 
     def __init__(self, n_docs: int, frequencies: dict[str, int]):
-        self.rare = math.log(1 + n_docs / 1) or 1.0
-        self.idf = {w: math.log(1 + n_docs / max(1, frequencies.get(w, 1))) or 1.0 for w in VOCABULARY}
+        # No word but a template's weighs more than one in RARE documents.
+        self.rare = math.log(1 + min(n_docs, RARE)) or 1.0
+        counts = dict.fromkeys(VOCABULARY, 1) | frequencies
+        self.idf = {w: math.log(1 + n_docs / max(1, n)) or 1.0 for w, n in counts.items()}
         self.templates = [(name, self.vector(words(t))) for name, t in TEMPLATES]
         self.wholes = [*self.templates, *((name, self.vector(words(t))) for name, t in WHOLE_TEXTS)]
 
@@ -117,7 +144,8 @@ class Matcher:
     def best(self, segment: str, whole: bool = False) -> tuple[str | None, float]:
         mine = self.vector(words(segment))
         scores = [
-            (sum(v * mine.get(w, 0.0) for w, v in t.items()), name) for name, t in (self.wholes if whole else self.templates)
+            (sum(v * mine.get(w, 0.0) for w, v in t.items()) if own is None or not own.isdisjoint(mine) else 0.0, name)
+            for (name, t), own in zip(self.wholes if whole else self.templates, OWN_WORDS)
         ]
         score, name = max(scores, key=lambda x: x[0])
         return name, score

@@ -229,6 +229,23 @@ def test_whole_licence_files_are_found_and_inherited(spark):
         assert found[i] == (name, "file") and found[100 + i] == (name, "inherited")
 
 
+def test_license_scores_do_not_fall_with_the_table(spark):
+    lines = {
+        "Released under the MIT License by Acme Corp.": "MIT",
+        "Copyright 2020 Acme Corp. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Released under the Acme License.": None,
+    }
+    for n in (10_000, 1_000_000, 100_000_000):
+        # Template words in 1% of the documents, everyday ones in half.
+        counts = dict.fromkeys(license_scan.VOCABULARY, n // 100) | dict.fromkeys(("the", "by", "under", "of"), n // 2)
+        matcher = license_scan.Matcher(n, counts)
+        for line, want in lines.items():
+            assert matcher.scan(f"{line}\nint main() {{}}")[0] == want, (n, line, matcher.best(line))
+    docs = spark.createDataFrame([(f"all some{i} word{i % 300} word{i % 300} {'mit' if i == 7 else ''}",) for i in range(600)] + [(None,)], "text string")
+    n, counts = license_scan.document_frequencies(docs)
+    assert n == 601 and counts["all"] == 600 and counts["mit"] == 1 and "some5" not in counts and "word5" not in counts
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
