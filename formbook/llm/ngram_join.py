@@ -11,9 +11,10 @@ Two classes above the threshold share no bucket with probability
 (1 - 0.8^BAND_ROWS)^BANDS at most, 3 in 100,000 at exactly 0.8 and far less above.
 
 A bucket of any size is cut into blocks by a hash; block pairs go to tasks, and a
-task returns link counts and a spanning forest of the links, never pairs: rows grow
-with blocks, not with the square of a bucket. Buckets with the same members count
-once. No bucket, block or candidate is capped.
+task returns link counts and a spanning forest of the links, never pairs. Each class
+of a bucket of n is sent to n / BLOCK block pairs with its n-grams, so rows shuffled
+grow with n * n / BLOCK. Buckets with the same members count once. No bucket, block or
+candidate is capped.
 
 Words are runs of non-blanks in lower case; a text of fewer than five words has one
 n-gram, all its words. Null and empty texts have none, link with nothing and are
