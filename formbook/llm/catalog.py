@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.llm import bpe, chat, chunk_dedup, ego_join, license_scan, mixing, ngram_join, pii, quality, topk
+from formbook.llm import bpe, centroids, chat, chunk_dedup, ego_join, license_scan, line_dedup, mixing, ngram_join, phrases, pii, quality, topk
 from formbook.sources.tables import table
 
 QUERIES = {}
@@ -213,3 +213,110 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(spans, ",").alias("repeats"),
         F.col("kept_text").alias("text"),
     )
+
+
+OP11 = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (
+  SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+often AS (
+  SELECT key, max(doc_id) AS first FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
+judged AS (
+  SELECT k.row, k.doc_id, k.line, k.place, o.key IS NOT NULL AND k.doc_id IS DISTINCT FROM o.first AS goes
+  FROM keyed k LEFT JOIN often o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT goes), '')) AS kept_sha256
+FROM judged GROUP BY row, doc_id
+"""
+
+
+@query("op11_line_dedup", OP11)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.without_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    kept = line_dedup.kept_text(F.col("text"), F.col("bitmap"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP12 = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^ \t]+') AS w FROM texts),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+  FROM pieces, range(1, 5) s(k)),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+parts AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS MATERIALIZED (
+  SELECT p.lang, p.phrase, p.k, p.f AS a, c.cut, array_to_string(p.w[1 : c.cut], ' ') AS head,
+         array_to_string(p.w[c.cut + 1 : p.k], ' ') AS tail
+  FROM parts p JOIN range(1, 4) c(cut) ON c.cut < p.k),
+cuts AS (
+  SELECT p.*, l.f AS l, r.f AS r, ((2000000::HUGEINT * p.a) // (l.f::HUGEINT + r.f))::BIGINT AS score
+  FROM cut p JOIN f l ON l.lang = p.lang AND l.phrase = p.head JOIN f r ON r.lang = p.lang AND r.phrase = p.tail),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, inside, max(f) AS f FROM (
+    SELECT p.lang, p.f, array_to_string(p.w[i.i : i.i + m.m - 1], ' ') AS inside
+    FROM parts p, range(2, 4) m(m), range(1, 4) i(i) WHERE m.m < p.k AND i.i + m.m - 1 <= p.k)
+  GROUP BY lang, inside),
+ranked AS (
+  SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY o.score DESC, o.a DESC, o.phrase) AS rank,
+         o.phrase, o.a, o.l, o.r, n.n, o.score
+  FROM lowest o JOIN words n USING (lang) LEFT JOIN longer g ON g.lang = o.lang AND g.inside = o.phrase
+  WHERE g.f IS NULL OR 100::HUGEINT * g.f < 80::HUGEINT * o.a)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_mining", OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents", "text", "lang"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignment and update, once per round; the last assignment is not updated."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""near{r} AS MATERIALIZED (
+  SELECT vec_id, v, c AS cluster, d AS distance FROM (
+    SELECT w.row, w.vec_id, w.v, k.c, list_sum(list_transform(list_zip(w.v, k.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM whole w, means{r} k)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""means{r + 1} AS MATERIALIZED (
+  SELECT k.c, coalesce(n.m, k.m) AS m FROM means{r} k LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+      SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+        SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{r}) GROUP BY cluster, i)
+    GROUP BY cluster) n ON n.cluster = k.c)""")
+    return ",\n".join(parts)
+
+
+OP13 = f"""
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+means0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS c, v AS m
+  FROM (SELECT v, sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h FROM whole ORDER BY h, v LIMIT 40)),
+{_rounds_sql(5)}
+SELECT n.vec_id, n.cluster, n.distance, (sum(n.distance) OVER (PARTITION BY n.cluster))::BIGINT AS cluster_inertia,
+       (sum(n.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.m, ',')) AS centroid_sha256
+FROM near5 n JOIN means5 k ON k.c = n.cluster
+"""
+
+
+@query("op13_centroids", OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(table(spark, folder, "embeddings", "vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
