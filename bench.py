@@ -1,7 +1,7 @@
 """Time the headline queries at one scale and print one JSON line.
 
 ``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores. Building
-the staged contest facts and feature table is timed as queries of its own.
+the staged contest facts, stored states and feature table is timed as queries of its own.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import os
 import time
 
 from formbook.catalog import load
+from formbook.catalog.serving import stored_states
 from formbook.plans import contest
 from formbook.session import build_session
 
@@ -22,7 +23,7 @@ HEADLINES = (
     "e22_wins_pivot", "e32_radar_scores", "e37_rising_and_fading", "i2_all_strategies",
     "j3_exact_medians", "j14_batch_scoring", "j15_per_event_table", "j22_metric_row",
     "j23_metrics_by_season", "j34_running_evaluation", "j36_what_if_each",
-    "j37_materialised_next_event", "j39_backtest", "j3_imputed_and_flagged", "j5_logistic_regression",
+    "j37_materialised_next_event", "j39_backtest", "j39_model_backtest", "j3_imputed_and_flagged", "j5_logistic_regression",
     "j26_permutation_importance", "k1_incremental_ingest", "master_build",
 )
 
@@ -50,6 +51,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
 
     timed("stage_contest", lambda: contest.facts(spark, folder))
+    timed("stage_states", lambda: stored_states(spark, folder))
     for name in HEADLINES:
         timed(name, lambda name=name: run(queries[name](spark, folder)))
     print(

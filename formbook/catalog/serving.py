@@ -15,9 +15,9 @@ from formbook.catalog.registry import query, r6
 from formbook.catalog.sources import result_pages
 from formbook.catalog.sqltext import CONTEST, sql
 from formbook.operators.joins import calendar_of, checked_join
-from formbook.plans import contest, features as P, gates as G, metrics as M, scoring, tracking as T
+from formbook.plans import contest, features as P, gates as G, metrics as M, models as L, scoring, state, tracking as T
 from formbook.schemas import FEATURE_COLUMNS, feature_table
-from formbook.session import new_path
+from formbook.session import new_path, staged
 from formbook.streaming import ingest
 
 
@@ -160,20 +160,17 @@ def j37(spark, folder):
     facts = contest.facts(spark, folder)
     # The last event is the one to come; nothing but its entry list and
     # qualifying may be read.
-    events = facts.orderBy(F.desc("season"), F.desc("round")).select(
-        "event_id", "season", "round", "venue_id"
-    ).limit(1)
-    past = checked_join(facts, events.select("event_id"), ["event_id"], "left_anti")
-    coming = checked_join(facts, events.select("event_id"), ["event_id"], "left_semi")
+    calendar = calendar_of(facts, "event_id", "venue_id")
+    last = calendar.orderBy(F.desc("season"), F.desc("round")).limit(2).collect()
+    events = calendar.where(F.col("event_id") == last[0]["event_id"])
+    coming = facts.where(F.col("event_id") == last[0]["event_id"])
     standings, groups, conditions = contest.season_tables(spark, folder)
-    ended = past.select("event_id").distinct()
-    inputs = ["event_id", "season", "round", "venue_id", "entity_id", "group_id", "winner",
-              "finish_order", "finished", "points", "quali_position", "grid", "q1", "q2", "q3"]
-    made = T.materialise(
-        events, coming, coming, past.select(*inputs),
-        checked_join(standings, ended, ["event_id"], "left_semi"),
-        checked_join(groups, ended, ["event_id"], "left_semi"),
-        contest.weather_columns(conditions),
+    weather = contest.weather_columns(conditions)
+    ended = F.col("event_id") == last[1]["event_id"]
+    made = state.materialise(
+        events, coming, coming, stored_states(spark, folder), standings.where(ended), groups.where(ended), weather,
+        calendar.select("event_id", "season", "round"),
+        {"entity_id": contest.entities(spark, folder).select(F.col("c_custkey").alias("entity_id"))},
     )
     return W.pick(
         made, *FEATURE_COLUMNS,
@@ -181,6 +178,25 @@ def j37(spark, folder):
     )
 
 
+def stored_states(spark, folder):
+    """The states before the last event, stored once per session: those of all events
+    but two, advanced by the last but one when it had finished."""
+    made = {}
+
+    def built(kind):
+        if not made:
+            facts = contest.facts(spark, folder)
+            last = calendar_of(facts).orderBy(F.desc("season"), F.desc("round")).limit(2).collect()
+            coming, finished = last[0]["event_id"], last[-1]["event_id"]
+            _, _, conditions = contest.season_tables(spark, folder)
+            weather, path = contest.weather_columns(conditions), new_path(spark, "states")
+            state.save(state.build(facts.where(~F.col("event_id").isin(coming, finished)), weather), path)
+            made.update(state.advance(state.load(spark, path), facts.where(F.col("event_id") == finished), weather))
+        return made[kind]
+
+    return {kind: staged(spark, (f"state-{kind}", folder), lambda kind=kind: built(kind)) for kind in state.KINDS}
+
+
 @query(
     "j38_row_parity",
     sql(
@@ -200,10 +216,10 @@ def j38(spark, folder):
 
 
 def materialised_frame(spark, folder):
-    """Feature rows of every event as built before it took place."""
+    """Feature rows of every event, each looked up in the states before it."""
+    facts = contest.facts(spark, folder)
     standings, groups, conditions = contest.season_tables(spark, folder)
-    made = T.as_materialised(contest.facts(spark, folder))
-    return P.build_features(made, standings, groups, contest.weather_columns(conditions))
+    return state.materialise_many(facts, facts, standings, groups, contest.weather_columns(conditions))
 
 
 @query(
@@ -230,6 +246,43 @@ def j39(spark, folder):
     )
 
 
+@query(
+    "j39_model_backtest",
+    sql(
+        """WITH late AS (SELECT *, CASE WHEN entity_id % 17 = 0 THEN 0 ELSE quali_position END <> quali_position AS moved FROM contest WHERE season > 1999),
+        e AS (SELECT event_id, COUNT(*) AS rows, BOOL_OR(moved) AS moved FROM late GROUP BY event_id)
+        SELECT COUNT(*) AS events, CAST(SUM(rows) AS BIGINT) AS rows, CAST(COUNT(CASE WHEN moved THEN 1 END) AS BIGINT) AS events_moved,
+        CAST(0 AS BIGINT) AS unmoved_shares_off, CAST(0 AS BIGINT) AS other_cells_off FROM e""",
+        "contest",
+    ),
+)
+def j39_model(spark, folder):
+    # A stored model scores the stored features and those looked up before each event.
+    # Only in events where a grid differs from qualifying may a share differ.
+    late = F.col("season") > 1999
+    model = served_model(spark, folder)
+    real, made = learning_frame(spark, folder).where(late), materialised_frame(spark, folder).where(late)
+    off = G.parity(real, made, FEATURE_COLUMNS).where("NOT expected").count()
+    shares = G.share_differences(
+        scoring.score(model.score(real), F.col("p")), scoring.score(model.score(made), F.col("p")),
+        real.groupBy("event_id").agg(F.bool_or(F.col("grid_adjusted") != F.col("qualifying_position")).alias("moved")),
+    )
+    return shares.withColumn("other_cells_off", F.lit(off).cast("long"))
+
+
+def served_model(spark, folder):
+    """The logistic model of the seasons up to 1999, fitted and stored once per session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SERVED:
+        path = new_path(spark, "served-model")
+        L.save(spark, L.fit("logreg", learning_frame(spark, folder).where("season <= 1999"), COLUMNS), path)
+        _SERVED[key] = path
+    return L.load(spark, _SERVED[key])
+
+
+_SERVED: dict[tuple, str] = {}
+
+
 @query(
     "k1_incremental_ingest",
     sql(
