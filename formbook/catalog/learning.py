@@ -264,20 +264,21 @@ def j25(spark, folder):
 
 @query(
     "j26_permutation_importance",
-    "SELECT * FROM (VALUES ('grid_adjusted', TRUE, TRUE), ('driver_points_last_5', FALSE, TRUE)) AS t(feature, matters, drop_in_unit)",
+    sql(
+        "SELECT feature, 5 AS repeats, n_events, TRUE AS drop_in_unit FROM (VALUES "
+        + ", ".join(f"('{c}')" for c in COLUMNS)
+        + ") AS t(feature), (SELECT COUNT(DISTINCT event_id) AS n_events FROM contest WHERE season > 1999)",
+        "contest",
+    ),
 )
 def j26(spark, folder):
-    from formbook.plans.scoring import pole_probability
-
+    # Every column of the model, on seasons that it was not fitted on.
     df = learning_frame(spark, folder)
-
-    def score(frame):
-        return frame.withColumn("p", pole_probability("grid_adjusted"))
-
-    out = L.permutation_importance(score, df, ["grid_adjusted", "driver_points_last_5"])
-    # The rule looks at the grid alone.
-    drop = F.abs("top1_drop_mean")
-    return out.select("feature", (drop > 0).alias("matters"), (drop <= 1).alias("drop_in_unit"))
+    model = L.fit("logreg", df.where("season <= 1999"), COLUMNS)
+    late = df.where("season > 1999").select("event_id", "entity_id", "winner", *COLUMNS)
+    out = L.permutation_importance(model.score, late, COLUMNS)
+    inside = F.coalesce(F.abs("top1_drop_mean") <= 1, F.lit(False))
+    return out.select("feature", F.col("repeats").cast("int").alias("repeats"), "n_events", inside.alias("drop_in_unit"))
 
 
 WEIGHTS = {"grid": -1.5, "quali_position": -0.5, "points": 0.25, "finished": 2.0}

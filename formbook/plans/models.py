@@ -27,7 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formbook.functions.scalars import clip_probability
-from formbook.operators.hot import rank_within, with_prefix
+from formbook.operators.hot import with_prefix
+from formbook.operators.permute import numbered, permuted
+from formbook.operators.pooling import pooled_blocks
 from formbook.operators.setops import concat
 from formbook.plans import metrics as M
 from formbook.plans.scoring import pole_probability
@@ -61,9 +63,6 @@ DEFAULTS = {
     },
 }
 PERMUTATION_REPEATS = 5
-# Distinct scores that the isotonic fit sees at most; with more, neighbours are merged
-# by weight for the fit. Scoring never rounds.
-CALIBRATION_POINTS = 1_000_000
 # ------------------------------------------------------------------------------
 
 
@@ -430,22 +429,22 @@ def mark_best(results: DataFrame) -> DataFrame:
 def fit_isotonic(scored: DataFrame, p: str = "p", y: str = "y") -> IsotonicRegressionModel:
     """Monotone map from probability to observed frequency.
 
-    Rows are pooled on equal probabilities first, so the fit sees weighted means.
-    Where there are more than ``CALIBRATION_POINTS`` of them, runs of neighbours with
-    equal shares of the weight become their weighted mean.
+    Rows are pooled on equal probabilities first, then neighbours that violate the order
+    are pooled where they lie (``pooled_blocks``), at any number of scores. What is left
+    is the solution itself, and only that, the size of the model, reaches the driver.
     """
-    pooled = scored.groupBy(F.col(p).alias("_p")).agg(
-        F.avg(F.col(y).cast("double")).alias("_mean"), F.count(F.lit(1)).cast("double").alias("_w")
+    rows = scored.groupBy(F.col(p).alias("lo")).agg(
+        F.sum(F.col(y).cast("double")).alias("total"), F.count(F.lit(1)).cast("double").alias("weight")
+    )
+    blocks = pooled_blocks(rows.select("lo", F.col("lo").alias("hi"), "total", "weight"))
+    # A block is flat from its first score to its last.
+    ends = F.when(F.col("lo") == F.col("hi"), F.array("lo")).otherwise(F.array("lo", "hi"))
+    points = blocks.select(
+        F.explode(ends).alias("_p"), (F.col("total") / F.col("weight")).alias("_mean"), (F.col("weight") / F.size(ends)).alias("_w")
     )
-    size = pooled.agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w")).first()
-    if size["n"] > CALIBRATION_POINTS:
-        running = with_prefix(pooled, [], [("_p", True)], {"_to": F.col("_w")})
-        run = F.ceil(F.col("_to") * CALIBRATION_POINTS / size["w"])
-        mean = lambda c: (F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c)
-        pooled = running.groupBy(run.alias("_run")).agg(mean("_p"), mean("_mean"), F.sum("_w").alias("_w"))
     return IsotonicRegression(
         featuresCol="_p", labelCol="_mean", weightCol="_w", predictionCol="_calibrated"
-    ).fit(pooled)
+    ).fit(points)
 
 
 def fit_calibrated(
@@ -531,57 +530,41 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and deviation of the drop in per-event top-1 when a column is shuffled.
 
-    Rows get a place in one seeded random order (by key hash, so a lost task
-    repeats it). A variant takes each value from the row a random distance
-    further on in that order. All variants are scored in one pass.
+    Rows are numbered once, without an order. A repeat gives every row a donor by a keyed
+    permutation of the numbers and fetches the donor's columns by one equi-join; the
+    features are expanded after it, so what is shuffled is rows times repeats. The winner
+    of an event must stand alone at the top; that is two maxima per event, which are
+    combined before their shuffle.
     """
-    placed = rank_within(
-        df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)), [],
-        [("_h", True), *[(k, True) for k in keys]], "_at",
-    ).drop("_h")
-    n = df.count()
-    rng = random.Random(seed)
-    variants = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.lit(r).cast("long").alias("repeat"),
-                F.lit(rng.randrange(1, max(n, 2))).cast("long").alias("_shift"),
-            )
-            for c in columns
-            for r in range(repeats)
-        ]
-    )
-    values = placed.select(
-        F.col("_at").alias("_from"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_value"))
-                    for c in columns
-                ]
-            )
-        ),
-    )
-    spread = placed.select("*", F.inline(variants)).withColumn(
-        "_from", (F.col("_at") - 1 + F.col("_shift")) % n + 1
-    )
-    shuffled = spread.join(values, ["_from", "feature"])
-    types = dict(df.dtypes)
+    columns = list(columns)
+    rows, n = numbered(df.select(*dict.fromkeys([*keys, target, *df.columns])))
+    turns = list(range(repeats))
+    repeated = rows.withColumn("repeat", F.explode(F.array(*[F.lit(r).cast("long") for r in turns])))
+    asking = repeated.withColumn("_from", permuted(F.col("_at"), n, F.col("repeat"), seed)).drop("_at")
+    donors = rows.select(F.col("_at").alias("_from"), F.struct(*columns).alias("_donor"))
+    met = asking.join(donors, "_from").drop("_from")
+    shuffled = met.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
     shuffled = shuffled.withColumns(
-        {
-            c: F.when(F.col("feature") == c, F.col("_value").cast(types[c])).otherwise(F.col(c))
-            for c in columns
-        }
+        {c: F.when(F.col("feature") == c, F.col("_donor")[c]).otherwise(F.col(c)) for c in columns}
+    ).drop("_donor")
+    hits = _top1(score(shuffled), target, ["feature", "repeat"]).groupBy("feature", "repeat").agg(
+        F.avg("hit").alias("top1"), F.count(F.lit(1)).alias("n_events")
+    )
+    base = _top1(score(df), target, []).agg(F.avg("hit").alias("top1")).select("top1").scalar()
+    return hits.withColumn("_drop", base - F.col("top1")).groupBy("feature").agg(
+        F.avg("_drop").alias("top1_drop_mean"), F.stddev_pop("_drop").alias("top1_drop_std"),
+        F.count(F.lit(1)).alias("repeats"), F.max("n_events").alias("n_events"),
     )
-    by = ["feature", "repeat"]
-    frame = M.as_scored(score(shuffled), "p", target, None, *by, "event_id")
-    hits = M.event_averages(M.per_event_metrics(frame, [*by, "event_id"]), by)
-    base = M.event_averages(M.per_event_metrics(M.as_scored(score(df), "p", target, None)))
-    drop = base.select("top1_accuracy").scalar() - F.col("top1_accuracy")
-    return hits.withColumn("_drop", drop).groupBy("feature").agg(
-        F.avg("_drop").alias("top1_drop_mean"), F.stddev_pop("_drop").alias("top1_drop_std")
+
+
+def _top1(scored: DataFrame, target: str, by: Sequence[str], event: str = "event_id") -> DataFrame:
+    """(by, event, hit): does the winner's probability lie above all others?"""
+    won = F.col(target) == 1
+    best = scored.groupBy(*by, event).agg(
+        F.max(F.when(won, F.col("p"))).alias("_own"), F.max(F.when(~won, F.col("p"))).alias("_others")
     )
+    above = F.col("_others").isNull() | (F.col("_own") > F.col("_others"))
+    return best.select(*by, event, F.coalesce(F.col("_own").isNotNull() & above, F.lit(False)).cast("double").alias("hit"))
 
 
 def linear_contributions(
