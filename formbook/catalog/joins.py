@@ -11,6 +11,7 @@ from formbook.catalog.registry import longs, query, r6
 from formbook.catalog.sqltext import sql
 from formbook.operators import joins as J
 from formbook.operators.dedup import distinct_keys
+from formbook.operators.intervals import interval_join
 from formbook.operators.keys import number_after, reconcile
 from formbook.plans import contest
 from formbook.plans.features import standings_lag
@@ -208,6 +209,33 @@ def d12(spark, folder):
     return J.within_windows(rows, "season", ERAS, ["era"]).groupBy("era").agg(F.sum("n").alias("n"))
 
 
+# Overlapping windows of one to some 350 days, one per order line, every hundredth order's
+# open at its end.
+@query(
+    "d12_interval_join",
+    """WITH spans AS (SELECT l_orderkey * 10 + l_linenumber AS window_id, CAST(l_shipdate AS DATE) AS lo,
+      CASE WHEN l_orderkey % 100 <> 0 THEN CAST(l_shipdate AS DATE) + CAST(floor(l_quantity) AS INTEGER) * CAST(l_linenumber AS INTEGER) END AS hi FROM lineitem),
+    days AS (SELECT CAST(o_orderdate AS DATE) AS day, COUNT(*) AS orders FROM orders GROUP BY 1),
+    held AS (SELECT window_id, lo, hi, SUM(orders) AS orders FROM spans JOIN days ON day >= lo AND (hi IS NULL OR day <= hi) GROUP BY ALL)
+    SELECT CAST(orders AS BIGINT) AS orders, COUNT(*) AS windows FROM held GROUP BY 1""",
+)
+def d12_intervals(spark, folder):
+    # How many orders fall into each line's window.
+    orders = table(spark, folder, "orders", F.col("o_orderdate").cast("date").alias("day"))
+    days = orders.groupBy("day").agg(F.count(F.lit(1)).alias("orders"))
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
+    begins = F.col("l_shipdate").cast("date")
+    length = F.floor("l_quantity").cast("int") * F.col("l_linenumber").cast("int")
+    spans = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("window_id"), begins.alias("lo"),
+        F.when(F.col("l_orderkey") % 100 != 0, F.date_add(begins, length)).alias("hi"),
+    )
+    held = interval_join(days, "day", spans.withColumn("begins", F.col("lo")).withColumn("ends", F.col("hi")), "lo", "hi", ["window_id", "begins", "ends"])
+    # Line numbers may repeat within an order of these tables: the window is id and days.
+    per = held.groupBy("window_id", "begins", "ends").agg(F.sum("orders").alias("orders"))
+    return per.groupBy("orders").agg(F.count(F.lit(1)).alias("windows"))
+
+
 @query(
     "d13_interval_totals",
     """WITH bins AS (SELECT date_trunc('hour', ts) AS h, SUM(value) AS total, AVG(value) AS mean FROM events WHERE event_type <> 'signup' GROUP BY 1),

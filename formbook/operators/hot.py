@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formbook.session import hot_group_rows, hot_group_splits
+from formbook.session import hot_group_rows, hot_group_splits, new_path
 
 PART = "_part"
 HOT = "_hot"
@@ -133,6 +133,22 @@ def _cut(df: DataFrame, key: Sequence[str], order: Order, limit: int, splits: in
     )
 
 
+def range_parts(df: DataFrame, by: Sequence[str], order: Order) -> DataFrame:
+    """``df`` with ``_part``, cut into ranges along (``by``, ``order``), and ``_hot``.
+
+    The cuts compare whole rows in all sort columns, so text that begins alike, or rows
+    equal in the first columns, are divided like any others. There are as many ranges as
+    keep one near half the session limit, at least as many as shuffle partitions. The
+    cut table is written: its ranges stay when a task is repeated.
+    """
+    spark, limit = df.sparkSession, hot_group_rows(df.sparkSession)
+    path = new_path(spark, "ranges")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.count() // limit + 1)
+    keys = [F.col(c).asc_nulls_last() for c in by] + sort_columns(order)
+    df.repartitionByRange(ranges, *keys).withColumn(PART, F.spark_partition_id().cast("long")).write.parquet(path)
+    return spark.read.parquet(path).withColumn(HOT, F.lit(True))
+
+
 def with_prefix(
     df: DataFrame,
     by: Sequence[str],
@@ -158,7 +174,7 @@ def with_prefix(
             *[c for c in df.columns if c not in sums],
             *[F.coalesce(F.sum(f"_s_{n}").over(rows), F.lit(0)).alias(n) for n in sums],
         )
-    parted = split_hot(base, key, order[:2])
+    parted = range_parts(base, key, order)
     rows = Window.partitionBy(*key, PART).orderBy(*sort_columns(order))
     rows = rows.rowsBetween(Window.unboundedPreceding, end)
     across = Window.partitionBy(*key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)

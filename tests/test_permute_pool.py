@@ -113,3 +113,79 @@ def test_calibration_of_many_scores(spark, monkeypatch):
     blocks = plain_isotonic([(a, y[p == a].mean(), (p == a).sum()) for a in sorted(set(p))])
     means = sorted({round(b[2] / b[3], 9) for b in blocks})
     assert np.allclose(sorted(set(np.round(parts.predictions.toArray(), 9))), means)
+
+
+def plain_held(rows, windows):
+    out = []
+    for key, v in rows:
+        for name, lo, hi in windows:
+            if v is not None and (lo is None or lo <= v) and (hi is None or v <= hi):
+                out.append((key, name))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "date"])
+def test_interval_join_equals_all_pairs(spark, kind):
+    import datetime as dt
+
+    from formbook.operators.intervals import interval_join
+
+    rng = random.Random(11)
+    def make(x):
+        return {"long": x, "double": x / 7, "date": dt.date(2000, 1, 1) + dt.timedelta(days=x)}[kind]
+
+    rows = [(i, make(rng.choice([rng.randint(0, 3000), 77]))) for i in range(400)] + [(900, None)]
+    windows = []
+    for i in range(300):
+        lo, length = rng.randint(-200, 3100), rng.choice([0, 1, 3, 50, 2000, 9000])
+        if kind == "date":
+            lo = max(lo, -200)
+        windows.append((i, make(lo), make(lo + length)))
+    windows += [(500, None, make(100)), (501, make(2900), None), (502, None, None), (503, make(50), make(10)), (504, make(77), make(77))]
+    df = spark.createDataFrame(rows, f"key long, v {kind}")
+    table = spark.createDataFrame(windows, f"name long, lo {kind}, hi {kind}")
+    made = interval_join(df, "v", table, "lo", "hi", ["name"])
+    assert sorted((r["key"], r["name"]) for r in made.collect()) == plain_held(rows, windows)
+    outer = interval_join(df, "v", table.where("name = 504"), "lo", "hi", ["name"], "left")
+    assert outer.count() == len(rows)
+    assert interval_join(df, "v", table.limit(0), "lo", "hi", ["name"], "left").count() == len(rows)
+    assert interval_join(df.limit(0), "v", table, "lo", "hi", ["name"]).count() == 0
+
+
+def test_ten_thousand_windows_need_no_nested_loop(spark):
+    from formbook.operators.intervals import interval_join
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).select((F.col("id") * 5).alias("v"))
+        windows = spark.range(10_000).select(F.col("id").alias("name"), F.col("id").alias("lo"), (F.col("id") + F.col("id") % 40).alias("hi"))
+        made = interval_join(df, "v", windows, "lo", "hi", ["name"])
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        want = sum(1 for i in range(10_000) for v in range(-(-i // 5) * 5, i + i % 40 + 1, 5) if v < 10_000)
+        assert made.count() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("shape", ["one_event", "same_prefix"])
+def test_numbering_divides_rows_alike_in_their_first_columns(spark, shape):
+    from formbook.operators import hot
+    from formbook.operators.keys import mint_keys
+
+    if shape == "one_event":
+        rows = [(2001, 1, i % 7, f"ref{i:05d}") for i in range(5000)]
+    else:
+        rows = [(2001, 1, 1, f"https://example.org/a/very/long/path/{i:05d}") for i in range(5000)]
+    incoming = spark.createDataFrame(rows, "season long, round long, place long, ref string")
+    dim = spark.createDataFrame([("known", 10)], "ref string, id long")
+    spark.conf.set("spark.formbook.hotGroupRows", "500")
+    try:
+        order = [("season", True), ("round", True), ("place", True), ("ref", True)]
+        parts = hot.range_parts(incoming, [], order).groupBy("_part").count().agg(F.max("count")).first()[0]
+        assert parts <= 2 * 500
+        got = {r["ref"]: r["id"] for r in mint_keys(incoming, dim, "ref", "id", "season", "round", "place").collect()}
+    finally:
+        spark.conf.unset("spark.formbook.hotGroupRows")
+    want = {r[3]: 11 + i for i, r in enumerate(sorted(rows))}
+    assert got == want
