@@ -63,6 +63,8 @@ DEFAULTS = {
     },
 }
 PERMUTATION_REPEATS = 5
+# Rank error of the approximate quantiles around a median: rows divided by this.
+MEDIAN_ACCURACY = 10_000
 # ------------------------------------------------------------------------------
 
 
@@ -98,45 +100,81 @@ def class_balance(df: DataFrame, target: str = "winner") -> DataFrame:
     )
 
 
-def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value): one narrow aggregate then serves any number of columns."""
-    cells = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
-    ]
-    return df.select(F.inline(F.array(*cells)))
+def _per_column(df: DataFrame, columns: Sequence[str], aggs: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(feature, aggregates): all columns in one aggregate of one row, laid out in rows."""
+    values = {c: F.col(c).cast("double") for c in columns}
+    row = df.agg(*[agg(v).alias(f"_{i}_{name}") for i, v in enumerate(values.values()) for name, agg in aggs.items()])
+    cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}_{name}").alias(name) for name in aggs]) for i, c in enumerate(columns)]
+    return row.select(F.inline(F.array(*cells)))
+
+
+MOMENTS = {
+    "n": lambda v: F.count(F.lit(1)),
+    "there": F.count,
+    "mean": F.avg,
+    "var": F.var_pop,
+}
+# The bracket lies this many approximation errors around the middle.
+BRACKET = 2 / MEDIAN_ACCURACY
+BRACKETS = {
+    "lo": lambda v: F.percentile_approx(v, 0.5 - BRACKET, MEDIAN_ACCURACY),
+    "hi": lambda v: F.percentile_approx(v, 0.5 + BRACKET, MEDIAN_ACCURACY),
+}
 
 
 def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n, there, mean, var): rows, non-null values and their moments."""
-    return _long_values(df, columns).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("value").alias("there"),
-        F.avg("value").alias("mean"),
-        F.var_pop("value").alias("var"),
-    )
+    return _per_column(df, columns, MOMENTS)
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str], brackets: dict | None = None) -> DataFrame:
     """(feature, median) over non-null values, exact at any number of distinct ones.
 
-    Values are counted per feature first; the running count over those finds
-    the one or two middle values, in parts when a feature has very many.
+    A first pass finds a narrow bracket around each middle by approximate quantiles; a
+    second counts the values below it and, one by one, those inside. Only values inside
+    are shuffled, counted before, and put in order. A column whose middle proves to lie
+    outside its bracket is looked for among all its values. ``brackets`` ({feature:
+    (lo, hi, values that are there)}) saves the first pass.
     """
-    long_rows = _long_values(df, columns).where("value IS NOT NULL")
-    counts = long_rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
+    columns = list(columns)
+    if brackets is None:
+        rows = _per_column(df, columns, {"there": F.count, **BRACKETS}).collect()
+        brackets = {r["feature"]: (r["lo"], r["hi"], r["there"]) for r in rows}
+    known = [c for c in columns if brackets[c][2]]
+    if not known:
+        return df.sparkSession.createDataFrame([], "feature string, median double")
+    ends = {c: (brackets[c][0], brackets[c][1]) for c in known}
+    below = df.agg(*[F.count_if(F.col(c).cast("double") < ends[c][0]).alias(f"_{i}") for i, c in enumerate(known)]).first()
+    spark = df.sparkSession
+    facts = spark.createDataFrame(
+        [(c, brackets[c][2], below[i]) for i, c in enumerate(known)], "feature string, _total long, _below long"
+    )
+    medians = _middles(df, ends, facts)
+    found = {r["feature"] for r in medians.collect()}
+    missed = [c for c in known if c not in found]
+    if missed:
+        every = facts.where(F.col("feature").isin(missed)).withColumn("_below", F.lit(0).cast("long"))
+        medians = medians.unionByName(_middles(df, {c: (float("-inf"), float("nan")) for c in missed}, every))
+    return medians
+
+
+def _middles(df: DataFrame, ends: dict[str, tuple[float, float]], facts: DataFrame) -> DataFrame:
+    """(feature, median) of the columns whose two middle places lie within ``ends``;
+    NaN sorts above all numbers."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for c, (lo, hi) in ends.items()]
+    inside = F.filter(F.array(*cells), lambda x: x["value"].isNotNull() & (x["value"] >= x["lo"]) & (x["value"] <= x["hi"]))
+    counts = df.select(F.inline(inside)).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     running = with_prefix(counts, ["feature"], [("value", True)], {"_upto": F.col("n")})
-    # One total per feature.
-    placed = running.join(F.broadcast(totals), "feature")
-    before = F.col("_upto") - F.col("n")
+    # One row per feature.
+    placed = running.join(F.broadcast(facts), "feature")
+    upto = F.col("_below") + F.col("_upto")
     lower, upper = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
 
-    def covers(rank: Column) -> Column:
-        return (before < rank) & (rank <= F.col("_upto"))
+    def at(rank: Column) -> Column:
+        return F.min(F.when((upto - F.col("n") < rank) & (rank <= upto), F.col("value")))
 
-    return placed.where(covers(lower) | covers(upper)).groupBy("feature").agg(
-        ((F.min("value") + F.max("value")) / 2).alias("median")
-    )
+    both = placed.groupBy("feature").agg(at(lower).alias("_a"), at(upper).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    return both.select("feature", ((F.col("_a") + F.col("_b")) / 2).alias("median"))
 
 
 @dataclass
@@ -184,8 +222,9 @@ def fit_preprocess(train: DataFrame, columns: Sequence[str], scale: bool) -> Pre
     number of gaps the median fills, so no second pass reads the imputed rows.
     """
     columns = list(columns)
-    medians = {r["feature"]: r["median"] for r in exact_medians(train, columns).collect()}
-    moments = {r["feature"]: r for r in column_moments(train, columns).collect()}
+    moments = {r["feature"]: r for r in _per_column(train, columns, {**MOMENTS, **BRACKETS}).collect()}
+    brackets = {c: (r["lo"], r["hi"], r["there"]) for c, r in moments.items()}
+    medians = {r["feature"]: r["median"] for r in exact_medians(train, columns, brackets).collect()}
     flagged = [c for c in columns if moments[c]["there"] < moments[c]["n"]]
     pre = Preprocess(columns, medians, flagged)
     if not scale:

@@ -189,3 +189,30 @@ def test_numbering_divides_rows_alike_in_their_first_columns(spark, shape):
         spark.conf.unset("spark.formbook.hotGroupRows")
     want = {r[3]: 11 + i for i, r in enumerate(sorted(rows))}
     assert got == want
+
+
+@pytest.mark.parametrize("shape", ["many", "ties", "odd_values", "outside"])
+def test_medians_from_brackets_are_exact(spark, monkeypatch, shape):
+    rng = np.random.default_rng(12)
+    n = 3001 if shape != "ties" else 3000
+    a = rng.normal(size=n) if shape != "ties" else rng.integers(0, 3, n).astype(float)
+    b = [None if i % 3 == 0 else float(x) for i, x in enumerate(rng.exponential(size=n))]
+    c = [float("nan") if shape == "odd_values" and i % 10 == 0 else float(i % 2) for i in range(n)]
+    df = spark.createDataFrame([(float(x), y, z, None) for x, y, z in zip(a, b, c)], "a double, b double, c double, d double")
+    brackets = {k: (5.0, 6.0, n if k != "b" else sum(x is not None for x in b)) for k in "abc"} | {"d": (None, None, 0)} if shape == "outside" else None
+    got = {r["feature"]: r["median"] for r in L.exact_medians(df, list("abcd"), brackets).collect()}
+    want = {"a": np.median(a), "b": np.median([x for x in b if x is not None]), "c": np.median(np.nan_to_num(c, nan=9.0))}
+    assert got == want
+
+
+def test_medians_shuffle_values_of_brackets_only(spark):
+    df = spark.range(200_000).select(F.rand(3).alias("a"), F.rand(4).alias("b"))
+    made = L.exact_medians(df, ["a", "b"])
+    pre = L.fit_preprocess(df, ["a", "b"], scale=True)
+    assert pre.medians == {r["feature"]: r["median"] for r in made.collect()}
+    for c in "ab":
+        rows = df.select(F.avg(c), F.stddev_pop(c), F.median(c)).first()
+        assert (pre.means[c], pre.stds[c], pre.medians[c]) == pytest.approx(tuple(rows))
+    ends = {r["feature"]: (r["lo"], r["hi"]) for r in L._per_column(df, ["a", "b"], L.BRACKETS).collect()}
+    inside = sum(df.where(F.col(c).between(*ends[c])).count() for c in "ab")
+    assert 0 < inside < 2000
