@@ -100,12 +100,20 @@ def class_balance(df: DataFrame, target: str = "winner") -> DataFrame:
     )
 
 
+def _cells(df: DataFrame, columns: Sequence[str], ends: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(feature, value), and (lo, hi) of the feature's bracket: rows that only ever meet
+    an aggregate that is combined before its shuffle."""
+    def cell(c: str) -> Column:
+        given = [F.lit(float(e)).alias(n) for n, e in zip(("lo", "hi"), ends[c])] if ends else []
+        return F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), *given)
+
+    return df.select(F.inline(F.array(*map(cell, columns))))
+
+
 def _per_column(df: DataFrame, columns: Sequence[str], aggs: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """(feature, aggregates): all columns in one aggregate of one row, laid out in rows."""
-    values = {c: F.col(c).cast("double") for c in columns}
-    row = df.agg(*[agg(v).alias(f"_{i}_{name}") for i, v in enumerate(values.values()) for name, agg in aggs.items()])
-    cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}_{name}").alias(name) for name in aggs]) for i, c in enumerate(columns)]
-    return row.select(F.inline(F.array(*cells)))
+    """(feature, aggregates): what is shuffled is one row per task and feature."""
+    value = F.col("value")
+    return _cells(df, columns).groupBy("feature").agg(*[agg(value).alias(name) for name, agg in aggs.items()])
 
 
 MOMENTS = {
@@ -116,10 +124,7 @@ MOMENTS = {
 }
 # The bracket lies this many approximation errors around the middle.
 BRACKET = 2 / MEDIAN_ACCURACY
-BRACKETS = {
-    "lo": lambda v: F.percentile_approx(v, 0.5 - BRACKET, MEDIAN_ACCURACY),
-    "hi": lambda v: F.percentile_approx(v, 0.5 + BRACKET, MEDIAN_ACCURACY),
-}
+BRACKETS = {"ends": lambda v: F.percentile_approx(v, [0.5 - BRACKET, 0.5 + BRACKET], MEDIAN_ACCURACY)}
 
 
 def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -139,15 +144,14 @@ def exact_medians(df: DataFrame, columns: Sequence[str], brackets: dict | None =
     columns = list(columns)
     if brackets is None:
         rows = _per_column(df, columns, {"there": F.count, **BRACKETS}).collect()
-        brackets = {r["feature"]: (r["lo"], r["hi"], r["there"]) for r in rows}
+        brackets = {r["feature"]: (*(r["ends"] or (None, None)), r["there"]) for r in rows}
     known = [c for c in columns if brackets[c][2]]
     if not known:
         return df.sparkSession.createDataFrame([], "feature string, median double")
     ends = {c: (brackets[c][0], brackets[c][1]) for c in known}
-    below = df.agg(*[F.count_if(F.col(c).cast("double") < ends[c][0]).alias(f"_{i}") for i, c in enumerate(known)]).first()
-    spark = df.sparkSession
-    facts = spark.createDataFrame(
-        [(c, brackets[c][2], below[i]) for i, c in enumerate(known)], "feature string, _total long, _below long"
+    below = _cells(df, known, ends).groupBy("feature").agg(F.count_if(F.col("value") < F.col("lo")).alias("_below")).collect()
+    facts = df.sparkSession.createDataFrame(
+        [(r["feature"], brackets[r["feature"]][2], r["_below"]) for r in below], "feature string, _total long, _below long"
     )
     medians = _middles(df, ends, facts)
     found = {r["feature"] for r in medians.collect()}
@@ -161,9 +165,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str], brackets: dict | None =
 def _middles(df: DataFrame, ends: dict[str, tuple[float, float]], facts: DataFrame) -> DataFrame:
     """(feature, median) of the columns whose two middle places lie within ``ends``;
     NaN sorts above all numbers."""
-    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for c, (lo, hi) in ends.items()]
-    inside = F.filter(F.array(*cells), lambda x: x["value"].isNotNull() & (x["value"] >= x["lo"]) & (x["value"] <= x["hi"]))
-    counts = df.select(F.inline(inside)).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    inside = _cells(df, list(ends), ends).where(F.col("value").between(F.col("lo"), F.col("hi")))
+    counts = inside.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     running = with_prefix(counts, ["feature"], [("value", True)], {"_upto": F.col("n")})
     # One row per feature.
     placed = running.join(F.broadcast(facts), "feature")
@@ -223,7 +226,7 @@ def fit_preprocess(train: DataFrame, columns: Sequence[str], scale: bool) -> Pre
     """
     columns = list(columns)
     moments = {r["feature"]: r for r in _per_column(train, columns, {**MOMENTS, **BRACKETS}).collect()}
-    brackets = {c: (r["lo"], r["hi"], r["there"]) for c, r in moments.items()}
+    brackets = {c: (*(r["ends"] or (None, None)), r["there"]) for c, r in moments.items()}
     medians = {r["feature"]: r["median"] for r in exact_medians(train, columns, brackets).collect()}
     flagged = [c for c in columns if moments[c]["there"] < moments[c]["n"]]
     pre = Preprocess(columns, medians, flagged)

@@ -213,6 +213,6 @@ def test_medians_shuffle_values_of_brackets_only(spark):
     for c in "ab":
         rows = df.select(F.avg(c), F.stddev_pop(c), F.median(c)).first()
         assert (pre.means[c], pre.stds[c], pre.medians[c]) == pytest.approx(tuple(rows))
-    ends = {r["feature"]: (r["lo"], r["hi"]) for r in L._per_column(df, ["a", "b"], L.BRACKETS).collect()}
+    ends = {r["feature"]: r["ends"] for r in L._per_column(df, ["a", "b"], L.BRACKETS).collect()}
     inside = sum(df.where(F.col(c).between(*ends[c])).count() for c in "ab")
     assert 0 < inside < 2000
