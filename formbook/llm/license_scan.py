@@ -1,20 +1,27 @@
 """License scans: TF-IDF cosine to templates, and inheritance down the path.
 
-A text's segments are its lines, its paragraphs and the whole of it, as far as they
-hold an anchor word (every template has one). Segment and template are sparse TF-IDF
-vectors over words; document frequencies of the template words are counted over all
-documents, any other word counts as seen once. The best template from ``THRESHOLD``
-on is the segment's license. A document whose whole text matches
-a header or a whole licence (``WHOLE``; from ``FILE_THRESHOLD`` on) is a licence file and
-speaks for its directory and all below; one with a matching line or paragraph
-has a header of its own; any other inherits from the nearest directory above it.
+A text's segments are its lines and its paragraphs, as far as they hold an anchor word
+(every template has one). Segment and template are sparse TF-IDF vectors over words;
+document frequencies are counted over all documents, and a word that fewer than one in
+``RARE`` have weighs as if so many had it. The best template from ``THRESHOLD`` on is the
+segment's license, unless the segment names a rival: another version, or a word that
+tells licences of one family apart (lesser, affero, noncommercial). Whole texts are
+compared with whole licences; from ``FILE_THRESHOLD`` on the document is a licence file.
+
+A licence file speaks for its directory and all below. So does a file with a header
+whose base name says so (LICENSE, COPYING); a header in any other file, be it the whole
+of it, speaks for that file only. A document without a header inherits from the nearest
+directory above it.
 
 Directories are resolved once each, by joining all their ancestors with those that
 hold a licence file, so documents take part in one join on their directory.
 
 Null text counts as empty: it has no license of its own but can inherit. A null path
 has no directory. Of several licence files in a directory the best match counts,
-then the smaller name. Rows with the same id are scanned each. Empty tables give none.
+then the smaller name; of templates that match equally well the first. Rows with the
+same id are scanned each. Texts of any length are scanned whole, in a task's slice or
+alone. An empty table gives an empty result. Kept columns that clash with results
+(license, how, cosine) must be renamed by the caller; others stay out of the way.
 """
 
 from __future__ import annotations
@@ -44,21 +51,41 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, ISC License"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Released under CC0 1.0, public domain dedication license."),
     ("Unlicense", "This is free and unencumbered software released into the public domain, unlicense."),
 )
+# Words that tell the licences of a family apart: one that has a mark is none without it,
+# and the other way round.
+MARKS = {
+    "GNU": {"LGPL": ("lesser", "library"), "AGPL": ("affero",)},
+    "CC": {"NC": ("nc", "noncommercial"), "SA": ("sa", "sharealike"), "ND": ("nd", "noderivatives", "noderivs")},
+    "BSD": {},
+}
+# In the conditions of a BSD licence, what only the one of three clauses says.
+THIRD_CLAUSE = ("endorse",)
 
 # Whole licences, for whole documents only.
 WHOLE = (
@@ -83,12 +110,47 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def family(name: str) -> str:
+    if name.split("-")[0] in ("GPL", "LGPL", "AGPL"):
+        return "GNU"
+    return name.split("-")[0] if name.split("-")[0] in ("CC", "BSD") else name
+
+
+def marks(name: str) -> dict[str, bool]:
+    """Per mark of the licence's family, whether it is in the name."""
+    return {m: m in name.split("-") for m in MARKS.get(family(name), {})}
+
+
+_VERSION = re.compile(r"(?i)\bv(?:ersion|\.)?[\s.]*(\d+(?:\.\d+)*)|\b(\d+\.\d+)\b|\b(\d)-clause")
+
+
+def versions(segment: str) -> set[str]:
+    """The numbers a segment gives as versions: 2.0 and 2 are one."""
+    found = (a or b or c for a, b, c in _VERSION.findall(segment))
+    return {re.sub(r"(\.0)+$", "", v) for v in found}
+
+
+def own_version(name: str) -> str | None:
+    number = re.search(r"-(\d+(?:\.\d+)?)(?:-Clause)?$", name)
+    return re.sub(r"\.0$", "", number.group(1)) if number else None
+
+
+def is_rival(name: str, segment_words: set[str], stated: set[str]) -> bool:
+    """Does the segment say that it is another licence than ``name``?"""
+    for mark, has in marks(name).items():
+        if has == segment_words.isdisjoint(MARKS[family(name)][mark]):
+            return True
+    mine = own_version(name)
+    return mine is not None and bool(stated) and mine not in stated
+
+
 def _own_words() -> list[frozenset[str] | None]:
-    """Per template the words that no header of another license has (none: None)."""
+    """Per template the words that no header of another family has (none: None)."""
     out: list[frozenset[str] | None] = []
     for name, t in TEMPLATES:
-        out.append(frozenset(words(t)).difference(*(words(x) for other, x in TEMPLATES if other != name)) or None)
-    return out + [None] * len(WHOLE_TEXTS)
+        others = (words(x) for other, x in TEMPLATES if family(other) != family(name))
+        out.append(frozenset(words(t)).difference(*others) or None)
+    return out
 
 
 # Of these a segment must have one: other words alone name no license.
@@ -134,32 +196,48 @@ class Matcher:
         counts = dict.fromkeys(VOCABULARY, 1) | frequencies
         self.idf = {w: math.log(1 + n_docs / max(1, n)) or 1.0 for w, n in counts.items()}
         self.templates = [(name, self.vector(words(t))) for name, t in TEMPLATES]
-        self.wholes = [*self.templates, *((name, self.vector(words(t))) for name, t in WHOLE_TEXTS)]
+        self.wholes = [(name, self.vector(words(t))) for name, t in WHOLE_TEXTS]
 
     def vector(self, found: list[str]) -> dict[str, float]:
         weights = {w: n * self.idf.get(w, self.rare) for w, n in Counter(found).items()}
         norm = math.sqrt(sum(v * v for v in weights.values())) or 1.0
         return {w: v / norm for w, v in weights.items()}
 
-    def best(self, segment: str, whole: bool = False) -> tuple[str | None, float]:
-        mine = self.vector(words(segment))
-        scores = [
-            (sum(v * mine.get(w, 0.0) for w, v in t.items()) if own is None or not own.isdisjoint(mine) else 0.0, name)
-            for (name, t), own in zip(self.wholes if whole else self.templates, OWN_WORDS)
-        ]
-        score, name = max(scores, key=lambda x: x[0])
-        return name, score
+    def cosine(self, template: dict[str, float], mine: dict[str, float]) -> float:
+        return sum(v * mine.get(w, 0.0) for w, v in template.items())
+
+    def best_whole(self, text: str) -> tuple[str | None, float]:
+        mine = self.vector(words(text))
+        return max(((name, self.cosine(t, mine)) for name, t in self.wholes), key=lambda x: x[1])
+
+    def best(self, segment: str) -> tuple[str | None, float]:
+        mine, stated = self.vector(words(segment)), versions(segment)
+        found: tuple[str | None, float] = (None, 0.0)
+        for (name, t), own in zip(self.templates, OWN_WORDS):
+            if (own is None or not own.isdisjoint(mine)) and not is_rival(name, set(mine), stated):
+                score = self.cosine(t, mine)
+                found = (name, score) if score > found[1] else found
+        return found
 
     def scan(self, text: str) -> tuple[str | None, float, bool]:
-        """(license, cosine, is a licence file) of a whole text."""
+        """(license, cosine, is a whole licence) of a whole text."""
         if not _ANCHOR.search(text):
             return None, 0.0, False
-        whole = self.best(text, whole=True)
+        whole = self.best_whole(text)
         if whole[1] >= FILE_THRESHOLD:
             return *whole, True
-        segments = dict.fromkeys(s for s in [*text.split("\n"), *re.split(r"\n\s*\n", text)] if _ANCHOR.search(s))
-        found = max(map(self.best, segments), key=lambda x: x[1], default=(None, 0.0))
-        return (*found, False) if found[1] >= THRESHOLD else (None, 0.0, False)
+        # Paragraphs too, and as one line each, since notices are wrapped.
+        segments = dict.fromkeys(s for s in [*text.split("\n"), *re.split(r"\n\W*\n", text)] if _ANCHOR.search(s))
+        name, score = max(map(self.best, segments), key=lambda x: x[1], default=(None, 0.0))
+        if score < THRESHOLD:
+            return None, 0.0, False
+        if name == "BSD-2-Clause" and not set(THIRD_CLAUSE).isdisjoint(words(text)):
+            name = "BSD-3-Clause"
+        return name, score, False
+
+
+# Base names of files that speak for their directory with a header alone.
+FILE_NAME = r"(?i)^(.*/)?(un)?(licen[cs]e|copying)[^/]*$"
 
 
 def directory(path: Column) -> Column:
@@ -189,6 +267,8 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", keep: tuple[st
     added = {"_own": "string", "_cosine": "double", "_file": "boolean"}
     columns = list(dict.fromkeys([*keep, path]))
     own = stored(append_columns(docs, text, columns, added, make), "license-own").withColumn("_dir", directory(F.col(path)))
+    named = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False)) & F.col("_own").isNotNull()
+    own = own.withColumn("_file", F.col("_file") | named)
     files = (
         own.where("_file AND _dir IS NOT NULL")
         .groupBy("_dir")

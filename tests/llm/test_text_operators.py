@@ -210,7 +210,7 @@ def test_licenses_and_inheritance(spark, odd, none):
     assert len(got) == len(rows)
     assert found == {
         (1, "MIT", "file"), (2, "GPL-3.0", "inherited"), (3, "GPL-3.0", "header"), (4, "GPL-3.0", "file"),
-        (5, "MIT", "inherited"), (6, None, "none"), (7, "MIT", "file"), (8, None, "none"), (9, "GPL-3.0", "inherited"),
+        (5, "MIT", "inherited"), (6, None, "none"), (7, "MIT", "header"), (8, None, "none"), (9, "GPL-3.0", "inherited"),
     }
     assert license_scan.scan(none.withColumn("path", F.lit("p"))).count() == 0
     assert license_scan.scan(odd.withColumn("path", F.col("source"))).count() == len(ODD_DOCS)
@@ -229,6 +229,100 @@ def test_whole_licence_files_are_found_and_inherited(spark):
         assert found[i] == (name, "file") and found[100 + i] == (name, "inherited")
 
 
+GNU_END = """ * it under the terms of the GNU {0}General Public License as published by
+ * the Free Software Foundation{1} either version {2} of the License, or
+ * (at your option) any later version.
+ *
+ * This {3} is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {0}General Public License for more details.
+ */
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice.
+"""
+NOTICES = [
+    ("GPL-2.0", "/* This program is free software; you can redistribute it and/or modify\n" + GNU_END.format("", ";", "2", "program")),
+    ("GPL-3.0", "/* This program is free software: you can redistribute it and/or modify\n" + GNU_END.format("", ", ", "3", "program")),
+    ("LGPL-2.1", "/* This library is free software; you can redistribute it and/or modify\n" + GNU_END.format("Lesser ", ";", "2.1", "library")),
+    ("LGPL-3.0", "/* This library is free software: you can redistribute it and/or modify\n" + GNU_END.format("Lesser ", ", ", "3", "library")),
+    ("AGPL-3.0", "/* This program is free software: you can redistribute it and/or modify\n" + GNU_END.format("Affero ", ", ", "3", "program")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "# This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("BSD-2-Clause", BSD_2),
+    ("BSD-3-Clause", BSD_2 + "3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products."),
+    ("BSD-3-Clause", "// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file."),
+    ("Apache-2.0", "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at"),
+    ("MPL-2.0", "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this file"),
+    ("BSL-1.0", "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("MIT", "Released under the MIT License."),
+    (None, "Licensed under the Apache License, Version 1.1."),
+    (None, "Licensed under CC BY-ND 4.0."),
+]
+
+
+@pytest.mark.parametrize("n", [30, 10_000, 10_000_000])
+def test_real_notices_are_named_right(n):
+    counts = dict.fromkeys(license_scan.VOCABULARY, max(1, n // 100))
+    counts |= dict.fromkeys("the of and a to in is it this or be for by with as that".split(), max(1, n // 2))
+    matcher = license_scan.Matcher(n, counts)
+    for want, notice in NOTICES:
+        found = matcher.scan(f"{notice}\n\nint main() {{ return 0; }}\n")
+        assert found[0] == want and not found[2], (want, found, notice)
+    for name, text in license_scan.WHOLE_TEXTS:
+        assert matcher.scan(text)[0] == name and matcher.scan(text)[2]
+
+
+def plain_scan(rows, matcher):
+    own = [(i, p, *matcher.scan(t or "")) for i, p, t in rows]
+    files = {}
+    for _, p, name, score, whole in own:
+        says = p is not None and re.match(license_scan.FILE_NAME, p) and name
+        if p is not None and (whole or says):
+            files.setdefault(p.rpartition("/")[0], []).append((-score, p, name))
+    out = []
+    for i, p, name, score, whole in own:
+        says = whole or (p is not None and re.match(license_scan.FILE_NAME, p) and name)
+        if name:
+            out.append((i, name, "file" if says else "header"))
+            continue
+        at, found = (None if p is None else p.rpartition("/")[0]), None
+        while at is not None and found is None:
+            found = min(files[at])[2] if at in files else None
+            at = None if at == "" else at.rpartition("/")[0]
+        out.append((i, found, "inherited" if found else "none"))
+    return sorted(out, key=str)
+
+
+def test_scan_equals_a_plain_version(spark):
+    rng = random.Random(21)
+    texts = [t for _, t in NOTICES] + [t for _, t in license_scan.WHOLE_TEXTS] + [None, "", "no words of that kind", "a license of some sort"] * 12
+    folders = ["", "a/", "a/b/", "a/b/c/", "d/", "d/e/"]
+    rows = []
+    for i in range(400):
+        name = rng.choice(["LICENSE", "COPYING.txt", "code.c", "x.py", "readme", "notes"])
+        rows.append((i, None if i % 50 == 0 else f"{rng.choice(folders)}{i % 7}/{name}" if i % 3 else f"{rng.choice(folders)}{name}{i}", rng.choice(texts)))
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = sorted(((r["doc_id"], r["license"], r["how"]) for r in license_scan.scan(df).collect()), key=str)
+    assert got == plain_scan(rows, license_scan.Matcher(*license_scan.document_frequencies(df)))
+    assert {h for _, _, h in got} == {"file", "header", "inherited", "none"}
+
+
+def test_a_header_does_not_speak_for_its_directory(spark):
+    notice = NOTICES[5][1]
+    rows = [(1, "p/b.c", f"{notice}\nint x;"), (2, "p/sub/c.c", "int y;"), (3, "q/notes", "two lines of prose\nReleased under the MIT License."), (4, "q/z", "words")]
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("GPL-2.0", "header"), 2: (None, "none"), 3: ("MIT", "header"), 4: (None, "none")}
+
+
 def test_license_scores_do_not_fall_with_the_table(spark):
     lines = {
         "Released under the MIT License by Acme Corp.": "MIT",
