@@ -16,7 +16,9 @@ Long texts are cut into pieces where no match of the pattern can span the cut (a
 letter or digit followed by a blank), so memory depends on the piece, not the text.
 
 Null text counts as empty; empty text has no tokens. Decoding ids outside the
-vocabulary, or null ids, raises; a null id list decodes to no bytes.
+vocabulary, or null ids, raises; a null id list decodes to no bytes. Repeated rows are
+encoded each, alike; an empty table gives an empty result. Kept columns that are named
+like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -248,8 +250,9 @@ def _shared(df: DataFrame, path: str, pattern: str):
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``ids, starts, ends`` of each row's whole text."""
-    shared, keep = _shared(df, path, pattern), list(keep)
+    """``keep`` and ``ids, starts, ends`` of each row's whole text. Kept columns of these
+    names are replaced."""
+    shared, keep = _shared(df, path, pattern), [c for c in keep if c not in ENCODED]
 
     def run(batches):
         with _codec(shared) as codec:
@@ -263,8 +266,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``decoded``, the bytes of each row's ids. Bytes, since ids cut out
-    of a sequence can begin or end inside a character."""
-    shared, keep = _shared(df, path, pattern), list(keep)
+    of a sequence can begin or end inside a character. A kept ``decoded`` is replaced."""
+    shared, keep = _shared(df, path, pattern), [c for c in keep if c != "decoded"]
 
     def run(batches):
         with _codec(shared) as codec:
@@ -279,8 +282,9 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``encode`` and then ``decode`` of its ids in one pass over the rows."""
-    shared, keep = _shared(df, path, pattern), list(keep)
+    """``encode`` and then ``decode`` of its ids in one pass over the rows. Kept columns
+    named like a result are replaced."""
+    shared, keep = _shared(df, path, pattern), [c for c in keep if c not in (*ENCODED, "decoded")]
 
     def run(batches):
         with _codec(shared) as codec:

@@ -88,3 +88,23 @@ def test_stages_survive_odd_rows(spark, odd, none):
             docs = stored(stage(spark, docs, FOLDER), "test-odd")
         assert "ids" in docs.columns
     assert pii.fit(none) is None
+
+
+def test_stages_keep_columns_named_like_results(spark, clashing):
+    docs = clashing
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, FOLDER), "test-clashing")
+    kinds = dict(docs.dtypes)
+    assert kinds["ids"] == "array<int>" and kinds["n_tokens"] == "bigint" and kinds["decodes"] == "boolean"
+    assert [c for c in docs.columns if c not in ("ids", "n_tokens", "decodes")] == [c for c in clashing.columns if c != "ids"]
+    kept = [c for c in clashing.columns if c not in ("doc_id", "text", "lang", "source", "n_chars", "ids")]
+    assert {tuple(r) for r in docs.select(*kept).distinct().collect()} <= {("x",) * len(kept)}
+
+
+def test_encoding_replaces_kept_columns_of_its_names(spark, clashing):
+    keep = ("doc_id", "ids", "ends", "decoded", "label")
+    made = bpe.round_trip(clashing, corpus_pipeline.VOCABULARY, corpus_pipeline.PATTERN, keep=keep)
+    assert sorted(made.columns) == sorted(["doc_id", "label", "ids", "starts", "ends", "decoded"])
+    assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in made.join(clashing.select("doc_id", "text").distinct(), "doc_id").collect())
+    again = bpe.decode(made, corpus_pipeline.VOCABULARY, corpus_pipeline.PATTERN, keep=("doc_id", "decoded"))
+    assert again.columns == ["doc_id", "decoded"] and again.count() == clashing.count()
