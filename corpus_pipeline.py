@@ -20,33 +20,55 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. Null and empty texts are scored
+    like any other, repeated rows alike; extra columns keep their values unless they are
+    named like a result of the classifier, then they are put aside."""
     weights = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.score(docs, weights).where("predicted = 1").select(*docs.columns)
+    rows, back = _aside(docs, "score", "predicted")
+    kept = quality.score(rows, weights).where("predicted = 1").select(*rows.columns)
+    return kept.withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
+    """One document, that of the smallest id, of each group of near duplicates. Documents
+    without a text are alike only to each other; all columns are kept."""
     return ngram_join.keep_one(docs, ngram_join.join(docs)).select(*docs.columns)
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names put aside, and how to name them back."""
+    back = {f"_own_{c}": c for c in names if c in docs.columns}
+    return docs.withColumnsRenamed({c: aside for aside, c in back.items()}), back
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts replaced by its kind; null texts stay null."""
-    clean = pii.detect(docs, pii.fit(docs))
+    """Personal data in texts replaced by its kind; null texts stay null. Columns named
+    like the detector's results keep their values."""
+    rows, back = _aside(docs, "pii", "redacted")
+    clean = pii.detect(rows, pii.fit(rows))
     text = F.when(F.col("text").isNotNull(), F.col("redacted"))
-    return clean.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
+    clean = clean.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*rows.columns)
+    return clean.withColumnsRenamed(back).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
-    return mixing.repeat_rows(mixing.mix(docs)).select(*docs.columns)
+    """Each document as often as its source's target asks for; a null source is one of
+    its own. Columns named like results of the mix keep their values."""
+    rows, back = _aside(docs, "size", "source_size", "target", "repeats", "taken")
+    return mixing.repeat_rows(mixing.mix(rows)).select(*rows.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, and whether these decode to the text."""
-    coded = bpe.round_trip(docs, VOCABULARY, PATTERN, keep=tuple(docs.columns))
+    """The documents with their token ids, and whether these decode to the text. A null
+    text is encoded as an empty one. Columns named ids, n_tokens or decodes are replaced,
+    others keep their values."""
+    results = ("ids", "n_tokens", "decodes")
+    kept = docs.drop(*results)
+    rows, back = _aside(kept, "starts", "ends", "decoded")
+    coded = bpe.round_trip(rows, VOCABULARY, PATTERN, keep=tuple(rows.columns))
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"))
+    made = coded.select(*rows.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"))
+    return made.withColumnsRenamed(back).select(*kept.columns, *results)
 
 
 STAGES = [
