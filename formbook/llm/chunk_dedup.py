@@ -13,8 +13,9 @@ and keeps those seen twice; a second one finds the places of these by full diges
 All places but the first (by document id, then position) are repeats. They are anchors:
 where they and their first places stand in a row, the characters left and right of the
 row are compared with those beside its first place, and it grows as far as these are
-equal (a word that only ends or begins alike stays). ``RUN_CHARS`` characters of such
-rows are a repeated passage and go, so a shared short line stays where it is.
+equal (a word that only ends or begins alike stays). A grown row of ``RUN_CHARS``
+characters is a repeated passage and goes, so a shared short line stays where it is,
+also beside other short lines. Very long texts are cut and compared like short ones.
 
 Null text counts as empty; it has no chunks. Rows with the same id and text are one
 document: repeats are looked for between documents and within a text. Null ids come last in order.
@@ -224,22 +225,24 @@ def _in_word(text: str, at: int) -> bool:
 
 def extended(text: str, runs: list[tuple[int, int, str, str]], run_chars: int) -> list[tuple[int, int]]:
     """Repeated passages from runs (start, stop, what stands left and right of the
-    first place): each as far as both texts are equal, but for a begun word, then
-    joined where they meet."""
+    first place): each as far as both texts are equal, but for a begun word. What then
+    has ``run_chars`` characters in a row with one first place is a passage; short runs
+    from several places that only stand side by side are none."""
     grown = []
     for start, stop, left, right in runs:
         far = start - _common(text[max(0, start - REACH) : start][::-1], left[::-1])
         begin = next((k for k in range(far, min(start, far + WORD) + 1) if not _in_word(text, k)), far)
         far = stop + _common(text[stop : stop + REACH], right)
         end = next((k for k in range(far, max(stop, far - WORD) - 1, -1) if not _in_word(text, k)), far)
-        grown.append((begin, end))
+        if end - begin >= run_chars:
+            grown.append((begin, end))
     out: list[tuple[int, int]] = []
     for start, stop in sorted(grown):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(stop, out[-1][1]))
         else:
             out.append((start, stop))
-    return [x for x in out if x[1] - x[0] >= run_chars]
+    return out
 
 
 def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -397,9 +398,61 @@ def test_short_passages_go_from_end_to_end(spark):
     assert sorted(bool(spans) for (i, _), spans in texts.items() if i == 1002) == [False, True]
 
 
-def test_rolling_hash_equals_the_recurrence():
-    import numpy as np
+def test_short_phrases_side_by_side_are_no_passage(spark):
+    rng = random.Random(11)
+    phrases = [prose(rng, 40)[:95].rsplit(" ", 1)[0] for _ in range(8)]
+    assert all(len(p) < 99 for p in phrases)
+    rows = [(i, f"{prose(rng, 50)} {p} {prose(rng, 50)}") for i, p in enumerate(phrases)]
+    # Each phrase has a first place of its own, and none is long enough to go.
+    rows += [(100, " ".join(phrases[:4])), (101, f"{prose(rng, 30)} {' '.join(phrases[4:])} {prose(rng, 30)}")]
+    # A passage goes whole where an earlier document holds a part of it.
+    passage = prose(rng, 60)
+    rows += [(50, f"{prose(rng, 30)} {passage[150:230]} {prose(rng, 30)}"), (60, f"{prose(rng, 30)} {passage} {prose(rng, 30)}")]
+    front = prose(rng, 25) + " "
+    rows += [(70, f"{front}{passage} {prose(rng, 30)}")]
+    # So does one in a very long text.
+    far = prose(rng, 40_000) + " "
+    rows += [(80, f"{far}{passage} {prose(rng, 30)}")]
+    got = chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in got}
+    assert [i for i, found in sorted(spans.items()) if found] == [70, 80]
+    for i, start in ((70, len(front)), (80, len(far))):
+        assert len(spans[i]) == 1 and spans[i][0][0] <= start and start + len(passage) <= spans[i][0][1]
+        assert spans[i][0][1] - spans[i][0][0] <= len(passage) + 20
+
+
+def test_passages_equal_the_longest_common_ones(spark):
+    """Every span stands word for word in a place before it, and no common passage of
+    200 characters is left, by comparison of all windows."""
+    rng = random.Random(12)
+    stock = [prose(rng, 14) for _ in range(6)]
+    passages = [prose(rng, 45) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        parts = [prose(rng, rng.randint(5, 40)) for _ in range(3)] + rng.sample(stock, 2) + rng.sample(passages, rng.randint(0, 2))
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    got = chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {r["doc_id"]: r["kept_text"] for r in got}
+    spans = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in got}
+    seen: set[str] = set()
+    for i, text in rows:
+        covered = np.zeros(len(text), bool)
+        for a, b in spans[i]:
+            covered[a:b] = True
+        for at in range(len(text) - 199):
+            window = text[at : at + 200]
+            if any(window in other for _, other in rows[:i]):
+                assert covered[at + 40 : at + 160].all()
+        for at in np.flatnonzero(covered):
+            # Each character that goes is part of 100 that an earlier text has too.
+            lows = range(max(0, at - 99), min(at, len(text) - 100) + 1)
+            assert any(text[a : a + 100] in seen for a in lows)
+        seen.update(text[a : a + 100] for a in range(len(text) - 99))
+        assert kept[i] == "".join(c for c, gone in zip(text, covered) if not gone)
+
 
+def test_rolling_hash_equals_the_recurrence():
     raw = np.frombuffer(prose(random.Random(7), 30).encode(), np.uint8)
     h, want = 0, []
     for b in raw:
