@@ -12,13 +12,14 @@ from formbook.catalog.ranking import (
     METRIC_NAMES, METRIC_SELECT, metrics_sql, pole_of, scored_frame, scored_of,
 )
 from formbook.catalog.registry import query, r6
-from formbook.catalog.sources import result_pages
+from formbook.catalog.sources import payload_files, result_pages
 from formbook.catalog.sqltext import CONTEST, sql
 from formbook.operators.joins import calendar_of, checked_join
+from formbook.operators.setops import concat
 from formbook.plans import contest, features as P, gates as G, metrics as M, models as L, scoring, state, tracking as T
 from formbook.schemas import FEATURE_COLUMNS, feature_table
 from formbook.session import new_path, staged
-from formbook.streaming import ingest
+from formbook.streaming import ingest, payloads
 
 
 @query(
@@ -295,18 +296,58 @@ _SERVED: dict[tuple, str] = {}
     ),
 )
 def k1(spark, folder):
-    source, results = new_path(spark, "arrivals"), new_path(spark, "results")
-    dims = new_path(spark, "dims")
+    source, root = new_path(spark, "arrivals"), new_path(spark, "ingested")
     result_pages(contest.facts(spark, folder)).write.mode("overwrite").json(source)
-    ingest.ingest_results(spark, source, results, dims, new_path(spark, "offsets"))
+    payloads.ingest_payloads(spark, source, "results", root, new_path(spark, "offsets"))
     # A second run that lost its offsets re-reads every file and adds nothing.
-    out = ingest.ingest_results(spark, source, results, dims, new_path(spark, "offsets"))
+    out = payloads.ingest_payloads(spark, source, "results", root, new_path(spark, "offsets"))
     return out.select(
         "season", "round", "entity_ref", "group_ref", "grid", "position", "points",
         F.col("entity_id").alias("entity_key"), F.col("group_id").alias("group_key"),
     )
 
 
+@query(
+    "k1_four_payloads",
+    sql(
+        """WITH seen AS (SELECT *, DENSE_RANK() OVER (ORDER BY e) AS entity_key, DENSE_RANK() OVER (ORDER BY g) AS group_key FROM (
+          SELECT event_id, entity_id, group_id,
+          MIN(season * 100000000 + round * 1000000 + finish_order) OVER (PARTITION BY entity_id) AS e,
+          MIN(season * 100000000 + round * 1000000 + finish_order) OVER (PARTITION BY group_id) AS g FROM contest)),
+        entity_keys AS (SELECT DISTINCT entity_id, entity_key FROM seen), group_keys AS (SELECT DISTINCT group_id, group_key FROM seen)
+        SELECT 'results' AS kind, event_id, entity_key, group_key, finish_order AS place, CAST(points AS DOUBLE) AS points, NULL AS wins, NULL AS q1,
+        ROW_NUMBER() OVER (ORDER BY season, round, finish_order) AS row_id
+        FROM contest JOIN entity_keys USING (entity_id) JOIN group_keys USING (group_id)
+        UNION ALL SELECT 'qualifying', event_id, entity_key, group_key, quali_position, NULL, NULL, q1,
+        ROW_NUMBER() OVER (ORDER BY season, round, quali_position, 'e' || entity_id)
+        FROM contest JOIN entity_keys USING (entity_id) JOIN group_keys USING (group_id)
+        UNION ALL SELECT 'entity_standings', event_id, entity_key, NULL, position, CAST(points AS DOUBLE), CAST(wins AS BIGINT), NULL,
+        ROW_NUMBER() OVER (ORDER BY season, round, position) FROM standings JOIN entity_keys USING (entity_id)
+        UNION ALL SELECT 'group_standings', event_id, NULL, group_key, position, CAST(points AS DOUBLE), CAST(wins AS BIGINT), NULL,
+        ROW_NUMBER() OVER (ORDER BY season, round, position) FROM group_standings JOIN group_keys USING (group_id)""",
+        "standings", "group_standings",
+    ),
+)
+def k1_four(spark, folder):
+    sources, root = payload_files(spark, folder), new_path(spark, "ingested")
+    calendar = calendar_of(contest.facts(spark, folder))
+    payloads.catch_up(spark, sources, root, new_path(spark, "offsets"), calendar)
+    # Offsets lost: every file is read again and nothing is added.
+    payloads.catch_up(spark, sources, root, new_path(spark, "offsets"), calendar)
+
+    def rows(kind):
+        made = payloads.KINDS[kind]
+        out = payloads.stored_rows(spark, root, kind)
+        held = {"entity_key": "entity_id", "group_key": "group_id", "place": made.place, "points": "points", "wins": "wins", "q1": "q1", "row_id": made.row_id}
+        kinds = {"points": "double", "q1": "string"}
+        columns = [
+            (F.col(c) if c in out.columns else F.lit(None)).cast(kinds.get(name, "long")).alias(name) for name, c in held.items()
+        ]
+        return out.select(F.lit(kind).alias("kind"), "event_id", *columns)
+
+    return concat([rows(kind) for kind in payloads.KINDS])
+
+
 @query(
     "k1_qualifying_target",
     sql(

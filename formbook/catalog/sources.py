@@ -200,7 +200,31 @@ def _references():
 def _paged(rows, entry, place, name):
     """Entries of an event as payloads of at most ``PAGE`` of them."""
     page = F.floor((F.col(place) - 1) / PAGE)
-    return rows.groupBy("season", "round", page.alias("page")).agg(F.collect_list(entry).alias(name)).drop("page")
+    paged = rows.groupBy("season", "round", page.alias("page")).agg(F.collect_list(entry).alias(name))
+    return paged.select("season", "round", (F.col("page") * PAGE).alias("offset"), name)
+
+
+def payload_files(spark, folder):
+    """Folders of payload files of each kind, made from the contest."""
+    facts = contest.facts(spark, folder)
+    qualified = F.struct(
+        *_references(),
+        F.col("entity_id").cast("string").alias("number"),
+        F.col("quali_position").cast("string").alias("position"),
+        *[F.col(f"q{k}").alias(f"Q{k}") for k in (1, 2, 3)],
+    )
+    total = [F.col(c).cast("string").alias(c) for c in ("points", "position", "wins")]
+    standings, groups, _ = contest.season_tables(spark, folder)
+    pages = {
+        "results": result_pages(facts),
+        "qualifying": _paged(facts, qualified, "quali_position", "QualifyingResults"),
+        "entity_standings": _paged(standings, F.struct(_references()[0], *total), "position", "Standings"),
+        "group_standings": _paged(groups, F.struct(_references()[1], *total), "position", "Standings"),
+    }
+    paths = {kind: new_path(spark, kind) for kind in pages}
+    for kind, path in paths.items():
+        pages[kind].write.json(path)
+    return paths
 
 
 @query(

@@ -44,6 +44,10 @@ def join_back(
     return checked_join(df, df.groupBy(*by).agg(*aggs), by, rows=rows)
 
 
+class RosterError(ValueError):
+    """An event before which nobody is known to have started."""
+
+
 class JoinGuardError(ValueError):
     """A dimension key is not unique, so the join would multiply rows."""
 
@@ -141,6 +145,7 @@ def roster_as_of(
     event: str = "event_id",
 ) -> DataFrame:
     """Entrants for ``events``: those of the latest completed event strictly before.
+    An event without one, and without rows in ``override``, raises.
 
     Rows of ``override`` (event, entity, group) replace the inferred roster of
     their event.
@@ -164,7 +169,13 @@ def roster_as_of(
     latest = within.join(F.broadcast(carry), "season", "left").select(
         event, F.coalesce("_w", "_c")[event].alias("_from")
     )
-    wanted = events.select(event).distinct().join(latest, event)
+    wanted = events.select(event).distinct().join(latest, event, "left")
+    bare = wanted.where("_from IS NULL")
+    if override is not None:
+        bare = bare.join(override.select(event), event, "left_anti")
+    some = [r[event] for r in bare.select(event).limit(5).collect()]
+    if some:
+        raise RosterError(f"no completed event before {some}")
     roster = (
         facts.select(F.col(event).alias("_from"), "entity_id", "group_id")
         .distinct()

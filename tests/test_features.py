@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from formbook import schemas as H
 from formbook.functions import scalars as S
-from formbook.operators.joins import JoinGuardError, guarded_join, neighbours, roster_as_of
+from formbook.operators.joins import JoinGuardError, RosterError, guarded_join, neighbours, roster_as_of
 from formbook.plans import features as P
 from formbook.plans.features import RACING
 
@@ -288,11 +288,16 @@ def test_roster_comes_from_the_latest_completed_event(spark):
     facts = spark.createDataFrame(
         [(1, 10, 7), (1, 11, 8), (3, 12, 7)], "event_id long, entity_id long, group_id long"
     )
-    got = roster_as_of(calendar, calendar, facts).orderBy("event_id", "entity_id").collect()
+    got = roster_as_of(calendar.where("event_id > 1"), calendar, facts).orderBy("event_id", "entity_id").collect()
     assert [tuple(r) for r in got] == [(2, 10, 7), (2, 11, 8), (3, 10, 7), (3, 11, 8), (4, 12, 7)]
     named = spark.createDataFrame([(4, 99, 1)], "event_id long, entity_id long, group_id long")
     only = roster_as_of(calendar.where("event_id = 4"), calendar, facts, named).collect()
     assert [tuple(r) for r in only] == [(4, 99, 1)]
+    with pytest.raises(RosterError, match=r"\[1\]"):
+        roster_as_of(calendar, calendar, facts)
+    # A named roster stands in for the history that is not there.
+    named = spark.createDataFrame([(1, 99, 1)], "event_id long, entity_id long, group_id long")
+    assert roster_as_of(calendar, calendar, facts, named).where("event_id = 1").count() == 1
 
 
 def test_unknown_winners_leave_an_event_open(spark):

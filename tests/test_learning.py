@@ -209,32 +209,6 @@ def test_materialise_refuses_a_known_event(spark):
         T.materialise(rows, rows, rows, rows, rows, rows, rows)
 
 
-def test_streamed_ingest_mints_each_key_once(spark, tmp_path):
-    from formbook.streaming.ingest import ingest_results
-
-    def payload(season, round_, *drivers):
-        rows = ", ".join(
-            f"named_struct('Driver', named_struct('driverId', '{d}'), 'Constructor', "
-            f"named_struct('constructorId', 't{i % 2}'), 'positionText', '{i + 1}', 'grid', '{i}')"
-            for i, d in enumerate(drivers)
-        )
-        df = spark.sql(f"SELECT {season}L AS season, {round_}L AS round, array({rows}) AS Results")
-        df.write.mode("append").json(str(tmp_path / "in"))
-
-    paths = [str(tmp_path / p) for p in ("in", "out", "dims")]
-    payload(2020, 1, "a", "b")
-    first = ingest_results(spark, *paths, str(tmp_path / "c1"))
-    assert first.count() == 2
-    payload(2020, 2, "b", "c")
-    second = ingest_results(spark, *paths, str(tmp_path / "c1"))
-    # Offsets lost: all files again, one per batch.
-    third = ingest_results(spark, *paths, str(tmp_path / "c2"), files_per_batch=1)
-    assert second.count() == third.count() == 4
-    ids = {(r["entity_ref"], r["entity_id"]) for r in third.collect()}
-    assert len(ids) == 3 and {i for _, i in ids} == {1, 2, 3}
-    assert third.where("group_id IS NULL").count() == 0
-
-
 def test_calibration_tells_close_scores_apart(spark):
     from pyspark.sql import functions as F
 
