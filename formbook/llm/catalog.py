@@ -170,7 +170,25 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-@query("op9_grid_order_join")
+OP9 = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+components AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN components ON node = vec_id LEFT JOIN counted ON a = vec_id
+"""
+
+
+@query("op9_grid_order_join", OP9)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return ego_join.join(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
 

@@ -16,7 +16,8 @@ decide speed, never results.
 Vectors that are null, zero, or hold null or non-finite components, and vectors
 without a label, link with nothing. Shorter vectors count as filled with zeros.
 Rows with the same id are vectors of their own; null ids take part, and a component
-of null ids only has a null id. An empty table gives none.
+of null ids only has a null id. Other columns, whatever their names, are not read. An
+empty table gives none. Components are taken in the precision they are given in.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.llm.graph import components, forest, stored
-from formbook.llm.vectors import is_finite, pack, unpack
+from formbook.llm.vectors import is_finite, pack, precise, unpack
 
 COSINE = 0.93
 # Leading principal dimensions that make up the grid.
@@ -246,9 +247,8 @@ def join(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``."""
     eps = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(
-        F.col(vec_id).alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<float>").alias("embedding")
-    )
+    exact = precise(F.col(embedding), dict(vectors.dtypes)[embedding])
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("long").alias("label"), exact.alias("embedding"))
     joins = F.col("label").isNotNull() & is_finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     unique = stored(
         rows.where(joins)

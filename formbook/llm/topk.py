@@ -16,8 +16,11 @@ ranking. Queries are taken in blocks against all rows; nothing is cut off.
 Vectors that are null or hold null or non-finite components, and rows without an id,
 take no part. Shorter vectors count as filled with zeros; an empty vector scores 0.
 Rows with the query's id are its own and never candidates; other repeated rows are
-candidates each. A query row that is repeated asks once. Scores beyond 64 bits take the largest or smallest long. An empty
-table gives none; with fewer candidates than k, all are listed.
+candidates each. A query row that is repeated asks once. Components are taken in the
+precision they are given in; scaled ones beyond a double's range count as its largest
+value, and scores beyond 64 bits as the largest or smallest long. Other columns, whatever
+their names, are not read. An empty table gives none; with fewer candidates than k, all
+are listed.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formbook.llm.graph import stored
-from formbook.llm.vectors import is_finite, pack, unpack, width
+from formbook.llm.vectors import is_finite, pack, precise, unpack, width
 
 SCALE = 64
 K = 20
@@ -42,17 +45,28 @@ BY_COORDINATE = 0.8
 # Class of vectors of length 0, below all others.
 NO_LENGTH = -10_000
 LARGEST = 2**63 - 1
+FARTHEST = np.finfo(np.float64).max
 
 
 def whole_numbers(x: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(x * scale)
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(x * scale), -FARTHEST, FARTHEST)
+
+
+def lengths_of(x: np.ndarray) -> np.ndarray:
+    """Lengths of vectors, scaled first so that squares stay in range."""
+    most = np.abs(x).max(axis=1, initial=0)
+    part = x / np.maximum(most, 1)[:, None]
+    with np.errstate(over="ignore"):
+        return np.minimum(np.maximum(most, 1) * np.sqrt((part * part).sum(axis=1)), FARTHEST)
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Exact inner products of tables of whole doubles, as longs."""
     d = max(q.shape[1], p.shape[1])
     q, p = (np.pad(v, ((0, 0), (0, d - v.shape[1]))) for v in (q, p))
-    largest = np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * max(1, d)
+    with np.errstate(over="ignore"):
+        largest = np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * max(1, d)
     if largest < 2**53:
         return (q @ p.T).astype(np.int64)
     a, b = (np.array([[int(x) for x in row] for row in v], object).reshape(len(v), d) for v in (q, p))
@@ -85,16 +99,17 @@ def _packed(ids: list, rows: list, lengths: list, **more) -> dict:
 def _with_lengths(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id, embedding, length and class of the vectors that take part."""
 
+    kind = dict(vectors.dtypes)["embedding"]
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = whole_numbers(unpack(*pack(batch.column("embedding").to_pylist())), scale)
-                length = np.sqrt((x * x).sum(axis=1))
+                length = lengths_of(whole_numbers(unpack(*pack(batch.column("embedding").to_pylist())), scale))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(length), pa.array(_class_of(length))], ["vec_id", "embedding", "length", "class"]
                 )
 
-    return vectors.mapInArrow(run, "vec_id long, embedding array<float>, length double, class long")
+    return vectors.mapInArrow(run, f"vec_id long, embedding {kind}, length double, class long")
 
 
 _BLOCK = "class long, block long, most double, least double, ids array<long>, sizes binary, flat binary, lengths binary"
@@ -194,7 +209,8 @@ def search(
     embedding: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best for every row where ``is_query``."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"), is_query.alias("_asks"))
+    exact = precise(F.col(embedding), dict(vectors.dtypes)[embedding])
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), exact.alias("embedding"), is_query.alias("_asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & is_finite(F.col("embedding")))
     measured = stored(_with_lengths(rows.select("vec_id", "embedding"), scale), "topk-rows")
     candidates = stored(_blocks(measured, [F.desc("class"), F.desc("length"), F.col("vec_id")], CANDIDATES), "topk-blocks")

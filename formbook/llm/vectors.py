@@ -14,16 +14,28 @@ def is_finite(vector: Column) -> Column:
 
 
 def pack(rows: list) -> tuple[bytes, bytes]:
-    """Lengths and components of vectors of any lengths."""
+    """Lengths and components of vectors of any lengths.
+
+    Components take four bytes where all of them are floats and eight otherwise, so
+    nothing is rounded.
+    """
     sizes = np.array([len(r) for r in rows], np.int32)
-    flat = np.concatenate([np.asarray(r, np.float32) for r in rows]) if len(rows) else np.zeros(0, np.float32)
-    return sizes.tobytes(), flat.astype(np.float32).tobytes()
+    flat = np.concatenate([np.asarray(r, np.float64) for r in rows]) if len(rows) else np.zeros(0)
+    with np.errstate(over="ignore"):
+        short = flat.astype(np.float32)
+    return sizes.tobytes(), (short if (short == flat).all() else flat).tobytes()
+
+
+def precise(vector: Column, kind: str) -> Column:
+    """A vector column of type ``kind`` as floats if it holds floats, else as doubles."""
+    return vector.cast("array<float>" if kind == "array<float>" else "array<double>")
 
 
 def unpack(sizes: bytes, flat: bytes, dims: int = 0) -> np.ndarray:
     """A table of doubles, shorter vectors filled with zeros."""
     n = np.frombuffer(sizes, np.int32)
-    values = np.frombuffer(flat, np.float32)
+    total = int(n.sum())
+    values = np.frombuffer(flat, np.float64 if total and len(flat) == 8 * total else np.float32)
     width = max(dims, int(n.max(initial=0)))
     if len(n) and (n == width).all():
         return values.reshape(len(n), width).astype(np.float64)

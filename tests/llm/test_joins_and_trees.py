@@ -180,6 +180,48 @@ def test_topk_equals_all_products(spark, monkeypatch, spread, block):
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_keep_the_precision_they_come_in(spark):
+    kind = "vec_id long, embedding array<double>, label int"
+    # In floats both components would be 64.
+    df = spark.createDataFrame([(0, [1.0], 1), (1, [0.9999999999], 1), (2, [1e200], 1), (3, [1.7e308], 1)], kind)
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") == 0).collect()]
+    assert got == [(0, 2, topk.LARGEST), (0, 3, topk.LARGEST), (0, 1, 4032)]
+    # Pairs a hair above and below the threshold; each pair has a plane of its own.
+    rng = np.random.default_rng(21)
+    rows, linked = [], set()
+    for i in range(40):
+        cosine = 0.93 + (1e-9 if i % 2 else -1e-9)
+        plane = np.linalg.qr(rng.normal(size=(64, 2)))[0]
+        one, two = plane[:, 0], plane @ np.array([cosine, math.sqrt(1 - cosine * cosine)])
+        size = rng.choice([1e-60, 1.0, 1e45])
+        rows += [(2 * i, (one * size).tolist(), i), (2 * i + 1, two.tolist(), i)]
+        linked |= {2 * i, 2 * i + 1} if i % 2 else set()
+    got = ego_join.join(spark.createDataFrame(rows, kind)).collect()
+    assert {r["vec_id"] for r in got if r["n_links"]} == linked
+    assert all(r["component_id"] == (r["vec_id"] // 2 * 2 if r["vec_id"] in linked else r["vec_id"]) for r in got)
+
+
+def test_grid_order_join_equals_its_sql_where_vectors_link(spark, tmp_path):
+    import duckdb
+
+    from formbook.llm.catalog import OP9
+
+    rng = np.random.default_rng(22)
+    centres = rng.normal(size=(30, 64))
+    rows = []
+    for i in range(600):
+        x = centres[i % 30] + rng.normal(size=64) * rng.choice([0.02, 0.25, 0.4])
+        rows.append((i, [float(v) for v in x.astype(np.float32)], int(i % 3) if i % 50 else None))
+    rows += [(700, rows[1][1], 1), (701, rows[1][1], 1), (702, [0.0] * 64, 1), (703, None, 1), (704, [float("nan")] * 64, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings"))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings/*.parquet')")
+    want = sorted(base.execute(OP9).fetchall())
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in ego_join.join(df).collect())
+    assert got == want and sum(n for _, n, _, _ in got) > 1000 and len({c for _, _, c, _ in got}) > 30
+
+
 def test_topk_of_huge_components_is_exact(spark):
     rows = [(0, [1e17, 3.0]), (1, [1e17, -3.0]), (2, [-1e18, 1.0]), (3, [5.0, 7.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
