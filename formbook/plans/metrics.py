@@ -49,6 +49,14 @@ def input_problems(scored: DataFrame, event: str = "event_id") -> DataFrame:
     )
 
 
+def require_evaluation_input(scored: DataFrame, event: str = "event_id") -> None:
+    """Raise where ``scored`` has any of ``input_problems``."""
+    found = input_problems(scored, event).first().asDict()
+    bad = {k: n for k, n in found.items() if k != "rows" and n}
+    if bad:
+        raise EvaluationError(f"unfit for evaluation: {bad}")
+
+
 def spearman(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rank correlation of -p with the finishing order; NULL when degenerate."""
     # NULL orders leave the pair out.

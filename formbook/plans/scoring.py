@@ -72,6 +72,16 @@ def check_scoring_input(
     )
 
 
+def require_scoring_input(
+    df: DataFrame, columns: Sequence[str], event: str = "event_id", entity: str = "entity_id"
+) -> None:
+    """Raise where ``check_scoring_input`` counts anything but rows."""
+    found = check_scoring_input(df, columns, event, entity).first().asDict()
+    bad = {k: n for k, n in found.items() if k != "rows" and n}
+    if bad:
+        raise ScoringInputError(f"unfit for scoring: {bad}")
+
+
 def what_if(
     df: DataFrame,
     changes: DataFrame,

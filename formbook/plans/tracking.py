@@ -12,6 +12,7 @@ from formbook.operators.quality import events_without_one_winner
 from formbook.operators.setops import aligned_union
 from formbook.plans import metrics as M
 from formbook.plans.features import CONTEST, Names, build_features
+from formbook.plans.scoring import require_scoring_input
 
 # --- fixed values --------------------------------------------------------------
 SMALL_SAMPLE = 24
@@ -38,13 +39,16 @@ def score_new_events(
     """Metric rows of complete events that ``tracked`` does not hold.
 
     Events stay scored by the model that first saw them; an event without a
-    single confirmed winner waits.
+    single confirmed winner waits. Repeated entrants and unusable scores raise before
+    a row is made.
     """
     new = checked_join(facts, tracked.select(event).distinct(), [event], "left_anti")
     open_events = events_without_one_winner(new, event, target).select(event)
     ready = checked_join(new, open_events, [event], "left_anti")
+    require_scoring_input(ready, [target, order], event)
     scored = score(ready)
     frame = M.as_scored(scored, "p", target, order, event, "season", "round")
+    M.require_evaluation_input(frame, event)
     out = M.metrics(frame, [event, "season", "round"], event)
     stamps = {f"model_{k}": F.lit(v) for k, v in (model or {}).items()}
     return out.withColumns({**stamps, "scored_at": F.current_timestamp()})

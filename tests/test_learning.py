@@ -7,6 +7,7 @@ from formbook.plans import models as L
 from formbook.plans import splits as I
 from formbook.plans import tracking as T
 from formbook.plans import scoring
+from formbook.plans.metrics import EvaluationError
 
 
 def seasons(spark, lo=2010, hi=2026):
@@ -196,6 +197,15 @@ def test_tracking_is_idempotent_and_waits_for_winners(spark):
     report = T.score_new_events(score, facts, none, {"name": "pole"})
     assert report.count() == 9 and report.where("event_id = 55").count() == 0
     assert T.score_new_events(score, facts.where("event_id <> 55"), report).count() == 0
+    # Entrants twice in an event, and scores that are no probabilities, are refused.
+    one = facts.where("event_id = 54")
+    twice = one.where("winner = 0")
+    with pytest.raises(scoring.ScoringInputError, match="repeated_rows"):
+        T.score_new_events(score, one.unionByName(twice), none)
+    with pytest.raises(EvaluationError, match="p_outside_unit"):
+        T.score_new_events(lambda df: score(df).withColumn("p", F.col("p") + 1), one, none)
+    with pytest.raises(EvaluationError, match="missing_p"):
+        T.score_new_events(lambda df: score(df).withColumn("p", F.lit(None).cast("double")), one, none)
     assert T.extend_report(report, report).count() == 9
     row = T.summarise_tracking(report).first()
     assert row["n_events"] == 9 and row["small_sample"] and row["top1_accuracy"] == 1.0
