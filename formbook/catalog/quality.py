@@ -12,6 +12,8 @@ from formbook.operators import joins as J
 from formbook.operators import quality as Q
 from formbook.plans import contest
 from formbook.schemas import leaked_outcomes, require_schema
+from formbook.session import new_path
+from formbook.sources.files import write_checked
 from formbook.sources.tables import table
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -202,6 +204,48 @@ def b10_verdict(spark, folder):
     return Q.verdict(result_report(raw_results(spark, folder)))
 
 
+SAMPLE_SQL = "list_slice(list(struct_pack(event_id := event_id, entity_id := entity_id) ORDER BY event_id, entity_id), 1, 5)"
+SAMPLED_RULES = {
+    "position outside [1, 34]": ("warning", "position < 1 OR position > 34"),
+    "unfinished with position": ("warning", "NOT finished AND position IS NOT NULL"),
+    "finished without position": ("error", "finished AND position IS NULL"),
+}
+
+
+@query(
+    "b10_rule_samples",
+    sql(
+        f"WITH {RAW_CTE} "
+        + " UNION ALL ".join(
+            f"""SELECT '{name}' AS rule, '{severity}' AS severity, COUNT(*) AS n,
+            array_to_string(list_transform({SAMPLE_SQL}, lambda x: x.event_id || ':' || x.entity_id), ' ') AS sample FROM raw WHERE {broken}"""
+            for name, (severity, broken) in SAMPLED_RULES.items()
+        ),
+        "statused",
+    ),
+)
+def b10_samples(spark, folder):
+    rules = [r for r in result_rules() if r.name in SAMPLED_RULES]
+    out = Q.run_rules_sampled(raw_results(spark, folder), rules, ["event_id", "entity_id"])
+    shown = F.transform("sample", lambda k: F.concat_ws(":", k["event_id"].cast("string"), k["entity_id"].cast("string")))
+    return out.withColumn("sample", F.when(F.col("n") > 0, F.array_join(shown, " ")))
+
+
+@query(
+    "b17_observed_write",
+    sql(
+        f"WITH {RAW_CTE}, rules AS ({RULES_SQL}) SELECT rule, severity, n FROM rules WHERE rule NOT LIKE 'repeated%' "
+        "UNION ALL SELECT 'rows written', 'note', COUNT(*) FROM raw",
+        "statused",
+    ),
+)
+def b17_observed(spark, folder):
+    # The write itself counts; the report starts no job over the rows.
+    path = new_path(spark, "b17")
+    seen = write_checked(raw_results(spark, folder), path, result_rules(), ["season"], lambda counts, rows: None)
+    return seen.report().unionByName(Q.counted(spark, "rows written", "note", seen.count()))
+
+
 @query(
     "b11_input_suite",
     """SELECT 'customer key' AS rule, 'error' AS severity, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n FROM (SELECT COUNT(*) AS n FROM customer GROUP BY c_custkey HAVING COUNT(*) > 1)

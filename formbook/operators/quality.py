@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_KEYS = 5
+REPORT = "rule string, severity string, n bigint"
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,66 @@ def run_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def run_rules_sampled(
+    df: DataFrame, rules: Sequence[Rule], keys: Sequence[str], k: int = SAMPLE_KEYS
+) -> DataFrame:
+    """``run_rules`` with ``sample``: the ``k`` smallest keys of rows that break the rule.
+
+    Broken rows only are sorted, and each task passes on ``k`` of them a rule, so a
+    rule that all rows break samples as few rows as one that five do.
+    """
+    broken = F.array_compact(
+        F.array(*[F.when(r.broken, F.lit(i)) for i, r in enumerate(rules)])
+    )
+    key = F.struct(*keys)
+    at = Window.partitionBy("_rule").orderBy("_key")
+    first = (
+        df.select(key.alias("_key"), F.explode(broken).alias("_rule"))
+        .withColumn("_at", F.row_number().over(at))
+        .where(F.col("_at") <= k)
+        .groupBy("_rule")
+        .agg(F.array_sort(F.collect_list("_key")).alias("sample"))
+    )
+    names = F.array(*[F.struct(F.lit(i).alias("_rule"), F.lit(r.name).alias("rule")) for i, r in enumerate(rules)])
+    named = df.sparkSession.range(1).select(F.inline(names))
+    samples = named.join(first, "_rule", "left").select("rule", "sample")
+    return run_rules(df, rules).join(samples, "rule", "left")
+
+
+class Observed:
+    """Rules counted by the job that reads or writes ``rows``, without a pass of their own.
+
+    Use ``rows`` once, in one action, and put nothing behind it that shuffles: counts
+    then come from the tasks of the last stage, which count once each, also when an
+    executor is lost and its tasks run again. ``report`` waits for that action.
+    """
+
+    def __init__(self, df: DataFrame, rules: Sequence[Rule]):
+        self.rules = list(rules)
+        self._spark: SparkSession = df.sparkSession
+        self._seen = Observation()
+        counts = [F.count_if(r.broken).alias(f"_{i}") for i, r in enumerate(self.rules)]
+        self.rows = df.observe(self._seen, F.count(F.lit(1)).alias("_rows"), *counts)
+
+    def count(self) -> int:
+        return self._seen.get["_rows"]
+
+    def broken(self, name: str) -> int:
+        at = [r.name for r in self.rules].index(name)
+        return self._seen.get[f"_{at}"]
+
+    def report(self) -> DataFrame:
+        """(rule, severity, n), as ``run_rules`` gives it."""
+        seen = self._seen.get
+        rows = [(r.name, r.severity, seen[f"_{i}"]) for i, r in enumerate(self.rules)]
+        return self._spark.createDataFrame(rows, REPORT)
+
+
+def counted(spark: SparkSession, rule: str, severity: str, n: int) -> DataFrame:
+    """One report row from a number that is already known."""
+    return spark.createDataFrame([(rule, severity, n)], REPORT)
+
+
 def not_null(*columns: str, severity: str = "error") -> list[Rule]:
     return [Rule(f"{c} is null", severity, F.col(c).isNull()) for c in columns]
 

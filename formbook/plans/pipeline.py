@@ -1,7 +1,8 @@
 """Raw racing tables to the master table and the feature table.
 
-clean -> repair -> check -> join -> features -> check -> write. Each table is
-one lazy plan; checks are the only jobs besides the two writes.
+clean -> repair -> join -> features. Each table is one lazy plan, written once and
+read back; the write counts the row rules (``Observed``), and a table that breaks an
+error rule does not take its place. Rules on keys read key columns of written tables.
 """
 
 from __future__ import annotations
@@ -48,6 +49,10 @@ def _require_ids(df: DataFrame) -> None:
 def clean_results(df: DataFrame) -> DataFrame:
     """Typed results with ``result_status`` and ``finished``; no row is dropped."""
     _require_ids(df)
+    return _typed_results(df)
+
+
+def _typed_results(df: DataFrame) -> DataFrame:
     typed = Q.cast_strict(df, RESULT_TYPES)
     none = F.lit(None)
     text = F.col("positionText") if "positionText" in df.columns else none.cast("string")
@@ -73,9 +78,8 @@ def repair_results(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def results_report(df: DataFrame) -> DataFrame:
-    """(rule, severity, n) of every rule for cleaned results."""
-    rules = [
+def results_rules() -> list[Q.Rule]:
+    return [
         *Q.not_null(*H.RESULT_ID_COLUMNS),
         Q.outside("points", 0),
         Q.Rule("result_status not allowed", "error", ~F.col("result_status").isin(*S.ALLOWED_STATUSES)),
@@ -85,12 +89,23 @@ def results_report(df: DataFrame) -> DataFrame:
         ),
         Q.outside("position", 1, MAX_POSITION, "warning"),
     ]
-    return Q.run_rules(df, rules).unionByName(Q.duplicate_rows(df, PAIR, "repeated (race, driver)"))
+
+
+def qualifying_rules() -> list[Q.Rule]:
+    return [*Q.not_null(*H.RESULT_ID_COLUMNS), Q.outside("position", 1, MAX_POSITION, "warning")]
+
+
+def repeated_pairs(df: DataFrame) -> DataFrame:
+    return Q.duplicate_rows(df, PAIR, "repeated (race, driver)")
+
+
+def results_report(df: DataFrame) -> DataFrame:
+    """(rule, severity, n) of every rule for cleaned results."""
+    return Q.run_rules(df, results_rules()).unionByName(repeated_pairs(df))
 
 
 def qualifying_report(df: DataFrame) -> DataFrame:
-    rules = [*Q.not_null(*H.RESULT_ID_COLUMNS), Q.outside("position", 1, MAX_POSITION, "warning")]
-    return Q.run_rules(df, rules).unionByName(Q.duplicate_rows(df, PAIR, "repeated (race, driver)"))
+    return Q.run_rules(df, qualifying_rules()).unionByName(repeated_pairs(df))
 
 
 def inputs_report(inputs: dict[str, DataFrame]) -> DataFrame:
@@ -122,9 +137,7 @@ def build_master(inputs: dict[str, DataFrame]) -> DataFrame:
     return df.select(*H.MASTER_COLUMNS)
 
 
-def master_report(df: DataFrame) -> DataFrame:
-    """Rules of the joined table; a race without one winner only warns."""
-    H.require_schema(df, H.MASTER_COLUMNS)
+def master_rules() -> list[Q.Rule]:
     rules = Q.not_null(*H.KEY_COLUMNS)
     for key, ref in (
         ("driverId", "driver_ref"), ("constructorId", "constructor_ref"), ("circuitId", "circuit_ref")
@@ -132,23 +145,36 @@ def master_report(df: DataFrame) -> DataFrame:
         rules.append(
             Q.Rule(f"{key} without a dimension row", "error", F.col(key).isNotNull() & F.col(ref).isNull())
         )
+    return rules
+
+
+def winners_report(df: DataFrame) -> DataFrame:
     winners = Q.events_without_one_winner(df, "raceId").agg(F.count(F.lit(1)).alias("n"))
-    return concat(
-        [
-            Q.run_rules(df, rules),
-            Q.duplicate_rows(df, PAIR, "repeated (race, driver)"),
-            winners.select(
-                F.lit("races without one winner").alias("rule"), F.lit("warning").alias("severity"), "n"
-            ),
-        ]
+    return winners.select(
+        F.lit("races without one winner").alias("rule"), F.lit("warning").alias("severity"), "n"
     )
 
 
-def features_report(df: DataFrame, master: DataFrame) -> DataFrame:
-    """Rules of the feature table, with the row count against the master table."""
+def master_report(df: DataFrame) -> DataFrame:
+    """Rules of the joined table; a race without one winner only warns."""
+    H.require_schema(df, H.MASTER_COLUMNS)
+    return concat([Q.run_rules(df, master_rules()), repeated_pairs(df), winners_report(df)])
+
+
+def features_rules() -> list[Q.Rule]:
+    return Q.not_null(*H.KEY_COLUMNS, H.TARGET)
+
+
+def require_feature_columns(df: DataFrame) -> DataFrame:
     H.require_schema(df, H.FEATURE_TABLE_COLUMNS)
     if H.leaked_outcomes(df.columns):
         raise H.SchemaError(f"outcome columns in the features: {H.leaked_outcomes(df.columns)}")
+    return df
+
+
+def features_report(df: DataFrame, master: DataFrame) -> DataFrame:
+    """Rules of the feature table, with the row count against the master table."""
+    require_feature_columns(df)
     rows = F.count(F.lit(1))
     counted = df.agg(F.abs(rows - master.agg(rows).scalar()).alias("n")).select(
         F.lit("row count differs from master").alias("rule"), F.lit("error").alias("severity"), "n"
@@ -160,8 +186,8 @@ def features_report(df: DataFrame, master: DataFrame) -> DataFrame:
     )
     return concat(
         [
-            Q.run_rules(df, Q.not_null(*H.KEY_COLUMNS, H.TARGET)),
-            Q.duplicate_rows(df, PAIR, "repeated (race, driver)"),
+            Q.run_rules(df, features_rules()),
+            repeated_pairs(df),
             counted,
             nulls,
         ]
@@ -207,15 +233,73 @@ def racing_features(master: DataFrame, inputs: dict[str, DataFrame]) -> DataFram
 
 
 def run(spark: SparkSession, source: str, target: str, dry_run: bool = False) -> dict[str, DataFrame]:
-    """Build and check both tables from the CSVs in ``source``; write them unless dry."""
+    """Build and check all tables from the CSVs in ``source``; write them unless dry.
+
+    Written are ``interim/results``, ``interim/qualifying``, ``master`` and
+    ``features``. Rows are read and joined once a table: its write counts its rules.
+    """
+    if dry_run:
+        return _dry(spark, source)
+    raw = load_raw(spark, source)
+    results = repair_results(_typed_results(raw["results"]))
+    qualifying = Q.cast_strict(raw["qualifying"], QUALIFYING_TYPES)
+    report = Report(spark)
+    known = report.write("results", results, f"{target}/interim/results.parquet", results_rules())
+    report.write("qualifying", qualifying, f"{target}/interim/qualifying.parquet", qualifying_rules())
+    inputs = {
+        **raw,
+        "results": spark.read.parquet(f"{target}/interim/results.parquet"),
+        "qualifying": spark.read.parquet(f"{target}/interim/qualifying.parquet"),
+    }
+    report.add("inputs", inputs_report(inputs))
+    master = H.require_schema(build_master(inputs), H.MASTER_COLUMNS)
+    joined = report.write(
+        "master", master, f"{target}/master.parquet", master_rules(), known.count(), [repeated_pairs, winners_report]
+    )
+    master = spark.read.parquet(f"{target}/master.parquet").select(*H.MASTER_COLUMNS)
+    features = require_feature_columns(racing_features(master, inputs))
+    nulls = Q.not_null(*WATCHED_NULLS, severity="note")
+    report.write("features", features, f"{target}/features.parquet", [*features_rules(), *nulls], joined.count())
+    features = spark.read.parquet(f"{target}/features.parquet").select(*H.FEATURE_TABLE_COLUMNS)
+    return {"master": master, "features": features, "report": report.table()}
+
+
+class Report:
+    """The rules of a run, table by table: (table, rule, severity, n)."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._rows = spark, []
+
+    def table(self) -> DataFrame:
+        return self._spark.createDataFrame(self._rows, f"table string, {Q.REPORT}")
+
+    def add(self, name: str, *reports: DataFrame) -> None:
+        """Keep the rows (one a rule) and raise with all broken error rules."""
+        rows = [(r["rule"], r["severity"], r["n"]) for r in concat(list(reports)).collect()]
+        self._rows += [(name, *r) for r in rows]
+        Q.require(self._spark.createDataFrame(rows, Q.REPORT))
+
+    def write(self, name, df, path, rules, rows=None, keyed=(repeated_pairs,)) -> Q.Observed:
+        """Write ``df`` while counting ``rules``; ``rows`` is how many it must have.
+
+        ``keyed`` are reports on keys of the written rows.
+        """
+
+        def check(seen: Q.Observed, written: DataFrame) -> None:
+            known = [seen.report()]
+            if rows is not None:
+                lost = abs(seen.count() - rows)
+                known.append(Q.counted(self._spark, "row count differs from the step before", "error", lost))
+            self.add(name, *known, *[report(written) for report in keyed])
+
+        return files.write_checked(df, path, rules, ["year"] if "year" in df.columns else [], check)
+
+
+def _dry(spark: SparkSession, source: str) -> dict[str, DataFrame]:
     inputs = interim(load_raw(spark, source))
     Q.require(inputs_report(inputs))
     master = build_master(inputs)
     Q.require(master_report(master))
-    if files.write_parquet(master, f"{target}/master.parquet", ["year"], dry_run):
-        master = spark.read.parquet(f"{target}/master.parquet").select(*H.MASTER_COLUMNS)
     features = racing_features(master, inputs)
     Q.require(features_report(features, master))
-    if files.write_parquet(features, f"{target}/features.parquet", ["year"], dry_run):
-        features = spark.read.parquet(f"{target}/features.parquet").select(*H.FEATURE_TABLE_COLUMNS)
     return {"master": master, "features": features}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formbook.functions.scalars import NULL_TOKENS, null_tokens
+from formbook.operators import quality as Q
 
 NULL_TOKEN = NULL_TOKENS[0]
 
@@ -172,6 +173,36 @@ def write_parquet(
     return True
 
 
+def write_checked(
+    df: DataFrame,
+    path: str,
+    rules: Sequence[Q.Rule],
+    partition_by: Sequence[str] = (),
+    check: Callable[[Q.Observed, DataFrame], None] | None = None,
+) -> Q.Observed:
+    """Overwrite ``path`` with rows that keep all error rules, which the write counts.
+
+    Rows go to a folder beside ``path`` first. It takes the place of ``path`` only
+    when no error rule is broken and ``check`` (counts, written rows) does not raise;
+    else ``path`` stays as it was, and the rows stay to be looked at.
+    """
+    spark = df.sparkSession
+    pending = f"{path}.pending"
+    out = df.hint("rebalance", *partition_by) if partition_by else df
+    seen = Q.Observed(out, rules)
+    seen.rows.write.mode("overwrite").partitionBy(*partition_by).parquet(pending)
+    if check is not None:
+        check(seen, spark.read.schema(df.schema).parquet(pending).select(*df.columns))
+    else:
+        Q.require(seen.report())
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (pending, path))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(to, True)
+    if not fs.rename(at, to):
+        raise SourceError(f"{pending} could not be moved to {path}")
+    return seen
+
+
 def append_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Append in a fixed column order with NULL written as its token."""
     df.select(*columns).write.mode("append").option("header", True).option(

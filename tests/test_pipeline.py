@@ -129,6 +129,49 @@ def test_raw_to_features(spark, racing_folder, tmp_path):
     assert sorted(map(str, dry["features"].collect())) == sorted(map(str, tables["features"].collect()))
 
 
+def test_run_reports_every_table_and_keeps_the_last_good_one(spark, racing_folder, tmp_path):
+    out = str(tmp_path / "out")
+    report = pipeline.run(spark, str(racing_folder), out)["report"]
+    n = {(r["table"], r["rule"]): (r["severity"], r["n"]) for r in report.collect()}
+    assert {t for t, _ in n} == {"results", "qualifying", "inputs", "master", "features"}
+    assert n["features", "driver_standing_position_prev is null"] == ("note", 2)
+    assert n["master", "row count differs from the step before"] == ("error", 0)
+    assert n["master", "races without one winner"] == ("warning", 0)
+    assert spark.read.parquet(f"{out}/interim/results.parquet").count() == 4
+    bad = (racing_folder / "results.csv").read_text().replace(",25,50,", ",-25,50,", 1)
+    (racing_folder / "results.csv").write_text(bad)
+    with pytest.raises(Q.QualityError, match="points"):
+        pipeline.run(spark, str(racing_folder), out)
+    assert spark.read.parquet(f"{out}/interim/results.parquet").where("points < 0").count() == 0
+    assert spark.read.parquet(f"{out}/interim/results.parquet.pending").where("points < 0").count() == 1
+    assert spark.read.parquet(f"{out}/master.parquet").count() == 4
+
+
+def test_a_write_counts_its_rules_without_another_job(spark, tmp_path):
+    df = spark.range(1000).withColumn("part", F.col("id") % 3)
+    rules = [Q.Rule("odd", "warning", F.col("id") % 2 == 1), Q.Rule("large", "error", F.col("id") > 5000)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("observed", "")
+    seen = files.write_checked(df, str(tmp_path / "t"), rules, ["part"], lambda counts, rows: None)
+    written = len(tracker.getJobIdsForGroup("observed"))
+    assert (seen.count(), seen.broken("odd"), seen.broken("large")) == (1000, 500, 0)
+    assert len(tracker.getJobIdsForGroup("observed")) == written
+    spark.sparkContext._jsc.clearJobGroup()
+    got = [tuple(r) for r in seen.report().orderBy("rule").collect()]
+    assert got == [tuple(r) for r in Q.run_rules(df, rules).orderBy("rule").collect()]
+    empty = files.write_checked(df.limit(0), str(tmp_path / "e"), rules)
+    assert empty.count() == 0 and spark.read.parquet(str(tmp_path / "e")).count() == 0
+
+
+def test_rule_samples_are_the_smallest_keys(spark):
+    df = spark.range(0, 100, 1, 7).withColumn("k", 99 - F.col("id"))
+    rules = [Q.Rule("all", "error", F.lit(True)), Q.Rule("few", "error", F.col("k").isin(98, 3)), Q.Rule("none", "error", F.lit(None).cast("boolean"))]
+    got = {r["rule"]: (r["n"], r["sample"] and [s["k"] for s in r["sample"]]) for r in Q.run_rules_sampled(df, rules, ["k"]).collect()}
+    assert got == {"all": (100, [0, 1, 2, 3, 4]), "few": (2, [3, 98]), "none": (0, None)}
+    plan = Q.run_rules_sampled(df, rules, ["k"])._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_dimension_without_a_row_is_an_error(spark, racing_folder):
     write(racing_folder, "drivers", "driverId,driverRef,code,forename,surname,dob,nationality\n1,one,ONE,A,One,1990-01-01,X\n")
     with pytest.raises(Q.QualityError, match="driverId without"):
