@@ -10,6 +10,7 @@ from formbook.catalog.registry import query, r6
 from formbook.catalog.scalars import LAP, with_status
 from formbook.catalog.sqltext import sql
 from formbook.functions import scalars as S
+from formbook.operators.joins import checked_join
 from formbook.plans import analytics as A
 from formbook.plans import contest
 from formbook.plans.models import exact_medians
@@ -254,6 +255,33 @@ def e17(spark, folder):
     return A.event_facts(contest.facts(spark, folder))
 
 
+@query(
+    "e17_race_facts",
+    sql(
+        """SELECT event_id AS "raceId", 'Event ' || event_id AS grand_prix, season || '-' || lpad(CAST(round AS VARCHAR), 2, '0') || '-01' AS date,
+        'Venue ' || venue_id AS circuit, 'Country' AS country, 'Place' AS location, laps, fastest_lap, pole_time
+        FROM (SELECT DISTINCT event_id, season, round, venue_id FROM contest)
+        JOIN (SELECT event_id, MAX(lines) AS laps, arg_min(q1, result_id) FILTER (lines = most) AS fastest_lap, MAX(CASE WHEN quali_position = 1 THEN COALESCE(q3, q2, q1) END) AS pole_time
+          FROM (SELECT *, MAX(lines) OVER (PARTITION BY event_id) AS most FROM contest
+            LEFT JOIN (SELECT l_orderkey AS result_id, COUNT(*) AS lines FROM lineitem GROUP BY l_orderkey) USING (result_id)) GROUP BY event_id) USING (event_id)""",
+        "contest",
+    ),
+)
+def e17_race(spark, folder):
+    from formbook.catalog.racing import racing_tables
+
+    raw = racing_tables(spark, folder)
+    # A result's laps are the lines of its order; rank 1 goes to all with the most.
+    lines = table(spark, folder, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("resultId")).agg(
+        F.count(F.lit(1)).alias("laps")
+    )
+    results = raw["results"].drop("laps", "rank").join(lines, "resultId", "left")
+    most = results.groupBy("raceId").agg(F.max("laps").alias("_most"))
+    rank = F.when(F.col("laps") == F.col("_most"), F.lit(1)).cast("long")
+    results = checked_join(results, most, ["raceId"]).withColumn("rank", rank)
+    return A.race_facts(results, raw["qualifying"], raw["races"], raw["circuits"])
+
+
 @query(
     "e18_overview",
     sql(
@@ -551,6 +579,19 @@ def e35(spark, folder):
     return rounded(A.dominance(scored_of(spark, folder), 1), "mean_share")
 
 
+@query(
+    "e35_dominance_of_two",
+    sql(
+        "SELECT season, group_id AS entity_id, round(AVG(p), 6) AS mean_share, COUNT(*) AS picks FROM scored WHERE predicted_rank = 1 GROUP BY ALL HAVING COUNT(*) >= 2",
+        "scored",
+    ),
+)
+def e35_two(spark, folder):
+    # Groups are picked often enough for the library's least number of picks.
+    scored = scored_of(spark, folder).drop("entity_id").withColumnRenamed("group_id", "entity_id")
+    return rounded(A.dominance(scored), "mean_share")
+
+
 @query(
     "e36_biggest_surprises",
     sql(
@@ -662,6 +703,34 @@ def e42(spark, folder):
     return out.select("season", *[r6(c) for c in out.columns if c != "season"])
 
 
+@query(
+    "e42_event_shares",
+    sql(
+        """SELECT event_id, season, round, round(MAX(CASE WHEN entity_id = 1 THEN p END), 6) AS share_a, round(MAX(CASE WHEN entity_id = 2 THEN p END), 6) AS share_b
+        FROM scored WHERE entity_id IN (1, 2) GROUP BY ALL""",
+        "scored",
+    ),
+)
+def e42_events(spark, folder):
+    out = A.compare_at_events(scored_of(spark, folder), F.col("entity_id") == 1, F.col("entity_id") == 2)
+    return rounded(out, "share_a", "share_b")
+
+
+@query(
+    "e24_group_leaders",
+    sql(
+        f"""SELECT group_id AS entity_id, COUNT(*) AS starts, COUNT(CASE WHEN {WON} THEN 1 END) AS wins, COUNT(CASE WHEN {PODIUM} THEN 1 END) AS podiums,
+        round(1.0 * COUNT(CASE WHEN {WON} THEN 1 END) / COUNT(*), 6) AS win_rate, round(1.0 * COUNT(CASE WHEN {PODIUM} THEN 1 END) / COUNT(*), 6) AS podium_rate
+        FROM contest GROUP BY group_id HAVING COUNT(*) >= 50""",
+        "contest",
+    ),
+)
+def e24_groups(spark, folder):
+    # The library's least number of starts, which groups reach and customers don't.
+    facts = contest.facts(spark, folder).drop("entity_id").withColumnRenamed("group_id", "entity_id")
+    return rounded(A.career_leaders(facts), "win_rate", "podium_rate")
+
+
 @query(
     "e43_served_seasons",
     sql("SELECT MIN(season) AS first_season, MAX(season) AS last_season FROM contest", "contest"),

@@ -226,15 +226,45 @@ def j9(spark, folder):
     return L.fold_summary(folds).select("metric", r6("mean"), r6("std"))
 
 
+# Draws of a registered search; every draw meets every fold.
+DRAWS = 8
+
+
 @query(
     "j10_random_search",
-    "SELECT * FROM (VALUES (0, TRUE, CAST(1 AS BIGINT)), (1, TRUE, CAST(1 AS BIGINT))) AS t(config, metrics_in_unit, best_configs)",
+    sql(
+        f"""SELECT config, TRUE AS metrics_in_unit, CAST(1 AS BIGINT) AS best_configs, CAST({FOLDS} AS BIGINT) AS folds, events
+        FROM (SELECT CAST(unnest(range({DRAWS})) AS INTEGER) AS config), (SELECT COUNT(DISTINCT event_id) AS events FROM contest WHERE season BETWEEN 1996 AND 1999)""",
+        "contest",
+    ),
 )
 def j10(spark, folder):
-    train = learning_frame(spark, folder).where("season <= 1998")
-    out = L.search(train, "logreg", COLUMNS, 1, 2)
+    train = learning_frame(spark, folder).where("season <= 1999")
+    out = L.search(train, "logreg", COLUMNS, FOLDS, DRAWS)
     best = out.agg(F.count_if("best")).scalar()
-    return out.select(F.col("config").cast("int").alias("config"), in_unit("top1"), best.alias("best_configs"))
+    return out.select(
+        F.col("config").cast("int").alias("config"), in_unit("top1"), best.alias("best_configs"), "folds", "events"
+    )
+
+
+@query(
+    "j10_halving_search",
+    sql(
+        f"""WITH per_season AS (SELECT season, COUNT(DISTINCT event_id) AS n, ROW_NUMBER() OVER (ORDER BY season) AS fold
+          FROM contest WHERE season BETWEEN 1996 AND 1999 GROUP BY season),
+        kept AS (SELECT fold, n, CASE fold WHEN 1 THEN {DRAWS} WHEN 2 THEN {DRAWS // 2} WHEN 3 THEN {DRAWS // 4} ELSE {DRAWS // 8} END AS draws FROM per_season)
+        SELECT fold AS folds, draws - COALESCE(LEAD(draws) OVER (ORDER BY fold), 0) AS configs,
+          CAST(SUM(n) OVER (ORDER BY fold) AS BIGINT) AS events, CASE WHEN fold = {FOLDS} THEN 1 ELSE 0 END AS best_configs FROM kept""",
+        "contest",
+    ),
+)
+def j10_halving(spark, folder):
+    # Eight draws meet the first fold, four the second, two the third, one the last.
+    train = learning_frame(spark, folder).where("season <= 1999")
+    out = L.search(train, "logreg", COLUMNS, FOLDS, DRAWS, halving=2)
+    return out.groupBy("folds").agg(
+        F.count(F.lit(1)).alias("configs"), F.max("events").alias("events"), F.count_if("best").alias("best_configs")
+    ).where("configs > 0")
 
 
 @query("j12_out_of_fold", scores_sql("event_id, entity_id, season, winner", "season BETWEEN 1996 AND 1999"))

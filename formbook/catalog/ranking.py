@@ -576,6 +576,22 @@ def c23(spark, folder):
     return top.select(*KEYS, F.array_join(reasons, "|").alias("reasons"))
 
 
+@query(
+    "c23_whole_reasons",
+    sql(
+        f"""WITH top2 AS (SELECT event_id, MAX(CASE WHEN predicted_rank = 1 THEN p END) - MAX(CASE WHEN predicted_rank = 2 THEN p END) AS gap FROM scored GROUP BY event_id)
+        SELECT event_id, entity_id, round(gap, 6) AS gap, concat_ws('|', CASE WHEN gap >= 0.15 THEN printf('{S.CLEAR_LABEL}', gap * 100) WHEN gap < 0.05 THEN '{S.TIGHT_LABEL}' END,
+        CASE WHEN grid = 1 THEN '{S.POLE_LABEL}' WHEN grid > 5 THEN printf('{S.LATE_LABEL}', grid) END, '{S.ERA_CAVEAT}') AS reasons
+        FROM scored JOIN top2 USING (event_id) WHERE predicted_rank = 1""",
+        "scored",
+    ),
+)
+def c23_whole(spark, folder):
+    scored = scored_of(spark, folder)
+    top = checked_join(scored.where("predicted_rank = 1"), runner_up_gap(scored), ["event_id"])
+    return top.select(*KEYS, r6("gap"), F.array_join(S.confidence_reasons("gap", "grid"), "|").alias("reasons"))
+
+
 @query(
     "c24_probability_clip",
     sql(

@@ -277,6 +277,19 @@ def c19(spark, folder):
     )
 
 
+@query(
+    "c19_full_names",
+    """SELECT c_custkey, concat_ws(' ', CASE WHEN c_custkey % 7 <> 0 THEN split_part(c_name, '#', 1) END, split_part(c_name, '#', 2)) AS full_name
+    FROM customer""",
+)
+def c19_names(spark, folder):
+    # The name's two parts; every seventh lacks the first.
+    df = table(spark, folder, "customer", "c_custkey", "c_name")
+    first = F.when(F.col("c_custkey") % 7 != 0, F.split_part("c_name", F.lit("#"), F.lit(1)))
+    last = F.split_part("c_name", F.lit("#"), F.lit(2))
+    return df.select("c_custkey", S.full_name(first, last).alias("full_name"))
+
+
 @query(
     "c25_design_matrix",
     sql(

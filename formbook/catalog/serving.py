@@ -58,6 +58,28 @@ def j31_full(spark, folder):
     return G.promotion_verdict(table, table, schema, features, shares)
 
 
+@query(
+    "j31_refused_verdict",
+    sql(
+        f"""WITH late AS (SELECT * FROM scored WHERE season >= 1996), shuffled AS (SELECT * REPLACE (1.0 / finish_order AS p) FROM late),
+        c AS (WITH {metrics_sql('late', '1')} SELECT * FROM metric), s AS (WITH {metrics_sql('shuffled', '1')} SELECT * FROM metric)
+        SELECT 'excluded_features' AS "check", true AS refused UNION ALL
+        SELECT 'degenerate_output', COUNT(*) > 0 FROM (SELECT event_id FROM pole_scored GROUP BY event_id HAVING COUNT(*) > 1 AND MIN(p) = MAX(p))
+        UNION ALL SELECT 'top1_accuracy', COALESCE(c.top1_accuracy < s.top1_accuracy - 0.03, false) FROM c, s
+        UNION ALL SELECT 'spearman_corr', COALESCE(c.spearman_corr < s.spearman_corr - 0.015, false) FROM c, s""",
+        "scored", "pole_scored",
+    ),
+)
+def j31_refused(spark, folder):
+    # The candidate reads every feature, excluded ones too; the served model knows the outcome.
+    late = scored_of(spark, folder).where("season >= 1996")
+    candidate = M.metrics(scored_frame(late))
+    served = M.metrics(scored_frame(late.withColumn("p", 1.0 / F.col("finish_order"))))
+    features = feature_table(spark)
+    shares = pole_of(spark, folder).withColumn("win_probability", F.col("p"))
+    return G.promotion_verdict(candidate, served, features.select("feature"), features, shares)
+
+
 @query(
     "j33_degenerate_events",
     sql(

@@ -37,6 +37,14 @@ TIERS = (
     (0.0, "Wide open", 2),
 )
 EARTH_RADIUS_M = 6_371_000.0
+CLEAR_GAP, TIGHT_GAP, LATE_START = 0.15, 0.05, 5
+CLEAR_LABEL = "Clear separation from the field (+%.0f%% over 2nd)"
+TIGHT_LABEL = "Tight race — several close contenders"
+POLE_LABEL = "Favorite started from pole"
+LATE_LABEL = "Favorite started outside the top 5 (P%d)"
+ERA_CAVEAT = (
+    "Edge is biggest in dominance seasons (e.g. 2023) — competitive seasons run closer to the pole pick."
+)
 # ------------------------------------------------------------------------------
 
 
@@ -196,6 +204,21 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return F.when(chord.isNotNull(), metres)
 
 
+def confidence_reasons(gap, grid) -> Column:
+    """What speaks for or against a favourite, in order; the caveat always does.
+
+    ``gap`` is its lead over the runner-up (NULL without one), ``grid`` its start.
+    """
+    gap, grid = _c(gap), _c(grid)
+    return F.array_compact(
+        F.array(
+            F.when(gap >= CLEAR_GAP, F.format_string(CLEAR_LABEL, gap * 100)).when(gap < TIGHT_GAP, F.lit(TIGHT_LABEL)),
+            F.when(grid == 1, F.lit(POLE_LABEL)).when(grid > LATE_START, F.format_string(LATE_LABEL, grid)),
+            F.lit(ERA_CAVEAT),
+        )
+    )
+
+
 def any_of(reasons: dict[str, Column]) -> Column:
     """Labels whose condition holds, in the given order."""
     return F.array_compact(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formbook.operators.joins import checked_join
+
 
 def centred_mean(
     df: DataFrame, order: str, value: str, out: str, by: Sequence[str] = (), reach: int = 2,
@@ -145,6 +147,27 @@ def event_facts(facts: DataFrame) -> DataFrame:
     )
 
 
+def race_facts(
+    results: DataFrame, qualifying: DataFrame, races: DataFrame, circuits: DataFrame
+) -> DataFrame:
+    """Per race: name, date and place, laps run, fastest lap and pole time as text.
+
+    Laps are the most that anyone ran; the fastest lap is the first text of rank 1; the
+    pole time is the last session's time of the first entry on position 1. NULL where
+    a table has nothing on the race.
+    """
+    fastest = (F.col("rank") == 1) & F.col("fastestLapTime").isNotNull()
+    run = results.groupBy("raceId").agg(
+        F.max("laps").alias("laps"),
+        F.min(F.when(fastest, F.struct("resultId", "fastestLapTime")))["fastestLapTime"].alias("fastest_lap"),
+    )
+    first = F.min(F.struct("qualifyId", F.coalesce("q3", "q2", "q1").alias("time")))
+    pole = qualifying.where("position = 1").groupBy("raceId").agg(first["time"].alias("pole_time"))
+    places = circuits.select("circuitId", F.col("name").alias("circuit"), "country", "location")
+    named = checked_join(races.select("raceId", "circuitId", F.col("name").alias("grand_prix"), "date"), places, ["circuitId"])
+    return named.join(run, "raceId", "left").join(pole, "raceId", "left").drop("circuitId")
+
+
 # Entities and groups -----------------------------------------------------------
 
 
@@ -555,3 +578,11 @@ def compare_entities(stats: DataFrame, scored: DataFrame, left: Column, right: C
         return [F.max(F.when(cond, F.col(n))).alias(f"{n}_{tag}") for n in (*names, "share")]
 
     return mine.groupBy("season").agg(*side(left, "a"), *side(right, "b"))
+
+
+def compare_at_events(scored: DataFrame, left: Column, right: Column) -> DataFrame:
+    """Shares of two entities at every event that either entered; NULL for who did not."""
+    mine = scored.where(left | right)
+    return mine.groupBy("event_id", "season", "round").agg(
+        *[F.max(F.when(cond, F.col("p"))).alias(f"share_{tag}") for cond, tag in ((left, "a"), (right, "b"))]
+    )

@@ -10,8 +10,10 @@ import json
 import math
 import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -63,6 +65,7 @@ DEFAULTS = {
     },
 }
 PERMUTATION_REPEATS = 5
+PARALLEL_FITS = 4
 # Rank error of the approximate quantiles around a median: rows divided by this.
 MEDIAN_ACCURACY = 10_000
 # ------------------------------------------------------------------------------
@@ -300,48 +303,66 @@ def _columns_of_model() -> dict:
     }
 
 
-def fit_pole(train: DataFrame, columns: Sequence[str], target: str, params: dict) -> Fitted:
+@dataclass
+class Prepared:
+    """Weighted rows, their weight total and the preprocessing: the same for every
+    configuration of a candidate, so a search makes them once a fold."""
+
+    rows: DataFrame
+    total: float
+    pre: Preprocess
+
+
+def prepare(name: str, train: DataFrame, columns: Sequence[str], target: str = "winner") -> Prepared:
+    weighted, total = _weighted(train, target, positives_only=name == "boosted_trees")
+    return Prepared(weighted, total, fit_preprocess(train, columns, scale=name == "logreg"))
+
+
+def fit_pole(
+    train: DataFrame, columns: Sequence[str], target: str, params: dict, ready: Prepared | None = None
+) -> Fitted:
     return Fitted("pole_baseline", ["grid_adjusted"])
 
 
-def fit_logreg(train: DataFrame, columns: Sequence[str], target: str, params: dict) -> Fitted:
+def fit_logreg(
+    train: DataFrame, columns: Sequence[str], target: str, params: dict, ready: Prepared | None = None
+) -> Fitted:
     """L2 logistic regression on imputed, flagged and scaled columns.
 
     The penalty is stated per weight unit, so C divides by the weight total.
     """
     p = {**DEFAULTS["logreg"], **params}
-    weighted, total = _weighted(train, target, positives_only=False)
-    pre = fit_preprocess(train, columns, scale=True)
+    ready = ready or prepare("logreg", train, columns, target)
     learner = LogisticRegression(
         **_columns_of_model(), maxIter=p["maxIter"], tol=p["tol"], standardization=False, elasticNetParam=0.0,
-        regParam=1.0 / (p["C"] * total),
+        regParam=1.0 / (p["C"] * ready.total),
     )
-    return Fitted("logreg", list(columns), pre, learner.fit(pre.assemble(weighted)))
+    return Fitted("logreg", list(columns), ready.pre, learner.fit(ready.pre.assemble(ready.rows)))
 
 
 def fit_random_forest(
-    train: DataFrame, columns: Sequence[str], target: str, params: dict
+    train: DataFrame, columns: Sequence[str], target: str, params: dict, ready: Prepared | None = None
 ) -> Fitted:
-    weighted, _ = _weighted(train, target, positives_only=False)
-    pre = fit_preprocess(train, columns, scale=False)
+    ready = ready or prepare("random_forest", train, columns, target)
     learner = RandomForestClassifier(
         **_columns_of_model(), seed=SEED, **{**DEFAULTS["random_forest"], **params}
     )
-    return Fitted("random_forest", list(columns), pre, learner.fit(pre.assemble(weighted)))
+    return Fitted("random_forest", list(columns), ready.pre, learner.fit(ready.pre.assemble(ready.rows)))
 
 
-def fit_boosted(train: DataFrame, columns: Sequence[str], target: str, params: dict) -> Fitted:
+def fit_boosted(
+    train: DataFrame, columns: Sequence[str], target: str, params: dict, ready: Prepared | None = None
+) -> Fitted:
     """Boosted trees; MLlib has no branch for missing values, so flags stand in."""
-    weighted, _ = _weighted(train, target, positives_only=True)
-    pre = fit_preprocess(train, columns, scale=False)
+    ready = ready or prepare("boosted_trees", train, columns, target)
     names = _columns_of_model()
     probability, raw = names.pop("probabilityCol"), names.pop("rawPredictionCol")
     learner = GBTClassifier(**names, seed=SEED, **{**DEFAULTS["boosted_trees"], **params})
     learner.setProbabilityCol(probability).setRawPredictionCol(raw)
-    return Fitted("boosted_trees", list(columns), pre, learner.fit(pre.assemble(weighted)))
+    return Fitted("boosted_trees", list(columns), ready.pre, learner.fit(ready.pre.assemble(ready.rows)))
 
 
-Fit = Callable[[DataFrame, Sequence[str], str, dict], Fitted]
+Fit = Callable[..., Fitted]
 
 CANDIDATES: dict[str, Fit] = {
     "pole_baseline": fit_pole,
@@ -353,11 +374,11 @@ CANDIDATES: dict[str, Fit] = {
 
 def fit(
     name: str, train: DataFrame, columns: Sequence[str], target: str = "winner",
-    params: dict | None = None,
+    params: dict | None = None, ready: Prepared | None = None,
 ) -> Fitted:
     if name not in CANDIDATES:
         raise KeyError(f"unknown model '{name}', known are {sorted(CANDIDATES)}")
-    return CANDIDATES[name](train, columns, target, params or {})
+    return CANDIDATES[name](train, columns, target, params or {}, ready)
 
 
 # Folds, search, calibration ----------------------------------------------------
@@ -437,34 +458,88 @@ def draw_configs(name: str, n: int, seed: int = SEED) -> list[dict]:
     return configs
 
 
+def _at_once(spark: SparkSession, task: Callable, items: Sequence, parallel: int) -> list:
+    """``task`` of every item, in order, ``parallel`` at a time, each in a pool of the
+    fair scheduler; a small fit leaves most of a cluster idle."""
+
+    def run(at: int):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{at % parallel}")
+        return task(items[at])
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), range(len(items))))
+
+
+def search_folds(
+    train: DataFrame, name: str, columns: Sequence[str], folds: int, n: int, target: str = "winner",
+    seed: int = SEED, halving: int | None = None, parallel: int = PARALLEL_FITS, season: str = "season",
+) -> list[tuple]:
+    """(config, val_season, top-1, log-loss, events) of every draw and fold, as Python rows.
+
+    Rows are prepared once a fold, and draws are fitted ``parallel`` at a time. With
+    ``halving`` only the best 1 / ``halving`` of the draws (by means so far) go on from
+    one fold to the next; folds come by season, so many draws meet few rows and few
+    draws meet all. Without it every draw sees every fold.
+    """
+    alive = list(enumerate(draw_configs(name, n, seed)))
+    rows: list[tuple] = []
+    for year in fold_seasons(train, folds, season):
+        held_out = train.where(F.col(season) == year)
+        before = train.where(F.col(season) < year)
+        ready = prepare(name, before, columns, target)
+
+        def one(draw, before=before, held_out=held_out, ready=ready, year=year) -> tuple:
+            config, params = draw
+            scored = fit(name, before, columns, target, params, ready).score(held_out)
+            got = M.metrics(M.as_scored(scored, "p", target, None, "event_id")).first()
+            return config, year, got["top1_accuracy"], got["log_loss"], got["n_events"]
+
+        rows += _at_once(train.sparkSession, one, alive, parallel)
+        if halving:
+            means = _draw_means(rows)
+            alive.sort(key=lambda draw: (-means[draw[0]][0], means[draw[0]][1], draw[0]))
+            alive = alive[: max(1, math.ceil(len(alive) / halving))]
+    return rows
+
+
+def _draw_means(rows: list[tuple]) -> dict[int, tuple[float, float, int, int]]:
+    """Mean top-1, mean log-loss, folds and events of each draw."""
+    out = {}
+    for config in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == config]
+        k = len(mine)
+        out[config] = (sum(r[2] for r in mine) / k, sum(r[3] for r in mine) / k, k, sum(r[4] for r in mine))
+    return out
+
+
 def search(
     train: DataFrame, name: str, columns: Sequence[str], folds: int, n: int, target: str = "winner",
-    seed: int = SEED,
+    seed: int = SEED, halving: int | None = None, parallel: int = PARALLEL_FITS,
 ) -> DataFrame:
-    """(config, params, mean top-1, mean log-loss, best): one row per draw.
+    """(config, params, mean top-1, mean log-loss, folds, events, best): one row per draw.
 
-    Takes training rows only. Best is the highest mean top-1, then the lowest
-    mean log-loss, then the earliest draw.
+    Takes training rows only, best a stored table. Best is the highest mean top-1, then
+    the lowest mean log-loss, then the earliest draw, among draws that saw all folds
+    they could (``search_folds``). The driver holds draws times folds rows.
     """
-    rows = []
-    for i, params in enumerate(draw_configs(name, n, seed)):
-        cv = cross_validate(train, name, columns, folds, target, None, params)
-        rows.append(
-            cv.agg(F.avg("top1_accuracy").alias("top1"), F.avg("log_loss").alias("log_loss"))
-            .select(
-                F.lit(i).cast("long").alias("config"),
-                F.lit(json.dumps(params, sort_keys=True)).alias("params"),
-                "top1",
-                "log_loss",
-            )
-        )
-    return mark_best(concat(rows))
+    configs = draw_configs(name, n, seed)
+    means = _draw_means(search_folds(train, name, columns, folds, n, target, seed, halving, parallel))
+    rows = [(i, json.dumps(configs[i], sort_keys=True), *map(float, m[:2]), *m[2:]) for i, m in sorted(means.items())]
+    results = train.sparkSession.createDataFrame(
+        rows, "config long, params string, top1 double, log_loss double, folds long, events long"
+    )
+    return mark_best(results)
 
 
 def mark_best(results: DataFrame) -> DataFrame:
-    """Flag the winning configuration of a search table."""
+    """Flag the winning configuration of a search table; draws that met more folds first."""
+    if "folds" in results.columns:
+        most = results.agg(F.max("folds")).scalar()
+        best = results.where(F.col("folds") == most)
+    else:
+        best = results
     key = F.struct("top1", -F.col("log_loss"), -F.col("config"))
-    best = results.agg(F.max_by("config", key)).scalar()
+    best = best.agg(F.max_by("config", key)).scalar()
     return results.withColumn("best", F.col("config") == best)
 
 
