@@ -325,3 +325,34 @@ def test_strict_cast_names_the_column(spark):
     assert [r["a"] for r in cast_strict(df, {"a": "long"}).collect()] == [1, None]
     with pytest.raises(Exception, match="column b: not a long: x"):
         cast_strict(df, {"a": "long", "b": "long"}).collect()
+
+
+def test_race_facts_take_the_first_of_each(spark):
+    from formbook.plans.analytics import race_facts
+
+    results = spark.createDataFrame(
+        [(2, 1, 57, 1, "1:31.0"), (1, 1, 58, 1, "1:30.0"), (3, 1, None, 1, None), (4, 2, 10, None, "1:20.0")],
+        "resultId long, raceId long, laps long, rank long, fastestLapTime string",
+    )
+    quali = spark.createDataFrame(
+        [(9, 1, 1, "a", "b", None), (8, 1, 1, "c", None, None), (7, 1, 2, "x", "y", "z")],
+        "qualifyId long, raceId long, position long, q1 string, q2 string, q3 string",
+    )
+    races = spark.createDataFrame([(i, 7, f"R{i}", "2020-01-01") for i in (1, 2, 3)], "raceId long, circuitId long, name string, date string")
+    circuits = spark.createDataFrame([(7, "C", "Land", "Town")], "circuitId long, name string, country string, location string")
+    got = {r["raceId"]: (r["grand_prix"], r["circuit"], r["laps"], r["fastest_lap"], r["pole_time"]) for r in race_facts(results, quali, races, circuits).collect()}
+    assert got == {1: ("R1", "C", 58, "1:30.0", "c"), 2: ("R2", "C", 10, None, None), 3: ("R3", "C", None, None, None)}
+
+
+def test_confidence_reasons_in_order(spark):
+    from formbook.functions import scalars as S
+
+    df = spark.createDataFrame([(0.2, 1), (0.04, 7), (0.1, 3), (None, None), (0.15, 0)], "gap double, grid long")
+    got = [r[0] for r in df.select(S.confidence_reasons("gap", "grid")).collect()]
+    assert got == [
+        ["Clear separation from the field (+20% over 2nd)", S.POLE_LABEL, S.ERA_CAVEAT],
+        [S.TIGHT_LABEL, "Favorite started outside the top 5 (P7)", S.ERA_CAVEAT],
+        [S.ERA_CAVEAT],
+        [S.ERA_CAVEAT],
+        ["Clear separation from the field (+15% over 2nd)", S.ERA_CAVEAT],
+    ]

@@ -243,3 +243,41 @@ def test_calibration_is_exact_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(pooling.pooled_blocks, "__defaults__", (100,))
     mapped = models.fit_isotonic(df).transform(df.withColumnRenamed("p", "_p"))
     assert mapped.where("abs(_calibrated - y) > 1e-9").count() == 0
+
+
+class _Stub:
+    """Scores the winner higher the nearer C is to 1; the smallest C fails every event."""
+
+    def __init__(self, c):
+        self.c = c
+
+    def score(self, df):
+        from pyspark.sql import functions as F
+
+        near = 1 / (1 + abs(__import__("math").log(self.c)))
+        return df.withColumn("p", F.when(F.col("winner") == 1, F.lit(near)).otherwise(F.lit(0.2)))
+
+
+def test_search_prepares_once_a_fold_and_halves(spark, monkeypatch):
+    rows = [(s * 10 + e, s, k, int(k == 0)) for s in range(2000, 2005) for e in range(2) for k in range(3)]
+    df = spark.createDataFrame(rows, "event_id long, season long, entity_id long, winner long").cache()
+    prepared, fitted = [], []
+    monkeypatch.setattr(L, "prepare", lambda name, train, columns, target: prepared.append(train.count()) or "ready")
+
+    def stub(train, columns, target, params, ready):
+        assert ready == "ready"
+        fitted.append(params["C"])
+        return _Stub(params["C"])
+
+    monkeypatch.setitem(L.CANDIDATES, "logreg", stub)
+    whole = L.search(df, "logreg", ["entity_id"], 4, 8).collect()
+    assert (prepared, len(fitted)) == ([6, 12, 18, 24], 32)
+    assert {(r["folds"], r["events"]) for r in whole} == {(4, 8)}
+    fitted.clear()
+    halved = L.search(df, "logreg", ["entity_id"], 4, 8, halving=2).collect()
+    assert len(fitted) == 15 and sorted(r["folds"] for r in halved) == [1] * 4 + [2] * 2 + [3, 4]
+    best = [[r["config"] for r in t if r["best"]] for t in (whole, halved)]
+    assert best[0] == best[1] and len(best[0]) == 1
+    again = L.search(df, "logreg", ["entity_id"], 4, 8, parallel=1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, whole))
+    df.unpersist()
