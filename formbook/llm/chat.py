@@ -1,10 +1,12 @@
 """Reply trees to training conversations.
 
 Messages point to the message they answer. Jump tables (the ancestor 1, 2, 4, ...
-steps up) come from joining the table with itself, so a tree of depth d takes
-log2(d) rounds; the same jumps spread every leaf over its path to the root. Branches
-are ranked by the mean score of their messages, then by leaf, and each chosen path
-becomes one formatted conversation.
+steps up, and the scores on the way) come from joining the table with itself, so a
+tree of depth d takes log2(d) rounds, after which every message knows the length and
+score of its path. Branches are ranked by the mean score of their messages, then by
+leaf; only the chosen leaves are spread over their paths by the same jumps, and each
+path becomes one formatted conversation. Rows grow with the messages times log2(d)
+and with the chosen paths, whatever the number of leaves.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. In texts, ``<|`` and
 every ``<`` that stands before backslashes and a bar gets one backslash more, so
@@ -13,8 +15,11 @@ are URL-encoded. The loss mask lists the spans (code points, end exclusive) of t
 formatted string that hold texts of the learning role.
 
 Null text, role or score count as empty, empty and 0. A message whose parent is
-null or not in its tree is a root. Repeated (tree, node) rows count once. Messages
-that lead into a cycle reach no root and make no path. An empty table gives none.
+null or not in its tree is a root. Repeated (tree, node) rows count once, with their
+smallest parent, largest score and smallest (role, text). Branches of equal score go
+by leaf. Messages that lead into a cycle reach no root and make no path. Texts of any
+length are taken whole. An empty table gives none. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -37,54 +42,64 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up) of ``tree, node, parent``: every leaf with the messages
-    on its way to the root, ``up`` steps away. ``tree`` and ``node`` aren't null."""
-    nodes = messages.select("tree", "node", "parent").dropDuplicates(["tree", "node"])
+def _climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, node, total, n) of all messages that reach a root, and the jump tables.
+
+    ``total`` and ``n`` are the score and the number of the messages from the node to its
+    root. Jump table k has (tree, node, up_node): the ancestor 2^k steps up, if any.
+    """
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max(score).alias("total"))
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    nodes = stored(
+    state = stored(
         nodes.join(known, ["tree", "parent"], "left").select(
-            "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up_node")
+            "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up_node"), "total", F.lit(1).cast("long").alias("n")
         ),
         "chat-nodes",
     )
-    roots = nodes.where("up_node IS NULL").select("tree", "node")
-    largest = nodes.groupBy("tree").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    leaves = nodes.join(
-        nodes.where("up_node IS NOT NULL").select("tree", F.col("up_node").alias("node")), ["tree", "node"], "left_anti"
-    )
-    way = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    jump = nodes.where("up_node IS NOT NULL")
-    # After k rounds a way holds all steps below 2^k; no way is longer than its tree.
-    for k in range(largest.bit_length()):
-        if jump.isEmpty():
+    largest = state.groupBy("tree").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    arrived, jumps = state.where("up_node IS NULL"), []
+    # After k rounds a message has met 2^k others; no path is longer than its tree.
+    for _ in range(largest.bit_length()):
+        moving = state.where("up_node IS NOT NULL")
+        if moving.isEmpty():
             break
-        step = way.join(jump, ["tree", "node"]).select(
-            "tree", "leaf", F.col("up_node").alias("node"), (F.col("up") + (1 << k)).alias("up")
+        jumps.append(moving.select("tree", "node", "up_node"))
+        above = arrived.unionByName(moving).select(
+            "tree", F.col("node").alias("up_node"), F.col("up_node").alias("_up"), F.col("total").alias("_total"), F.col("n").alias("_n")
         )
-        way = stored(way.unionByName(step), "chat-ways")
-        further = jump.select("tree", F.col("node").alias("up_node"), F.col("up_node").alias("_further"))
-        jump = stored(
-            jump.join(further, ["tree", "up_node"]).select("tree", "node", F.col("_further").alias("up_node")),
+        state = stored(
+            moving.join(above, ["tree", "up_node"]).select(
+                "tree", "node", F.col("_up").alias("up_node"), (F.col("total") + F.col("_total")).alias("total"), (F.col("n") + F.col("_n")).alias("n")
+            ),
             "chat-jumps",
         )
-    whole = way.join(roots, ["tree", "node"]).select("tree", "leaf")
-    return way.join(whole, ["tree", "leaf"])
+        arrived = arrived.unionByName(state.where("up_node IS NULL"))
+    return arrived.drop("up_node"), jumps
 
 
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """``paths`` of the best ``branches`` leaves of each tree, with ``branch`` from 1."""
-    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
-    once = messages.groupBy("tree", "node").agg(F.max(score).alias("_score"))
-    way = stored(paths(messages), "chat-paths")
-    ranked = (
-        way.join(once, ["tree", "node"])
-        .groupBy("tree", "leaf")
-        .agg(F.avg("_score").alias("score"))
-        .withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    """(tree, leaf, node, up, score, branch): the messages on the way from the best
+    ``branches`` leaves of each tree to its root, ``up`` steps away; ``branch`` from 1.
+
+    ``messages``: tree, node, parent, score; ``tree`` and ``node`` aren't null.
+    """
+    climbed, jumps = _climb(messages)
+    answered = jumps[0].select("tree", F.col("up_node").alias("node")).distinct() if jumps else None
+    leaves = climbed.join(answered, ["tree", "node"], "left_anti") if jumps else climbed
+    place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
+    chosen = (
+        leaves.select("tree", F.col("node").alias("leaf"), F.try_divide("total", "n").alias("score"))
+        .withColumn("branch", place)
         .where(F.col("branch") <= branches)
     )
-    return way.join(ranked, ["tree", "leaf"])
+    way = chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"), "score", "branch")
+    for k, jump in enumerate(jumps):
+        step = way.join(jump, ["tree", "node"]).select(
+            "tree", "leaf", F.col("up_node").alias("node"), (F.col("up") + (1 << k)).alias("up"), "score", "branch"
+        )
+        way = stored(way.unionByName(step), "chat-ways")
+    return way
 
 
 def format_turns(turns: Column, learn: str = "assistant") -> tuple[Column, Column]:

@@ -296,3 +296,61 @@ def test_halving_sequences_loses_no_link(monkeypatch):
     assert sorted(zip(left.tolist(), right.tolist())) == want and want
     left, right = ego_join.sequence_links(x[:40], at[:40], x[40:], at[40:], False, 0.93, eps)
     assert sorted(zip(left.tolist(), (right + 40).tolist())) == [p for p in want if p[0] < 40 <= p[1]]
+
+
+def test_chat_expands_only_the_chosen_leaves(spark, monkeypatch):
+    # A chain with a leaf at every step: all its paths together have 60 * 61 rows.
+    written = []
+    plain = chat.stored
+
+    def counting(df, name):
+        out = plain(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(chat, "stored", counting)
+    n = 60
+    chain = [("t", 2 * i, 2 * i - 2 if i else None, "user", f"c{i}", 0.0) for i in range(n)]
+    ends = [("t", 2 * i + 1, 2 * i, "assistant", f"l{i}", 100.0 if i == 40 else 1.0) for i in range(n)]
+    # Two that answer each other, a third that answers one of them, and repeated rows.
+    lost = [("x", 1, 2, "user", "a", 9.0), ("x", 2, 1, "user", "b", 9.0), ("x", 3, 2, "user", "c", 9.0)]
+    schema = "tree string, node long, parent long, role string, text string, score double"
+    df = spark.createDataFrame(chain + ends + lost + chain[:5], schema)
+    got = chat.conversations(df, branches=2).orderBy("branch").collect()
+    assert [(r["tree"], r["leaf"], r["branch"]) for r in got] == [("t", 81, 1), ("t", 1, 2)]
+    assert [r["score"] for r in got] == [100.0 / 42, 0.5]
+    assert got[0]["formatted"].count("<|im_start|>") == 42
+    assert sum(c for name, c in written if name == "chat-ways") <= 7 * (42 + 2)
+    assert sum(c for name, c in written if name != "chat-ways") <= 2 * n * 8
+    wide = df.withColumn("up_node", F.lit(1)).withColumn("total", F.lit("x")).withColumn("n", F.lit(2)).withColumn("leaf", F.lit(3))
+    assert chat.conversations(wide, branches=2).orderBy("branch").collect() == got
+    long_text = "a<|b " * 200_000
+    one = spark.createDataFrame([("t", 1, None, "assistant", long_text, 0.0)], schema)
+    made = chat.conversations(one).select(chat.read_learned(F.col("formatted"), F.col("loss_spans")).alias("back")).first()
+    assert made["back"] == long_text
+
+
+def test_chat_chooses_like_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for tree in range(6):
+        for node in range(40):
+            parent = rng.choice([None, 99, *range(node)]) if node % 9 == 0 else rng.randrange(node)
+            rows.append((f"t{tree}", node, parent, "user", f"{tree}-{node}", float(rng.randrange(4))))
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    want = {}
+    for tree in {r[0] for r in rows}:
+        mine = {r[1]: r for r in rows if r[0] == tree}
+        answered = {r[2] for r in mine.values()}
+        found = []
+        for leaf in set(mine) - answered:
+            path = [leaf]
+            while mine[path[-1]][2] in mine:
+                path.append(mine[path[-1]][2])
+            found.append((-sum(mine[v][5] for v in path) / len(path), leaf, path))
+        for branch, (_, leaf, path) in enumerate(sorted(found)[:3], 1):
+            want |= {(tree, leaf, branch, up): node for up, node in enumerate(path)}
+    got = {(r["tree"], r["leaf"], r["branch"], r["up"]): r["node"] for r in chat.chosen_paths(df, 3).collect()}
+    assert got == want
