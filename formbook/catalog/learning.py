@@ -264,7 +264,7 @@ def j10_halving(spark, folder):
     out = L.search(train, "logreg", COLUMNS, FOLDS, DRAWS, halving=2)
     return out.groupBy("folds").agg(
         F.count(F.lit(1)).alias("configs"), F.max("events").alias("events"), F.count_if("best").alias("best_configs")
-    ).where("configs > 0")
+    )
 
 
 @query("j12_out_of_fold", scores_sql("event_id, entity_id, season, winner", "season BETWEEN 1996 AND 1999"))

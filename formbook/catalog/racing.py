@@ -130,6 +130,33 @@ def master_build(spark, folder):
     return master.select(*[c for c in MASTER_COLUMNS if c not in dropped])
 
 
+@query(
+    "master_all_columns",
+    sql(
+        f"""SELECT event_id AS "raceId", entity_id AS "driverId", group_id AS "constructorId", venue_id AS "circuitId", season AS year, round,
+        'Event ' || event_id AS race_name, season || '-' || lpad(CAST(round AS VARCHAR), 2, '0') || '-01' AS race_date,
+        'v' || venue_id AS circuit_ref, 'Venue ' || venue_id AS circuit_name, 'Place' AS circuit_location, 'Country' AS circuit_country,
+        CAST(venue_id AS DOUBLE) AS circuit_lat, CAST(venue_id * 2 AS DOUBLE) AS circuit_lng, CAST(NULL AS DOUBLE) AS circuit_alt,
+        c_name AS driver_ref, 'COD' AS driver_code, c_mktsegment AS driver_forename, c_name AS driver_surname, CAST(NULL AS VARCHAR) AS driver_dob,
+        CAST(NULL AS VARCHAR) AS driver_nationality, n_name AS constructor_ref, n_name AS constructor_name, CAST(NULL AS VARCHAR) AS constructor_nationality, grid,
+        CASE WHEN quali_position <= 15 THEN quali_position END AS qualifying_position, CASE WHEN quali_position <= 15 THEN q1 END AS q1,
+        CASE WHEN quali_position <= 15 THEN q2 END AS q2, CASE WHEN quali_position <= 15 THEN q3 END AS q3,
+        CASE WHEN finished = 1 AND {RAW_POSITION_SQL} IS NULL THEN finish_order ELSE {RAW_POSITION_SQL} END AS position,
+        position_text AS "positionText", finish_order AS "positionOrder", CAST(points AS DOUBLE) AS points, finish_order AS laps,
+        CAST(NULL AS BIGINT) AS milliseconds, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS "fastestLap", contest_q1 AS "fastestLapTime",
+        CAST(NULL AS DOUBLE) AS "fastestLapSpeed", status_id AS "statusId", result_status, result_status = 'Finished' AS finished, winner
+        FROM (SELECT *, q1 AS contest_q1 FROM statused) JOIN customer ON c_custkey = entity_id JOIN nation ON n_nationkey = group_id""",
+        "statused",
+    ),
+)
+def master_all(spark, folder):
+    # Only the first fifteen qualified, so most results have no qualifying row.
+    raw = racing_tables(spark, folder)
+    results = pipeline.repair_results(pipeline.clean_results(raw["results"]))
+    qualifying = pipeline.clean_qualifying(raw["qualifying"].where("position <= 15"))
+    return pipeline.build_master({**raw, "results": results, "qualifying": qualifying})
+
+
 @query(
     "input_suite",
     sql(

@@ -1,5 +1,7 @@
 """Splits, preprocessing, fits, calibration and tracking."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,7 +256,7 @@ class _Stub:
     def score(self, df):
         from pyspark.sql import functions as F
 
-        near = 1 / (1 + abs(__import__("math").log(self.c)))
+        near = 1 / (1 + abs(math.log(self.c)))
         return df.withColumn("p", F.when(F.col("winner") == 1, F.lit(near)).otherwise(F.lit(0.2)))
 
 
