@@ -318,6 +318,18 @@ def prepare(name: str, train: DataFrame, columns: Sequence[str], target: str = "
     return Prepared(weighted, total, fit_preprocess(train, columns, scale=name == "logreg"))
 
 
+def _learnt(learner: LogisticRegression | RandomForestClassifier, ready: Prepared):
+    """The learner's model of prepared rows, without its training summary.
+
+    Tasks that score are sent the whole model. A summary holds the session, and no session
+    can be sent once a write in it was observed (``quality.Observed``).
+    """
+    rows = ready.pre.assemble(ready.rows)
+    model = learner.fit(rows)
+    model._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
+    return model
+
+
 def fit_pole(
     train: DataFrame, columns: Sequence[str], target: str, params: dict, ready: Prepared | None = None
 ) -> Fitted:
@@ -337,7 +349,7 @@ def fit_logreg(
         **_columns_of_model(), maxIter=p["maxIter"], tol=p["tol"], standardization=False, elasticNetParam=0.0,
         regParam=1.0 / (p["C"] * ready.total),
     )
-    return Fitted("logreg", list(columns), ready.pre, learner.fit(ready.pre.assemble(ready.rows)))
+    return Fitted("logreg", list(columns), ready.pre, _learnt(learner, ready))
 
 
 def fit_random_forest(

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from formbook.plans import models as L
@@ -283,3 +284,19 @@ def test_search_prepares_once_a_fold_and_halves(spark, monkeypatch):
     again = L.search(df, "logreg", ["entity_id"], 4, 8, parallel=1).collect()
     assert sorted(map(str, again)) == sorted(map(str, whole))
     df.unpersist()
+
+
+def observe(spark):
+    """From now on the session holds what it observed."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+
+
+def test_search_after_an_observed_write(spark):
+    observe(spark)
+    df = learnable(spark)
+    for halving, folds in ((None, [2, 2]), (2, [1, 2])):
+        rows = L.search(df, "logreg", COLUMNS, 2, 2, halving=halving).collect()
+        assert sorted(r["folds"] for r in rows) == folds and sum(r["best"] for r in rows) == 1
+        assert {r["top1"] for r in rows} == {1.0}
