@@ -359,7 +359,7 @@ def fit_random_forest(
     learner = RandomForestClassifier(
         **_columns_of_model(), seed=SEED, **{**DEFAULTS["random_forest"], **params}
     )
-    return Fitted("random_forest", list(columns), ready.pre, learner.fit(ready.pre.assemble(ready.rows)))
+    return Fitted("random_forest", list(columns), ready.pre, _learnt(learner, ready))
 
 
 def fit_boosted(

@@ -300,3 +300,13 @@ def test_search_after_an_observed_write(spark):
         rows = L.search(df, "logreg", COLUMNS, 2, 2, halving=halving).collect()
         assert sorted(r["folds"] for r in rows) == folds and sum(r["best"] for r in rows) == 1
         assert {r["top1"] for r in rows} == {1.0}
+
+
+@pytest.mark.parametrize(("name", "params"), [("logreg", {}), ("random_forest", {"numTrees": 5, "maxDepth": 3})])
+def test_calibration_after_an_observed_write(spark, name, params):
+    observe(spark)
+    df = learnable(spark)
+    model = L.fit_calibrated(df.where("season < 2005"), name, COLUMNS, 2, params=params)
+    best = F.max_by("winner", "p")
+    rows = model.score(df.where("season = 2005")).groupBy("event_id").agg(best.alias("won"), F.max("p").alias("p")).collect()
+    assert len(rows) == 10 and all(r["won"] == 1 and 0.5 < r["p"] < 1 for r in rows)
