@@ -108,6 +108,12 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table. What was shuffled for it goes with the write, not when the driver
+    next collects its garbage: each table is read from its files, never made twice."""
+    return stored(df, name, drop_shuffles=True)
+
+
 def _counted(docs: DataFrame, text: str) -> DataFrame:
     """64-bit digests that more than one place has."""
 
@@ -154,15 +160,13 @@ def _runs(docs: DataFrame) -> DataFrame:
     """(doc_id, key, start, stop, f_id, f_key, f_start, f_stop): repeats in a row whose
     first places are in a row too."""
     # Written, so that the join can divide a code that very many chunks have.
-    codes = stored(_counted(docs, "text"), "chunk-codes")
-    seen = _places(docs).join(codes, "code", "left_semi")
-    # A row that is there twice has the same id, text and places.
-    seen = stored(seen.dropDuplicates(["doc_id", "key", "seq"]), "chunk-places")
+    codes = _written(_counted(docs, "text"), "chunk-codes")
+    seen = _written(_places(docs).join(codes, "code", "left_semi"), "chunk-places")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("seq").alias("s"))
     first = seen.groupBy("code", "rest").agg(
         F.min(F.struct(place.alias("at"), "start", "stop")).alias("first"), F.count(F.lit(1)).alias("_n")
     )
-    first = stored(first.where("_n > 1"), "chunk-first")
+    first = _written(first.where("_n > 1"), "chunk-first")
     again = seen.join(first, ["code", "rest"]).where(place != F.col("first.at"))
     again = again.select(
         "doc_id", "key", "seq", "start", "stop",
@@ -171,39 +175,50 @@ def _runs(docs: DataFrame) -> DataFrame:
         (F.col("start") - F.col("first.start")).alias("_off"),
     )
     side = ["doc_id", "key", "f_id", "f_key", "_off"]
-    again = again.withColumn("_run", F.col("seq") - F.row_number().over(Window.partitionBy(*side).orderBy("seq")))
+    # Dense, as a row that is there twice has the same id, text and places.
+    again = again.withColumn("_run", F.col("seq") - F.dense_rank().over(Window.partitionBy(*side).orderBy("seq")))
     ends = [f(c).alias(c) for f, c in ((F.min, "start"), (F.max, "stop"), (F.min, "f_start"), (F.max, "f_stop"))]
-    return stored(again.groupBy(*side, "_run").agg(*ends).drop("_off", "_run"), "chunk-runs")
+    return _written(again.groupBy(*side, "_run").agg(*ends).drop("_off", "_run"), "chunk-runs")
 
 
-def _beside(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(f_id, f_key, at, left, right): what stands beside the ends of the first places."""
-    ends = runs.select("f_id", "f_key", F.explode(F.array("f_start", "f_stop")).alias("at")).distinct()
-    asked = ends.groupBy("f_id", "f_key").agg(F.collect_list("at").alias("ats"))
+def _beside(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(f_id, f_key, left, at, beside): what stands left or right of the ends of the
+    first places."""
+    asked = ends.select("f_id", "f_key", "left", "at").distinct()
+    asked = asked.groupBy("f_id", "f_key").agg(F.collect_list(F.struct("left", "at")).alias("asked"))
     found = docs.join(asked, docs["doc_id"].eqNullSafe(F.col("f_id")) & (docs["key"] == F.col("f_key")))
 
+    def batch(part, owner, left, at, beside):
+        owner = pa.array(owner, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("f_id").take(owner),
+                part.column("f_key").take(owner),
+                pa.array(left, pa.bool_()),
+                pa.array(at, pa.int32()),
+                pa.array(beside, pa.string()),
+            ],
+            ["f_id", "f_key", "left", "at", "beside"],
+        )
+
     def run(batches):
         for part, texts in text_slices(batches, "text"):
-            for i, (t, ats) in enumerate(zip(texts, part.column("ats").to_pylist())):
-                for k in range(0, len(ats), 1000):
-                    some = ats[k : k + 1000]
-                    owner = pa.array([i] * len(some), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("f_id").take(owner),
-                            part.column("f_key").take(owner),
-                            pa.array(some, pa.int32()),
-                            pa.array([t[max(0, at - REACH) : at] for at in some]),
-                            pa.array([t[at : at + REACH] for at in some]),
-                        ],
-                        ["f_id", "f_key", "at", "left", "right"],
-                    )
+            rows = [], [], [], []
+            for i, t in enumerate(texts):
+                for x in part.column("asked")[i].as_py():
+                    left, at = x["left"], x["at"]
+                    for column, value in zip(rows, (i, left, at, t[max(0, at - REACH) : at] if left else t[at : at + REACH])):
+                        column.append(value)
+                    if len(rows[0]) == 5000:
+                        yield batch(part, *rows)
+                        rows = [], [], [], []
+            yield batch(part, *rows)
 
     kind = dict(docs.dtypes)["doc_id"]
-    beside = found.select("text", "f_id", "f_key", "ats").mapInArrow(
-        run, f"f_id {kind}, f_key long, at int, left string, right string"
+    beside = found.select("text", "f_id", "f_key", "asked").mapInArrow(
+        run, f"f_id {kind}, f_key long, left boolean, at int, beside string"
     )
-    return stored(beside.dropDuplicates(["f_id", "f_key", "at"]), "chunk-beside")
+    return _written(beside.dropDuplicates(["f_id", "f_key", "left", "at"]), "chunk-beside")
 
 
 def _common(one: str, two: str) -> int:
@@ -245,50 +260,58 @@ def extended(text: str, runs: list[tuple[int, int, str, str]], run_chars: int) -
     return out
 
 
-def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, spans) of documents with repeated passages; ``spans`` in code
-    points, ``key`` a hash of the text."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.xxhash64("text"))
+def _own_runs(docs: DataFrame) -> DataFrame:
+    """(_id, _key, spans): a document's runs, each as its two ends with what stands
+    beside the same end of the first place."""
     runs = _runs(docs)
-    beside = _beside(docs, runs)
-
-    def joined(df, at, side):
-        mine = beside.select(*(F.col(c).alias(f"_{c}") for c in ("f_id", "f_key", "at")), side)
-        on = F.col("f_id").eqNullSafe(F.col("_f_id")) & (F.col("f_key") == F.col("_f_key")) & (F.col(at) == F.col("_at"))
-        return df.join(mine, on).drop("_f_id", "_f_key", "_at")
-
-    known = joined(joined(runs, "f_start", "left"), "f_stop", "right")
+    two = F.array(
+        F.struct(F.lit(True).alias("left"), F.col("f_start").alias("at")),
+        F.struct(F.lit(False).alias("left"), F.col("f_stop").alias("at")),
+    )
+    ends = runs.select("doc_id", "key", "f_id", "f_key", "start", "stop", F.explode(two).alias("end"))
+    ends = ends.select("*", "end.left", "end.at").drop("end")
+    beside = _beside(docs, ends).withColumnsRenamed({"f_id": "_f_id", "f_key": "_f_key", "left": "_left", "at": "_at"})
+    on = F.col("f_id").eqNullSafe(F.col("_f_id")) & (F.col("f_key") == F.col("_f_key"))
+    known = ends.join(beside, on & (F.col("left") == F.col("_left")) & (F.col("at") == F.col("_at")))
     own = known.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.collect_list(F.struct("start", "stop", "left", "right")).alias("runs")
+        F.collect_list(F.struct("start", "stop", "left", "beside")).alias("spans")
     )
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    return _written(own, "chunk-own-runs")
 
-    def run(batches):
-        for part, texts in text_slices(batches, "text"):
-            spans = []
-            for i, t in enumerate(texts):
-                mine = [tuple(r.values()) for r in part.column("runs")[i].as_py()]
-                spans.append([{"start": a, "stop": b} for a, b in extended(t, mine, run_chars)])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("key"), pa.array(spans, _SPAN_TYPE)], ["doc_id", "key", "spans"]
-            )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    found = docs.join(own, on).select("doc_id", "key", "text", "runs")
-    found = found.mapInArrow(run, f"doc_id {kind}, key long, spans {SPANS}").where(F.size("spans") > 0)
-    return found.dropDuplicates(["doc_id", "key"])
+def _with_spans(docs: DataFrame, run_chars: int, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with ``spans``, joined once with what is known of their runs."""
+    whole = F.coalesce(text, F.lit(""))
+    own = _own_runs(docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("key")))
+
+    def found(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        spans = []
+        for t, ends in zip(texts, runs):
+            # A chunk has one first place, so a run of chunks is known by its start.
+            mine = {}
+            for x in ends.as_py() or ():
+                mine.setdefault((x["start"], x["stop"]), {})[x["left"]] = x["beside"]
+            passages = extended(t.as_py(), [(*k, v[True], v[False]) for k, v in mine.items()], run_chars) if mine else []
+            spans.append([{"start": a, "stop": b} for a, b in passages])
+        return pa.array(spans, _SPAN_TYPE)
+
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(whole) == F.col("_key"))
+    joined = docs.drop("spans").join(own, same, "left").drop("_id", "_key")
+    # Only texts with runs are sent to Python.
+    return joined.withColumn("spans", F.arrow_udf(found, SPANS)(F.when(F.col("spans").isNotNull(), whole), "spans"))
+
+
+def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, spans) of documents with repeated passages; ``spans`` in code
+    points, ``key`` a hash of the text."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    found = _with_spans(docs, run_chars, "doc_id", "text").where(F.size("spans") > 0)
+    return found.select("doc_id", F.xxhash64("text").alias("key"), "spans").dropDuplicates(["doc_id", "key"])
 
 
 def without_repeats(docs: DataFrame, run_chars: int = RUN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``spans`` (repeated passages, empty if none) and ``kept_text``."""
-    found = stored(repeats(docs, run_chars, doc_id, text), "chunk-repeats")
-    found = found.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    base = docs.drop("spans", "kept_text")
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
-    joined = base.join(found, same, "left").drop("_id", "_key")
-    none = F.array().cast(SPANS)
-    joined = joined.withColumn("spans", F.coalesce("spans", none))
+    joined = _with_spans(docs.drop("spans", "kept_text"), run_chars, doc_id, text)
     # What stands between the end of one span and the start of the next.
     ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["stop"]))
     starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length(text)))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from formbook.llm import bpe, chunk_dedup, license_scan, mixing, pii, quality
+from formbook.llm import bpe, chunk_dedup, graph, license_scan, mixing, pii, quality
 from tests.llm.conftest import ODD_DOCS
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -481,6 +482,41 @@ def test_repeated_passages_go_and_others_stay(spark, none):
     assert chunk_dedup.without_repeats(none).count() == 0
 
 
+def test_repeats_of_rows_that_are_there_twice(spark):
+    rng = random.Random(13)
+    shared = [prose(rng, 60), prose(rng, 70)]
+    rows = [(i, f"{prose(rng, 40)} {shared[0]} {prose(rng, 40)} {shared[1]}") for i in range(4)]
+    rows += [(None, rows[3][1]), (9, f"{rows[0][1]} {rows[0][1]}")]
+
+    def spans(rows):
+        got = chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        return sorted(str((r["doc_id"], r["text"], r["spans"], r["kept_text"])) for r in got)
+
+    once = spans(rows)
+    assert sum("start=" in x for x in once) == 5
+    assert spans([*rows, *rows, *rows]) == sorted(once * 3)
+
+
+def test_shuffle_files_of_chunks_go_with_the_tables_they_make(spark):
+    """None waits for the driver to collect its garbage."""
+    rng = random.Random(14)
+    shared = prose(rng, 60)
+    df = spark.createDataFrame([(i, f"{prose(rng, 40)} {shared}") for i in range(40)], "doc_id long, text string")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {n for n in disk.getAllFiles().mkString(" ").split() if "/shuffle_" in n}
+    before, setting = left(), spark.conf.get(graph.SHUFFLES_GO)
+    found = chunk_dedup.without_repeats(df)
+    for _ in range(40):
+        if not left() - before:
+            break
+        time.sleep(0.25)
+    assert not left() - before
+    assert spark.conf.get(graph.SHUFFLES_GO) == setting
+    assert sum(len(r["spans"]) for r in found.collect()) == 39
+    # The texts are joined once with all that was found.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+
+
 def test_digests_of_the_encoding_query(spark, plain):
     from formbook.llm.catalog import load
 
