@@ -9,27 +9,31 @@ from __future__ import annotations
 import json
 import math
 import random
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
-    LogisticRegression,
     LogisticRegressionModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formbook.functions.scalars import clip_probability
 from formbook.operators.hot import with_prefix
+from formbook.operators.logistic import Design, FitError, newton_logistic, swapped_maxima
 from formbook.operators.permute import numbered, permuted
 from formbook.operators.pooling import pooled_blocks
 from formbook.operators.setops import concat
@@ -212,6 +216,14 @@ class Preprocess:
             return self.inputs()
         return {n: (v - self.means[n]) / self.stds[n] for n, v in self.inputs().items()}
 
+    def design(self) -> Design:
+        """The same inputs for functions over Arrow batches."""
+        names = self.names
+        return Design(
+            tuple(self.columns), tuple(self.medians.get(c, 0.0) for c in self.columns), tuple(self.flagged),
+            tuple(self.means.get(n, 0.0) for n in names), tuple(self.stds.get(n, 1.0) for n in names),
+        )
+
     def assemble(self, df: DataFrame, out: str = "_features") -> DataFrame:
         missing = [c for c in self.columns if c not in df.columns]
         if missing:
@@ -280,6 +292,16 @@ class Fitted:
         mapped = self.calibrator.transform(scored.withColumn("_p", F.col(out)))
         return mapped.withColumn(out, clip_probability("_calibrated")).drop("_p", "_calibrated")
 
+    def swaps(self, columns: Sequence[str]) -> bool:
+        """Can ``swapped`` score rows with one of these columns from a donor?"""
+        plain = isinstance(self.model, LogisticRegressionModel) and self.calibrator is None
+        return plain and set(columns) <= set(self.columns)
+
+    def swapped(self, met: DataFrame, columns: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
+        """The largest probabilities of winners and others per keys and feature (``swapped_maxima``)."""
+        weights = np.append(self.model.coefficients.toArray(), self.model.intercept)
+        return swapped_maxima(met, self.pre.design(), weights, columns, target, keys)
+
 
 def _weighted(train: DataFrame, target: str, positives_only: bool) -> tuple[DataFrame, float]:
     """Class-weighted rows and the sum of weights."""
@@ -311,6 +333,22 @@ class Prepared:
     rows: DataFrame
     total: float
     pre: Preprocess
+    # Weights of a logistic fit by (C, maxIter, tol).
+    solved: dict[tuple, np.ndarray] = field(default_factory=dict)
+
+    def solve(self, configs: Sequence[dict]) -> list[np.ndarray]:
+        """Weights (inputs, then intercept) of logistic fits, found in shared passes."""
+        keys = [(p["C"], p["maxIter"], p["tol"]) for p in ({**DEFAULTS["logreg"], **c} for c in configs)]
+        for most, tol in dict.fromkeys(k[1:] for k in keys):
+            # The penalty is stated per weight unit, so C divides by the weight total.
+            new = [c for c, *rest in dict.fromkeys(keys) if rest == [most, tol] and (c, most, tol) not in self.solved]
+            penalties = [1.0 / (c * self.total) for c in new]
+            try:
+                found = newton_logistic(self.rows, self.pre.design(), penalties, self.total, "_y", "_w", most, tol)
+            except FitError as e:
+                raise TrainingError(f"no logistic fit: {e}") from e
+            self.solved |= {(c, most, tol): weights for c, weights in zip(new, found)}
+        return [self.solved[k] for k in keys]
 
 
 def prepare(name: str, train: DataFrame, columns: Sequence[str], target: str = "winner") -> Prepared:
@@ -318,7 +356,7 @@ def prepare(name: str, train: DataFrame, columns: Sequence[str], target: str = "
     return Prepared(weighted, total, fit_preprocess(train, columns, scale=name == "logreg"))
 
 
-def _learnt(learner: LogisticRegression | RandomForestClassifier, ready: Prepared):
+def _learnt(learner: RandomForestClassifier, ready: Prepared):
     """The learner's model of prepared rows, without its training summary.
 
     Tasks that score are sent the whole model. A summary holds the session, and no session
@@ -339,17 +377,17 @@ def fit_pole(
 def fit_logreg(
     train: DataFrame, columns: Sequence[str], target: str, params: dict, ready: Prepared | None = None
 ) -> Fitted:
-    """L2 logistic regression on imputed, flagged and scaled columns.
-
-    The penalty is stated per weight unit, so C divides by the weight total.
-    """
-    p = {**DEFAULTS["logreg"], **params}
+    """L2 logistic regression on imputed, flagged and scaled columns, as an MLlib model."""
     ready = ready or prepare("logreg", train, columns, target)
-    learner = LogisticRegression(
-        **_columns_of_model(), maxIter=p["maxIter"], tol=p["tol"], standardization=False, elasticNetParam=0.0,
-        regParam=1.0 / (p["C"] * ready.total),
-    )
-    return Fitted("logreg", list(columns), ready.pre, _learnt(learner, ready))
+    weights = ready.solve([params])[0]
+    spark = ready.rows.sparkSession
+    uid = f"LogisticRegression_{uuid.uuid4().hex[:12]}"
+    coefficients = _py2java(spark.sparkContext, Vectors.dense(weights[:-1]))
+    made = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(uid, coefficients, float(weights[-1]))
+    model = LogisticRegressionModel(made)
+    for name, value in _columns_of_model().items():
+        model.set(model.getParam(name), value)
+    return Fitted("logreg", list(columns), ready.pre, model)
 
 
 def fit_random_forest(
@@ -664,14 +702,28 @@ def permutation_importance(
     features are expanded after it, so what is shuffled is rows times repeats. The winner
     of an event must stand alone at the top; that is two maxima per event, which are
     combined before their shuffle.
+
+    Rows are scored once a feature by ``score``, any function; where it is that of a fitted
+    logistic model, a row's scores for all features come from one pass over its terms.
     """
     columns = list(columns)
-    rows, n = numbered(df.select(*dict.fromkeys([*keys, target, *df.columns])))
+    model = getattr(score, "__self__", None)
+    linear = isinstance(model, Fitted) and model.swaps(columns)
+    if linear:
+        lost = [c for c in model.columns if c not in df.columns]
+        if lost:
+            raise ModelSchemaError(f"missing feature columns {lost}")
+        df = df.select(*dict.fromkeys(["event_id", target, *model.columns]))
+    rows, n = numbered(df if linear else df.select(*dict.fromkeys([*keys, target, *df.columns])))
     turns = list(range(repeats))
     repeated = rows.withColumn("repeat", F.explode(F.array(*[F.lit(r).cast("long") for r in turns])))
     asking = repeated.withColumn("_from", permuted(F.col("_at"), n, F.col("repeat"), seed)).drop("_at")
     donors = rows.select(F.col("_at").alias("_from"), F.struct(*columns).alias("_donor"))
     met = asking.join(donors, "_from").drop("_from")
+    if linear:
+        # Repeat -1 has every row as its own donor.
+        own = rows.select(*df.columns, F.lit(-1).cast("long").alias("repeat"), F.struct(*columns).alias("_donor"))
+        return _drops(model.swapped(met.unionByName(own), columns, target, ["event_id", "repeat"]))
     shuffled = met.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
     shuffled = shuffled.withColumns(
         {c: F.when(F.col("feature") == c, F.col("_donor")[c]).otherwise(F.col(c)) for c in columns}
@@ -686,14 +738,31 @@ def permutation_importance(
     )
 
 
+def _drops(best: DataFrame) -> DataFrame:
+    """``permutation_importance`` from the maxima of each (event, repeat, feature)."""
+    hits = best.select("feature", "repeat", _hit()).groupBy("feature", "repeat").agg(
+        F.avg("hit").alias("top1"), F.count(F.lit(1)).alias("n_events")
+    )
+    # A feature has a row per repeat.
+    base = F.max(F.when(F.col("repeat") < 0, F.col("top1"))).over(Window.partitionBy("feature"))
+    return hits.withColumn("_drop", base - F.col("top1")).where("repeat >= 0").groupBy("feature").agg(
+        F.avg("_drop").alias("top1_drop_mean"), F.stddev_pop("_drop").alias("top1_drop_std"),
+        F.count(F.lit(1)).alias("repeats"), F.max("n_events").alias("n_events"),
+    )
+
+
+def _hit() -> Column:
+    above = F.col("_others").isNull() | (F.col("_own") > F.col("_others"))
+    return F.coalesce(F.col("_own").isNotNull() & above, F.lit(False)).cast("double").alias("hit")
+
+
 def _top1(scored: DataFrame, target: str, by: Sequence[str], event: str = "event_id") -> DataFrame:
     """(by, event, hit): does the winner's probability lie above all others?"""
     won = F.col(target) == 1
     best = scored.groupBy(*by, event).agg(
         F.max(F.when(won, F.col("p"))).alias("_own"), F.max(F.when(~won, F.col("p"))).alias("_others")
     )
-    above = F.col("_others").isNull() | (F.col("_own") > F.col("_others"))
-    return best.select(*by, event, F.coalesce(F.col("_own").isNotNull() & above, F.lit(False)).cast("double").alias("hit"))
+    return best.select(*by, event, _hit())
 
 
 def linear_contributions(

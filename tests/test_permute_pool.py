@@ -216,3 +216,52 @@ def test_medians_shuffle_values_of_brackets_only(spark):
     ends = {r["feature"]: r["ends"] for r in L._per_column(df, ["a", "b"], L.BRACKETS).collect()}
     inside = sum(df.where(F.col(c).between(*ends[c])).count() for c in "ab")
     assert 0 < inside < 2000
+
+
+def test_importance_of_a_logistic_model_equals_scoring_each_feature(spark):
+    rng = random.Random(9)
+    rows = []
+    for event in range(40):
+        for i in range(7):
+            a = rng.choice([None, float(rng.randint(0, 3))])
+            rows.append((event, i, int(i == event % 7) if event % 9 else None, a, rng.gauss(0, 3) + (i == event % 7), 4.0))
+    df = spark.createDataFrame(rows, "event_id long, entity_id long, winner int, a double, b double, c double")
+    columns = ["a", "b", "c"]
+    model = L.fit("logreg", df.where("winner IS NOT NULL"), columns)
+    scored = []
+
+    def each(frame):
+        scored.append(frame)
+        return model.score(frame)
+
+    want = {r["feature"]: tuple(r) for r in L.permutation_importance(each, df, columns, 3).collect()}
+    assert "feature" in scored[0].columns
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(L.Fitted, "score", lambda self, frame, out="p": seen.append(frame))
+        made = L.permutation_importance(model.score, df, columns, 3)
+    # No frame of rows times features is scored.
+    assert not seen
+    got = {r["feature"]: tuple(r) for r in made.collect()}
+    assert got.keys() == want.keys()
+    for name in got:
+        assert got[name][1:] == pytest.approx(want[name][1:])
+    assert got["c"][1] == 0 and got["b"][1] > 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 1001])
+def test_permutation_in_batches_is_that_of_the_expression(spark, n):
+    seed, rounds = 42, 32
+    size, at, key = F.lit(n).cast("long"), F.col("id"), F.col("key")
+
+    def step(x, k):
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), key, k), size) - x, size)
+        chosen = F.xxhash64(k, F.lit(seed), key, F.greatest(x, other)).bitwiseAND(F.lit(1))
+        return F.when(chosen == 1, other).otherwise(x)
+
+    df = spark.range(n).withColumn("key", F.explode(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 3)])))
+    both = df.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), at, step).alias("a"), permuted(at, n, key, seed).alias("b"))
+    assert both.where("a <> b OR b IS NULL").count() == 0
+    # No loop is interpreted row by row.
+    plan = df.select(permuted(at, n, key, seed))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
