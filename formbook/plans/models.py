@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formbook.functions.scalars import clip_probability
+from formbook.operators.columns import counted, profile
 from formbook.operators.hot import with_prefix
 from formbook.operators.logistic import Design, FitError, newton_logistic, swapped_maxima
 from formbook.operators.permute import numbered, permuted
@@ -107,14 +108,11 @@ def class_balance(df: DataFrame, target: str = "winner") -> DataFrame:
     )
 
 
-def _cells(df: DataFrame, columns: Sequence[str], ends: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """(feature, value), and (lo, hi) of the feature's bracket: rows that only ever meet
-    an aggregate that is combined before its shuffle."""
-    def cell(c: str) -> Column:
-        given = [F.lit(float(e)).alias(n) for n, e in zip(("lo", "hi"), ends[c])] if ends else []
-        return F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), *given)
-
-    return df.select(F.inline(F.array(*map(cell, columns))))
+def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value): rows that only ever meet an aggregate that is combined before its
+    shuffle."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*cells)))
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], aggs: dict[str, Callable[[Column], Column]]) -> DataFrame:
@@ -146,7 +144,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], brackets: dict | None =
     second counts the values below it and, one by one, those inside. Only values inside
     are shuffled, counted before, and put in order. A column whose middle proves to lie
     outside its bracket is looked for among all its values. ``brackets`` ({feature:
-    (lo, hi, values that are there)}) saves the first pass.
+    (lo, hi, values that are there)}, from ``profile`` for many columns) saves the first pass.
     """
     columns = list(columns)
     if brackets is None:
@@ -155,36 +153,33 @@ def exact_medians(df: DataFrame, columns: Sequence[str], brackets: dict | None =
     known = [c for c in columns if brackets[c][2]]
     if not known:
         return df.sparkSession.createDataFrame([], "feature string, median double")
-    ends = {c: (brackets[c][0], brackets[c][1]) for c in known}
-    below = _cells(df, known, ends).groupBy("feature").agg(F.count_if(F.col("value") < F.col("lo")).alias("_below")).collect()
-    facts = df.sparkSession.createDataFrame(
-        [(r["feature"], brackets[r["feature"]][2], r["_below"]) for r in below], "feature string, _total long, _below long"
-    )
-    medians = _middles(df, ends, facts)
-    found = {r["feature"] for r in medians.collect()}
-    missed = [c for c in known if c not in found]
-    if missed:
-        every = facts.where(F.col("feature").isin(missed)).withColumn("_below", F.lit(0).cast("long"))
-        medians = medians.unionByName(_middles(df, {c: (float("-inf"), float("nan")) for c in missed}, every))
+    spark = df.sparkSession
+    medians, left = _middles(spark, counted(df, {c: brackets[c][:2] for c in known}), {c: brackets[c][2] for c in known})
+    if left:
+        every = counted(df, {c: (float("-inf"), float("nan")) for c in left})
+        medians = medians.unionByName(_middles(spark, every, {c: brackets[c][2] for c in left})[0])
     return medians
 
 
-def _middles(df: DataFrame, ends: dict[str, tuple[float, float]], facts: DataFrame) -> DataFrame:
-    """(feature, median) of the columns whose two middle places lie within ``ends``;
-    NaN sorts above all numbers."""
-    inside = _cells(df, list(ends), ends).where(F.col("value").between(F.col("lo"), F.col("hi")))
-    counts = inside.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    running = with_prefix(counts, ["feature"], [("value", True)], {"_upto": F.col("n")})
-    # One row per feature.
-    placed = running.join(F.broadcast(facts), "feature")
-    upto = F.col("_below") + F.col("_upto")
+def _middles(spark: SparkSession, counts: DataFrame, total: dict[str, int]) -> tuple[DataFrame, list[str]]:
+    """(feature, median) of the columns whose two middle places lie among the values that
+    were ``counted``, and the other columns; NaN sorts above all numbers."""
+    below = {r["feature"]: r["n"] for r in counts.where("value IS NULL").collect()}
+    facts = F.create_map(*[F.lit(x) for c in total for x in (c, total[c])])
+    least = F.create_map(*[F.lit(x) for c in total for x in (c, below.get(c, 0))])
+    running = with_prefix(counts.where("value IS NOT NULL"), ["feature"], [("value", True)], {"_upto": F.col("n")})
+    placed = running.withColumns({"_total": facts[F.col("feature")], "_upto": F.col("_upto") + least[F.col("feature")]})
     lower, upper = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
 
     def at(rank: Column) -> Column:
-        return F.min(F.when((upto - F.col("n") < rank) & (rank <= upto), F.col("value")))
+        return F.min(F.when((F.col("_upto") - F.col("n") < rank) & (rank <= F.col("_upto")), F.col("value")))
 
     both = placed.groupBy("feature").agg(at(lower).alias("_a"), at(upper).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
-    return both.select("feature", ((F.col("_a") + F.col("_b")) / 2).alias("median"))
+    # One row per column.
+    found = {r["feature"]: (r["_a"] + r["_b"]) / 2 for r in both.collect()}
+    cells = [F.struct(F.lit(c).alias("feature"), F.lit(m).alias("median")) for c, m in found.items()]
+    made = spark.range(1).select(F.inline(F.array(*cells))) if cells else spark.createDataFrame([], "feature string, median double")
+    return made, [c for c in total if c not in found]
 
 
 @dataclass
@@ -240,8 +235,7 @@ def fit_preprocess(train: DataFrame, columns: Sequence[str], scale: bool) -> Pre
     number of gaps the median fills, so no second pass reads the imputed rows.
     """
     columns = list(columns)
-    moments = {r["feature"]: r for r in _per_column(train, columns, {**MOMENTS, **BRACKETS}).collect()}
-    brackets = {c: (*(r["ends"] or (None, None)), r["there"]) for c, r in moments.items()}
+    moments, brackets = profile(train, columns)
     medians = {r["feature"]: r["median"] for r in exact_medians(train, columns, brackets).collect()}
     flagged = [c for c in columns if moments[c]["there"] < moments[c]["n"]]
     pre = Preprocess(columns, medians, flagged)
@@ -342,6 +336,8 @@ class Prepared:
         for most, tol in dict.fromkeys(k[1:] for k in keys):
             # The penalty is stated per weight unit, so C divides by the weight total.
             new = [c for c, *rest in dict.fromkeys(keys) if rest == [most, tol] and (c, most, tol) not in self.solved]
+            if not new:
+                continue
             penalties = [1.0 / (c * self.total) for c in new]
             try:
                 found = newton_logistic(self.rows, self.pre.design(), penalties, self.total, "_y", "_w", most, tol)
@@ -526,7 +522,8 @@ def search_folds(
 ) -> list[tuple]:
     """(config, val_season, top-1, log-loss, events) of every draw and fold, as Python rows.
 
-    Rows are prepared once a fold, and draws are fitted ``parallel`` at a time. With
+    Rows are prepared once a fold, and draws are fitted ``parallel`` at a time (logistic ones
+    share every pass over the rows); one plan has the metrics of a fold's draws. With
     ``halving`` only the best 1 / ``halving`` of the draws (by means so far) go on from
     one fold to the next; folds come by season, so many draws meet few rows and few
     draws meet all. Without it every draw sees every fold.
@@ -538,13 +535,18 @@ def search_folds(
         before = train.where(F.col(season) < year)
         ready = prepare(name, before, columns, target)
 
-        def one(draw, before=before, held_out=held_out, ready=ready, year=year) -> tuple:
-            config, params = draw
-            scored = fit(name, before, columns, target, params, ready).score(held_out)
-            got = M.metrics(M.as_scored(scored, "p", target, None, "event_id")).first()
-            return config, year, got["top1_accuracy"], got["log_loss"], got["n_events"]
+        if isinstance(ready, Prepared) and name == "logreg":
+            ready.solve([params for _, params in alive])
 
-        rows += _at_once(train.sparkSession, one, alive, parallel)
+        def one(draw, before=before, ready=ready) -> Fitted:
+            return fit(name, before, columns, target, draw[1], ready)
+
+        models = _at_once(train.sparkSession, one, alive, parallel)
+        scored = score_draws({config: model for (config, _), model in zip(alive, models)}, held_out, target)
+        got = {r["draw"]: r for r in M.metrics(scored, ["draw"]).collect()}
+        for config, _ in alive:
+            found = got[config]
+            rows.append((config, year, found["top1_accuracy"], found["log_loss"], found["n_events"]))
         if halving:
             means = _draw_means(rows)
             alive.sort(key=lambda draw: (-means[draw[0]][0], means[draw[0]][1], draw[0]))
@@ -552,6 +554,24 @@ def search_folds(
     return rows
 
 
+def score_draws(models: dict[int, Fitted], held_out: DataFrame, target: str) -> DataFrame:
+    """``as_scored`` rows of every model, with the model's ``draw``.
+
+    Logistic models of one preprocessing score a row in one scan and are told apart after it.
+    """
+    some = list(models.values())
+    shared = all(isinstance(m, Fitted) and m.swaps([]) and m.pre is some[0].pre for m in some)
+    if not shared:
+        parts = [m.score(held_out).withColumn("draw", F.lit(i).cast("long")) for i, m in models.items()]
+        return M.as_scored(concat(parts), "p", target, None, "event_id", "draw")
+    made = some[0].pre.assemble(held_out.select("event_id", target, *some[0].columns)).select("event_id", target, "_features")
+    for i, m in models.items():
+        made = m.model.transform(made).withColumn(f"_p{i}", vector_to_array("_probability")[1]).drop("_raw", "_probability", "_prediction")
+    cells = [F.struct(F.lit(i).cast("long").alias("draw"), F.col(f"_p{i}").alias("p")) for i in models]
+    scored = made.select("event_id", target, F.inline(F.array(*cells)))
+    return M.as_scored(scored, "p", target, None, "event_id", "draw")
+
+
 def _draw_means(rows: list[tuple]) -> dict[int, tuple[float, float, int, int]]:
     """Mean top-1, mean log-loss, folds and events of each draw."""
     out = {}

@@ -310,3 +310,65 @@ def test_calibration_after_an_observed_write(spark, name, params):
     best = F.max_by("winner", "p")
     rows = model.score(df.where("season = 2005")).groupBy("event_id").agg(best.alias("won"), F.max("p").alias("p")).collect()
     assert len(rows) == 10 and all(r["won"] == 1 and 0.5 < r["p"] < 1 for r in rows)
+
+
+def test_search_of_logistic_draws_shares_passes_and_metrics(spark, monkeypatch):
+    from formbook.operators import logistic
+    from formbook.plans import metrics as M
+
+    df = learnable(spark).cache()
+    passes, plans, sums, made = [], [], logistic._sums, M.metrics
+    monkeypatch.setattr(logistic, "_sums", lambda rows, design, trials, *a: passes.append(len(trials)) or sums(rows, design, trials, *a))
+    monkeypatch.setattr(M, "metrics", lambda *a, **k: plans.append(1) or made(*a, **k))
+    rows = L.search_folds(df, "logreg", COLUMNS, 2, 4)
+    # All draws of a fold meet in a pass, and in one plan of metrics.
+    assert max(passes) == 3 and len(plans) == 2
+    monkeypatch.undo()
+    configs = L.draw_configs("logreg", 4)
+    for config, year, top1, loss, events in rows:
+        model = L.fit("logreg", df.where(F.col("season") < year), COLUMNS, params=configs[config])
+        row = M.metrics(M.as_scored(model.score(df.where(F.col("season") == year)), "p", order=None)).first()
+        assert (top1, events) == (row["top1_accuracy"], row["n_events"])
+        assert loss == pytest.approx(row["log_loss"], rel=1e-3)
+    df.unpersist()
+
+
+def test_logistic_fit_is_the_optimum(spark):
+    import random
+
+    from pyspark.ml.classification import LogisticRegression
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        a, b = rng.gauss(5, 2), rng.choice([None, rng.random()])
+        rows.append((int(rng.random() < 1 / (1 + math.exp(5 - a))), a, b))
+    df = spark.createDataFrame(rows, "winner int, a double, b double").repartition(3)
+    ready = L.prepare("logreg", df, ["a", "b"])
+    for c in (0.01, 1.0):
+        made = L.fit("logreg", df, ["a", "b"], params={"C": c, "tol": 1e-9}, ready=ready).model
+        plain = LogisticRegression(
+            featuresCol="_features", labelCol="_y", weightCol="_w", standardization=False, regParam=1 / (c * ready.total), maxIter=500, tol=1e-12
+        ).fit(ready.pre.assemble(ready.rows))
+        assert list(made.coefficients) == pytest.approx(list(plain.coefficients), abs=1e-4)
+        assert made.intercept == pytest.approx(plain.intercept, abs=1e-4)
+    # Labels other than 0 and 1 are refused.
+    with pytest.raises(L.TrainingError):
+        L.fit("logreg", df.withColumn("winner", F.col("winner") * 2), ["a", "b"])
+
+
+def test_profile_reads_rows_not_cells(spark):
+    rows = [(float(i % 7) - 3, None if i % 3 else -float(i), float("nan") if i % 10 == 0 else 1e9 + i, None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    moments, brackets = L.profile(df, list("abcd"))
+    for c in "abcd":
+        want = df.select(F.count("*"), F.count(c), F.avg(c), F.var_pop(c)).first()
+        got = tuple(moments[c][k] for k in ("n", "there", "mean", "var"))
+        assert got[:2] == want[:2] and (c in "d" or got[2:] == pytest.approx(tuple(want)[2:], nan_ok=True))
+    medians = {r["feature"]: r["median"] for r in L.exact_medians(df, list("abcd"), brackets).collect()}
+    assert set(medians) == set("abc")
+    for c in "abc":
+        assert brackets[c][0] <= medians[c] <= brackets[c][1] or math.isnan(medians[c])
+        assert medians[c] == df.select(F.median(c)).first()[0]
+    pre = L.fit_preprocess(df.drop("c"), ["a", "b", "d"], scale=True)
+    assert pre.medians == {"a": medians["a"], "b": medians["b"]} and pre.flagged == ["b", "d"]
